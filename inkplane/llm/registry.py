@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import bpe, nearest, topk
+from inkplane.llm import bpe, mixing, nearest, topk
 from inkplane.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -30,22 +34,53 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix": op2_mix,
     "op3_topk": op3_topk,
     "op6_nearest": op6_nearest,
     "op10_bpe": op10_bpe,
 }
 
+OP2_SQL = """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+shares AS (
+  SELECT coalesce('=' || source, '') AS source, n, sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER () * (1000 - count(*) OVER ()) AS share,
+    count(*) OVER () AS sources FROM counts),
+wholes AS (SELECT *, CAST(floor(share) AS INTEGER) AS whole FROM shares),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY round(share - whole, 9) DESC, source) AS place,
+    1000 - sources - sum(whole) OVER () AS left_over FROM wholes),
+given AS (SELECT source, n, CAST(whole + 1 + CASE WHEN place <= left_over THEN 1 ELSE 0 END AS INTEGER) AS tickets FROM placed),
+named AS (SELECT *, row_number() OVER (ORDER BY tickets, source) AS i FROM given),
+lists AS (SELECT list(tickets ORDER BY i) AS a FROM named),
+run AS (
+  SELECT -1 AS slot, 0::BIGINT AS chosen, list_transform(a, lambda x: 0::BIGINT) AS done FROM lists
+  UNION ALL
+  SELECT slot + 1, pick, list_transform(done, lambda k, i: CASE WHEN i = pick THEN k + 1 ELSE k END) FROM (
+    SELECT slot, done, list_sort(list_filter(list_transform(done, lambda k, i:
+      CASE WHEN k < a[i] AND floor(k * 1000.0 / a[i]) <= slot + 1 THEN {'due': CAST(ceil((k + 1) * 1000.0 / a[i]) AS BIGINT), 'i': CAST(i AS BIGINT)} END),
+      lambda x: x IS NOT NULL))[1].i AS pick FROM run, lists WHERE slot < 999)),
+period AS (SELECT source, tickets, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block, slot FROM run JOIN named ON chosen = i),
+ends AS (
+  SELECT min(((n + 15) // 16 - 1) // p.tickets * 1000 + slot) AS horizon
+  FROM given g JOIN period p USING (source) WHERE ((n + 15) // 16 - 1) % p.tickets = block),
+numbers AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), CAST(doc_id AS VARCHAR) NULLS FIRST) - 1 AS n FROM documents)
+SELECT doc_id, r.source, CAST(r.n // 16 AS BIGINT) AS mix_block, CAST(r.n // 16 // p.tickets * 1000 + slot AS BIGINT) AS mix_slot,
+  CAST(r.n % 16 AS INTEGER) AS mix_place, r.n // 16 // p.tickets * 1000 + slot <= horizon AS mix_exact
+FROM numbers r JOIN period p ON p.source = coalesce('=' || r.source, '') AND (r.n // 16) % p.tickets = p.block, ends
+"""
+
 OP3_SQL = """
 WITH fine AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 ranked AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-    CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM fine q JOIN fine c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ranked)
 SELECT query_id, rank, vec_id, score FROM numbered WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL}
