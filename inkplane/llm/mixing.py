@@ -41,18 +41,20 @@ def tempered(counts: DataFrame, power: float = 0.5) -> DataFrame:
 def tickets(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
     """(source, tickets): whole tickets that sum to the resolution, one at least for each source of positive weight.
 
-    One ticket each first, then largest remainders. There may be no more sources
-    than tickets: raise the resolution for more.
+    Largest remainders; where some share is below one ticket, each source gets one
+    first. There may be no more sources than tickets: raise the resolution for more.
     """
     one = Window.partitionBy()
     w = weights.filter(F.col("weight") > 0)
-    count = F.count("*").over(one)
-    share = F.col("weight") / F.sum("weight").over(one) * (F.lit(resolution) - count)
-    w = w.withColumn("_share", share).withColumn("_whole", F.floor("_share"))
-    left = F.lit(resolution) - count - F.sum("_whole").over(one)
+    part, count = F.col("weight") / F.sum("weight").over(one), F.count("*").over(one)
+    w = w.withColumn("_part", part).withColumn("_count", count)
+    first = F.when(F.min("_part").over(one) * resolution < 1, 1).otherwise(0)
+    w = w.withColumn("_first", first).withColumn("_share", F.col("_part") * (F.lit(resolution) - F.col("_first") * F.col("_count")))
+    w = w.withColumn("_whole", F.floor("_share"))
+    left = F.lit(resolution) - F.sum(F.col("_whole") + F.col("_first")).over(one)
     place = F.row_number().over(one.orderBy(F.desc(F.round(F.col("_share") - F.col("_whole"), 9)), F.col("source").asc_nulls_first()))
-    fits = F.when(count > resolution, F.raise_error(F.lit("more sources than slots: raise the resolution"))).otherwise(F.lit(1))
-    made = (F.col("_whole") + fits + F.when(place <= left, 1).otherwise(0)).cast("int")
+    many = F.when(F.col("_count") > resolution, F.raise_error(F.lit("more sources than slots: raise the resolution"))).otherwise(F.lit(0))
+    made = (F.col("_whole") + F.col("_first") + many + F.when(place <= left, 1).otherwise(0)).cast("int")
     return w.select("source", made.alias("tickets"))
 
 

@@ -47,14 +47,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 OP2_SQL = """
 WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-shares AS (
-  SELECT coalesce('=' || source, '') AS source, n, sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER () * (1000 - count(*) OVER ()) AS share,
-    count(*) OVER () AS sources FROM counts),
+parts AS (
+  SELECT coalesce('=' || source, '') AS source, n, count(*) OVER () AS sources, sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER () AS part FROM counts),
+firsts AS (SELECT *, CASE WHEN min(part) OVER () * 1000 < 1 THEN 1 ELSE 0 END AS one_each FROM parts),
+shares AS (SELECT *, part * (1000 - one_each * sources) AS share FROM firsts),
 wholes AS (SELECT *, CAST(floor(share) AS INTEGER) AS whole FROM shares),
 placed AS (
   SELECT *, row_number() OVER (ORDER BY round(share - whole, 9) DESC, source) AS place,
-    1000 - sources - sum(whole) OVER () AS left_over FROM wholes),
-given AS (SELECT source, n, CAST(whole + 1 + CASE WHEN place <= left_over THEN 1 ELSE 0 END AS INTEGER) AS tickets FROM placed),
+    1000 - sum(whole + one_each) OVER () AS left_over FROM wholes),
+given AS (SELECT source, n, CAST(whole + one_each + CASE WHEN place <= left_over THEN 1 ELSE 0 END AS INTEGER) AS tickets FROM placed),
 named AS (SELECT *, row_number() OVER (ORDER BY tickets, source) AS i FROM given),
 lists AS (SELECT list(tickets ORDER BY i) AS a FROM named),
 run AS (
