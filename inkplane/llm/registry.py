@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import bpe, langid, mixing, nearest, simhash, topk, warc
+from inkplane.llm import bpe, langid, mixing, nearest, simhash, surrogates, topk, warc
 from inkplane.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_mix": op2_mix,
     "op3_topk": op3_topk,
+    "op4_surrogates": op4_surrogates,
     "op5_simhash": op5_simhash,
     "op6_nearest": op6_nearest,
     "op9_warc": op9_warc,
