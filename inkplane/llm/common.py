@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def crowded(spark: SparkSession) -> int:
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Consecutive (start, length) runs of rows holding about ``limit`` bytes each; one row at least."""
     values = batch.column(column)
-    size = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(size):
         if i > start and total + n > limit:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import bpe, langid, mixing, nearest, simhash, surrogates, topk, warc
+from inkplane.llm import bpe, langid, lines, mixing, nearest, simhash, surrogates, topk, warc
 from inkplane.llm.common import table
 
 
@@ -41,6 +41,11 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_surrogates": op4_surrogates,
     "op5_simhash": op5_simhash,
     "op6_nearest": op6_nearest,
+    "op7_lines": op7_lines,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
