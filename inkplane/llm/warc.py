@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from inkplane.llm.common import crowded, cut, fresh_path
 
-SHARD_BYTES, ROLL_BYTES, CELLS = 8 << 20, 2 << 20, 1 << 16
+SHARD_BYTES, ROLL_BYTES, CELLS = 4 << 20, 2 << 20, 1 << 14
 #: What a record costs besides its payload, when shards are filled.
 HEADER_BYTES = 512
 DATE = "1970-01-01T00:00:00Z"
