@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import bpe, langid, lines, mixing, nearest, simhash, surrogates, topk, warc
+from inkplane.llm import bpe, langid, lines, mixing, nearest, simhash, suffixes, surrogates, topk, warc
 from inkplane.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_nearest": op6_nearest,
     "op7_lines": op7_lines,
+    "op8_suffixes": op8_suffixes,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
