@@ -1 +1 @@
-
+"""Column functions: boxes, draws, text, regions and ink."""
