@@ -435,9 +435,12 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     names = [c for c in df.columns if c not in ("removed", "kept")]
     d = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # where no id repeats, the id alone names a document, and rows shuffle without a hash of the text
+    unique = df.groupBy(d.alias("d")).agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
+    h = F.lit(0).cast("long") if unique else F.xxhash64(t)
 
     def keyed(*more: Column) -> DataFrame:
-        return df.select(*more, d.alias("d"), F.xxhash64(t).alias("h"), t.cast("binary").alias("t"))
+        return df.select(*more, d.alias("d"), h.alias("h"), t.cast("binary").alias("t"))
 
     found = spans(keyed(), length).groupBy("d", "h").agg(F.collect_set(F.struct("b", "e")).alias("_found"))
     rows = keyed(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")).join(found, ["d", "h"], "left")
