@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words and runs remembered by a task, and the longest of them; both bound memory only.
-KEPT_WORDS, KEPT_RUNS, KEPT_LENGTH = 800_000, 200_000, 64
+KEPT_WORDS, KEPT_RUNS, KEPT_LENGTH = 300_000, 100_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
