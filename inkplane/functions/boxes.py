@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -60,7 +61,7 @@ def corners(cx: Column, cy: Column, w: Column, h: Column, width: Column, height:
     return F.struct((px - pw / 2).alias("x0"), (py - ph / 2).alias("y0"), (px + pw / 2).alias("x1"), (py + ph / 2).alias("y1"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def label_text(cx: pd.Series, cy: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
     """A label line with six decimals each. Only this needs Python: JVM formatting rounds ties another way."""
     return pd.Series([None if any(pd.isna(v) for v in r) else "0 %.6f %.6f %.6f %.6f" % r for r in zip(cx, cy, w, h, strict=True)])

@@ -1 +1 @@
-
+"""Operators on DataFrames: character sets, labels, layouts, numbering, rasters."""
