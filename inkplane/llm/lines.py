@@ -3,7 +3,7 @@
 Lines (parts of a text between line feeds, other than blank ones) of all documents
 are made distinct by hash. A line's shingles are its runs of ``SHINGLE`` characters,
 the whole line if it is shorter. MinHash signatures are cut into bands that find
-pairs of Jaccard similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.999.
+pairs of Jaccard similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.998.
 Lines that share a band are compared by exact Jaccard similarity of their shingle
 sets; bands that hold the same lines are compared once, and large ones in blocks,
 every block with every other. Links go to the distributed union-find. Of each
@@ -13,6 +13,9 @@ Null texts stay null; blank lines stay, always. Rows without doc_id come first i
 the order. Rows that repeat doc_id and text are one document and end up alike. A
 text that loses all its lines becomes empty. Other columns come along. Lines are
 told apart by 64-bit hashes.
+
+Texts are shuffled twice, compressed: once to fetch the lines to compare, once to
+write the result. What finds candidates is hashes alone.
 """
 
 from __future__ import annotations
@@ -21,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkplane.llm.common import crowded, cut, text_slices
 from inkplane.llm.components import components
 
-SHINGLE, ROWS, BANDS, LEAST = 8, 3, 10, 0.8
+SHINGLE, ROWS, BANDS, LEAST = 8, 3, 9, 0.8
 #: Lines of a block; rows gathered before blocks are compared.
 BLOCK, GATHER = 256, 8192
+#: White space of blank lines.
+BLANK = " \t\n\x0b\f\r"
 _RNG = np.random.default_rng(77)
 _FLIP = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _TIMES = _RNG.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * 2 + 1
@@ -79,13 +85,18 @@ def bands(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, k) of the lines of a batch, each line once."""
     for batch in batches:
-        for start, n in text_slices(batch, "line", 1 << 18):
-            part = batch.slice(start, n)
+        if not batch.num_rows:
+            continue
+        _, first = np.unique(batch.column("k").to_numpy(), return_index=True)
+        once = batch.take(pa.array(np.sort(first)))
+        for start, n in text_slices(once, "line", 1 << 18):
+            part = once.slice(start, n)
             values = bands(part.column("line").to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("k"), lists], ["k", "bands"])
+            k = np.repeat(part.column("k").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), pa.array(k)], ["band", "k"])
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -145,49 +156,98 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield work(pa.Table.from_batches(held).combine_chunks())
 
 
-def links(lines: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b): links between distinct lines (k, line)."""
-    spread = crowded(lines.sparkSession)
-    pairs = lines.mapInArrow(_bands, "k long, bands array<long>").select("k", F.explode("bands").alias("band"))
-    pairs = pairs.repartition(spread, "band")
-    sets = pairs.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed before a shuffle, which moves them whole."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [None if t is None else press.compress(t.encode()) for t in batch.column("t").to_pylist()]
+        at = batch.schema.get_field_index("t")
+        yield batch.set_column(at, "t", pa.array(texts, pa.binary()))
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    rows = docs.select(*names, "t")
+    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names]
+    return rows.mapInArrow(_pack, ", ".join([*kinds, "t binary"]))
+
+
+def _unpack(texts: pa.Array) -> Iterator[str | None]:
+    press = zstandard.ZstdDecompressor()
+    for t in texts:
+        yield press.decompress(t.as_py()).decode() if t.is_valid else None
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, line) of the lines wanted of each document."""
+    for batch in batches:
+        k, lines = [], []
+        for text, wanted in zip(_unpack(batch.column("t")), batch.column("wanted"), strict=True):
+            parts = text.split("\n")
+            for x in wanted.as_py():
+                k.append(x["k"])
+                lines.append(parts[x["n"]])
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(lines, pa.string())], ["k", "line"])
+
+
+def links(every: DataFrame, firsts: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b): links between distinct lines.
+
+    ``every`` has (k, line), ``firsts`` (k, at) with the place of one occurrence, ``docs`` (d, h, t).
+    """
+    spread = crowded(every.sparkSession)
+    pairs = every.select("k", "line").mapInArrow(_pairs, "band long, k long").repartition(spread, "band")
+    whole = Window.partitionBy("band")
+    shared = pairs.withColumn("low", F.min("k").over(whole)).withColumn("high", F.max("k").over(whole)).filter("low < high")
+    shared = cut(shared.select("band", "k").distinct())
+    sets = shared.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
     # bands with the same members are compared once
-    once = sets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band"))
+    once = sets.groupBy("n", "x", "y").agg(F.min("band").alias("band"))
     once = once.select("band", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = cut(pairs.join(once, "band"))
+    members = cut(shared.join(once, "band"))
     own = F.pmod(F.xxhash64("k", F.lit("block")), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y"),
         F.when(o == F.col("own"), 2).when(F.col("own") < o, 0).otherwise(1).alias("side")))
     dealt = members.withColumn("own", own).select("k", "band", F.explode(meets).alias("m"))
     dealt = dealt.select("k", F.xxhash64("band", "m.x", "m.y").alias("block"), F.col("m.side").alias("side"))
-    texts = lines.join(members.select("k").distinct(), "k", "left_semi")
+    places = members.select("k").distinct().join(firsts, "k").select("at.d", "at.h", F.struct("at.n", "k").alias("p"))
+    wanted = places.groupBy("d", "h").agg(F.collect_list("p").alias("wanted"))
+    # rows that repeat doc_id and text would give a line twice
+    texts = packed(docs, "d", "h").join(wanted, ["d", "h"]).select("t", "wanted").mapInArrow(_fetch, "k long, line string").dropDuplicates(["k"])
     rows = dealt.join(texts, "k").repartition(spread, "block").sortWithinPartitions("block", "k")
     return rows.mapInArrow(lambda it: _links(it, least), "a long, b long")
 
 
+def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, counts, dropped = [], [], []
+        for text, drop in zip(_unpack(batch.column("t")), batch.column("drop").to_pylist(), strict=True):
+            parts = [] if text is None else text.split("\n")
+            gone = set(drop or ())
+            counts.append(sum(1 for p in parts if p.strip(BLANK)))
+            dropped.append(len(gone))
+            texts.append("\n".join([p for i, p in enumerate(parts) if i not in gone]) if gone else text)
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(dropped, pa.int32())], ["_row", "t", "n_lines", "n_dropped"])
+
+
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """``df`` with the text's repeated lines removed, ``n_lines`` and ``n_dropped`` (blank lines don't count)."""
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    whole = F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("_row")
-    docs = df.select(whole, F.col(key).alias("d"), F.col(text).cast("string").alias("t"), F.xxhash64(F.col(text).cast("string")).alias("h"))
-    parts = F.split("t", "\n", -1)
-    every = docs.select("d", "h", F.posexplode(parts).alias("n", "line")).filter(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
+    whole = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text]).alias("_row")
+    t = F.col(text).cast("string")
+    docs = df.select(whole, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), t.alias("t"), F.xxhash64(t).alias("h"))
+    every = docs.select("d", "h", F.posexplode(F.split("t", "\n", -1)).alias("n", "line")).filter(F.trim(F.col("line"), F.lit(BLANK)) != "")
     every = every.withColumn("k", F.xxhash64("line"))
     occurrences = cut(every.select("k", F.struct("d", "h", "n").alias("at")))
-    distinct = every.select("k", "line").groupBy("k").agg(F.first("line").alias("line"))
-    near = components(links(distinct, least)).select(F.col("node").alias("k"), "root")
-    firsts = cut(occurrences.groupBy("k").agg(F.min("at").alias("at"), F.count("*").alias("c")).join(near, "k", "left"))
+    places = cut(occurrences.groupBy("k").agg(F.min("at").alias("at"), F.count("*").alias("c")))
+    near = components(links(every, places, docs, least)).select(F.col("node").alias("k"), "root")
+    firsts = cut(places.join(near, "k", "left"))
     keep = firsts.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("at").alias("keep"))
     alone = firsts.filter(F.col("root").isNull() & (F.col("c") > 1)).select("k", F.col("at").alias("keep"))
     keepers = cut(firsts.filter(F.col("root").isNotNull()).join(keep, "root").select("k", "keep").unionByName(alone))
     gone = occurrences.join(keepers, "k").filter(F.col("at") != F.col("keep"))
-    drops = gone.groupBy(F.col("at.d").alias("_d"), F.col("at.h").alias("_h")).agg(F.collect_set("at.n").alias("drop"))
-    drops = cut(drops.withColumn("_d", F.coalesce(F.col("_d").cast("string"), F.lit(""))))
-    docs = docs.withColumn("_d", F.coalesce(F.col("d").cast("string"), F.lit("")))
-    joined = docs.join(drops, (docs["_d"] == drops["_d"]) & (docs["h"] == drops["_h"]), "left")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    lines = F.size(F.filter(parts, lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != ""))
-    out = joined.select("_row", F.when(F.col("drop").isNull(), F.col("t")).otherwise(kept).alias("t"), F.when(F.col("t").isNull(), 0).otherwise(lines).alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"))
+    drops = gone.groupBy("at.d", "at.h").agg(F.collect_set("at.n").alias("drop"))
+    rows = packed(docs, "_row", "d", "h").join(drops, ["d", "h"], "left").select("_row", "t", "drop")
+    made = rows.mapInArrow(_drop, f"_row {docs.schema['_row'].dataType.simpleString()}, t string, n_lines int, n_dropped int")
     columns = [F.col("t").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names]
-    return out.select(*columns, "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"))
+    return made.select(*columns, "n_lines", "n_dropped")
