@@ -33,11 +33,12 @@ def common(rows: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
 
     One aggregation by code point against the number of fonts, which is one row.
     """
-    have = glyphs(rows).groupBy("codepoint").agg(F.count("*").alias("have"))
-    listed = rows.select("font").distinct() if fonts is None else fonts.select("font").distinct()
+    listed = (rows if fonts is None else fonts).select("font").distinct()
+    if listed.isEmpty():
+        raise ValueError("no fonts")
+    have = glyphs(rows).join(listed, "font", "left_semi").groupBy("codepoint").agg(F.count("*").alias("have"))
     total = listed.agg(F.count("*").alias("fonts"))
-    total = total.select(F.when(F.col("fonts") == 0, F.raise_error(F.lit("no fonts"))).otherwise(F.col("fonts")).cast("long").alias("fonts"))
-    return have.join(F.broadcast(total), F.col("have") == F.col("fonts"), "right").filter(F.col("codepoint").isNotNull()).select("codepoint")
+    return have.join(F.broadcast(total), F.col("have") == F.col("fonts")).select("codepoint")
 
 
 def supported(rows: DataFrame, fonts: DataFrame | None = None) -> DataFrame:

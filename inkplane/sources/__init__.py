@@ -1 +1 @@
-
+"""Sources and sinks: dictionaries, fonts, pages, labels, manifests."""
