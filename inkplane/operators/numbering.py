@@ -48,9 +48,10 @@ def sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 def draw_with_replacement(df: DataFrame, population: DataFrame, seed: int, key: str, by: str) -> DataFrame:
     """Every row of ``df`` with a row of ``population``, drawn by number: an equi-join, an error for an empty population."""
+    if population.isEmpty():
+        raise ValueError("nothing to draw from")
     numbered = dense(population, by, name="_pick")
     total = population.agg(F.count("*").alias("_size"))
-    total = total.select(F.when(F.col("_size") == 0, F.raise_error(F.lit("nothing to draw from"))).otherwise(F.col("_size")).cast("long").alias("_size"))
     picked = df.join(F.broadcast(total)).withColumn("_pick", F.floor(draws.uniform(seed, "pick", key) * F.col("_size")).cast("long"))
     return picked.join(numbered, "_pick").drop("_pick", "_size")
 

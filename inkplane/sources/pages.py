@@ -13,11 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import yaml
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.functions.text import basename
-
 SPLITS, KINDS = ("train", "val"), ("images", "labels")
 
 
@@ -72,16 +71,21 @@ def label_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def split_files(spark: SparkSession, root: str) -> DataFrame:
-    """(split, kind, name) of the files in a dataset's four folders; absent folders have none."""
-    found = None
-    for split in SPLITS:
-        for kind in KINDS:
-            folder = f"{root}/{split}/{kind}"
-            if not os.path.isdir(folder) or not os.listdir(folder):
-                continue
-            rows = spark.read.format("binaryFile").load(folder).select(F.lit(split).alias("split"), F.lit(kind).alias("kind"), basename(F.col("path")).alias("name"))
-            found = rows if found is None else found.unionByName(rows)
-    return spark.createDataFrame([], "split string, kind string, name string") if found is None else found
+    """(split, kind, name) of the files in a dataset's four folders; absent folders have none.
+
+    A task lists a folder: Spark's own readers pass over empty files, which labels of negatives are.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for split, kind in zip(frame["split"], frame["kind"], strict=True):
+                system, path = fs.FileSystem.from_uri(f"{root}/{split}/{kind}")
+                found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+                names = [f.base_name for f in found if f.type == fs.FileType.File]
+                yield pd.DataFrame({"split": [split] * len(names), "kind": [kind] * len(names), "name": pd.Series(names, dtype=str)})
+
+    folders = spark.createDataFrame([(s, k) for s in SPLITS for k in KINDS], "split string, kind string").repartition(4)
+    return folders.mapInPandas(run, "split string, kind string, name string")
 
 
 def png(image: np.ndarray) -> bytes:
