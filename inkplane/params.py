@@ -118,3 +118,9 @@ def as_row(spark: SparkSession, settings: Settings) -> DataFrame:
     kinds = {int: "bigint", float: "double", str: "string", bool: "boolean"}
     schema = ", ".join(f"{f.name} {kinds[type(f.default)]}" for f in fields(Settings))
     return spark.createDataFrame([tuple(getattr(settings, f.name) for f in fields(Settings))], schema)
+
+
+def hosted(mount: str, markers: tuple[str, ...], environment: Mapping[str, str] | None = None) -> bool:
+    """Whether this runs on a notebook host: its mount exists, or its environment has one of the markers."""
+    env = os.environ if environment is None else environment
+    return os.path.exists(mount) or any(m in env for m in markers)

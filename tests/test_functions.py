@@ -138,3 +138,7 @@ def test_settings():
     with pytest.raises(ValueError):
         params.load({"KD_BATCH": "many"})
     assert [params.parse(v, True) for v in ("1", "TRUE", "yes", "0", "on")] == [True, True, True, False, False]
+
+
+def test_hosted(tmp_path):
+    assert params.hosted(str(tmp_path), ()) and params.hosted("/not/there", ("A", "B"), {"B": ""}) and not params.hosted("/not/there", ("A",), {})
