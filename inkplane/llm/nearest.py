@@ -48,6 +48,15 @@ def intervals(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return middle - error, middle + error
 
 
+def distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances, squares added up in the order of the components, as plain loops and SQL do."""
+    total = np.zeros(len(v))
+    for j in range(len(q)):
+        d = v[:, j] - q[j]
+        total += d * d
+    return np.sqrt(total)
+
+
 def _tile(part: pa.Table, k: int) -> pa.Table:
     (q_ids, q, _), (v_ids, v) = tiles.split_tile(part)
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -58,7 +67,7 @@ def _tile(part: pa.Table, k: int) -> pa.Table:
         reach = np.partition(high, k - 1, axis=1)[:, k - 1] if len(v_ids) >= k else np.full(len(q_ids), np.inf)
         for i in range(len(q_ids)):
             at = np.flatnonzero((low[i] <= reach[i]) & ~own[i])
-            exact = np.sqrt(((v[at] - q[i]) ** 2).sum(axis=1))
+            exact = distances(q[i], v[at])
             best = np.lexsort((v_ids[at], exact))[:k]
             rows.append((np.full(len(best), q_ids[i]), v_ids[at][best], exact[best]))
     q_out, v_out, s_out = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 3

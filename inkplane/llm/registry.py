@@ -115,4 +115,31 @@ numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM numbered WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL}
+OP6_SQL = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+far AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[2] - p[1]) * (p[2] - p[1])))) AS score
+  FROM fine q JOIN fine c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM far)
+SELECT query_id, rank, vec_id, score FROM numbered WHERE rank <= 10
+"""
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+named AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS best, sha1(h) AS x FROM p),
+bits AS (
+  SELECT *, array_to_string(list_transform(string_split(x, ''), lambda c:
+    substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', c) - 1) + 1, 4)), '') AS b FROM named),
+coded AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    16 * CAST(substr(b, 5 * i + 1, 1) AS BIGINT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS BIGINT) + 4 * CAST(substr(b, 5 * i + 3, 1) AS BIGINT)
+    + 2 * CAST(substr(b, 5 * i + 4, 1) AS BIGINT) + CAST(substr(b, 5 * i + 5, 1) AS BIGINT) + 1 AS BIGINT), 1)), '') AS payload_digest FROM bits)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to FROM coded
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL, "op6_nearest": OP6_SQL, "op9_warc": OP9_SQL}
