@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,7 +147,7 @@ def _fit(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
     for i, (at, share) in enumerate(zip(part.column("at").to_pylist(), part.column("share").to_pylist(), strict=True)):
         x[i, at] = share
     x = np.sqrt(x, out=x)  # shares become rows of length 1, and the most frequent runs weigh less
-    order = sorted(range(len(x)), key=lambda i: x[i].tobytes())  # rows come in any order
+    order = sorted(range(len(x)), key=lambda i: xxhash.xxh64_intdigest(x[i]))  # rows come in any order
     w, b = fit_svm(x, part.column("y").to_numpy().astype(float), np.array(order))
     return pa.table({"task": pa.array([task], pa.int32()), "w": [w.astype(np.float32)], "b": [float(b)]})
 
