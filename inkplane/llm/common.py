@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,25 @@ def valid_vector(column: str):
     c = F.col(column)
     fine = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return c.isNotNull() & (F.size(c) > 0) & F.coalesce(fine, F.lit(False))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed before a shuffle, which moves them whole."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [None if t is None else press.compress(t.encode()) for t in batch.column("t").to_pylist()]
+        at = batch.schema.get_field_index("t")
+        yield batch.set_column(at, "t", pa.array(texts, pa.binary()))
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    rows = docs.select(*names, "t")
+    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names]
+    return rows.mapInArrow(_pack, ", ".join([*kinds, "t binary"]))
+
+
+def unpacked(texts: pa.Array) -> Iterator[bytes | None]:
+    """The bytes of packed texts."""
+    press = zstandard.ZstdDecompressor()
+    for t in texts:
+        yield press.decompress(t.as_py()) if t.is_valid else None

@@ -24,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkplane.llm.common import crowded, cut, text_slices
+from inkplane.llm.common import crowded, cut, packed, text_slices, unpacked
 from inkplane.llm.components import components
 
 SHINGLE, ROWS, BANDS, LEAST = 8, 3, 9, 0.8
@@ -156,33 +155,12 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield work(pa.Table.from_batches(held).combine_chunks())
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed before a shuffle, which moves them whole."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = [None if t is None else press.compress(t.encode()) for t in batch.column("t").to_pylist()]
-        at = batch.schema.get_field_index("t")
-        yield batch.set_column(at, "t", pa.array(texts, pa.binary()))
-
-
-def packed(docs: DataFrame, *names: str) -> DataFrame:
-    rows = docs.select(*names, "t")
-    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names]
-    return rows.mapInArrow(_pack, ", ".join([*kinds, "t binary"]))
-
-
-def _unpack(texts: pa.Array) -> Iterator[str | None]:
-    press = zstandard.ZstdDecompressor()
-    for t in texts:
-        yield press.decompress(t.as_py()).decode() if t.is_valid else None
-
-
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, line) of the lines wanted of each document."""
     for batch in batches:
         k, lines = [], []
-        for text, wanted in zip(_unpack(batch.column("t")), batch.column("wanted"), strict=True):
-            parts = text.split("\n")
+        for text, wanted in zip(unpacked(batch.column("t")), batch.column("wanted"), strict=True):
+            parts = text.decode().split("\n")
             for x in wanted.as_py():
                 k.append(x["k"])
                 lines.append(parts[x["n"]])
@@ -221,7 +199,8 @@ def links(every: DataFrame, firsts: DataFrame, docs: DataFrame, least: float = L
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts, dropped = [], [], []
-        for text, drop in zip(_unpack(batch.column("t")), batch.column("drop").to_pylist(), strict=True):
+        for text, drop in zip(unpacked(batch.column("t")), batch.column("drop").to_pylist(), strict=True):
+            text = None if text is None else text.decode()
             parts = [] if text is None else text.split("\n")
             gone = set(drop or ())
             counts.append(sum(1 for p in parts if p.strip(BLANK)))

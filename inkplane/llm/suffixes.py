@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkplane.llm.common import crowded, cut
+from inkplane.llm.common import crowded, cut, packed, unpacked
 
 LENGTH, GRAM = 100, 24
 PIECE = 1 << 20
@@ -161,7 +161,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     for batch in batches:
         d, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "h"))
         found: list[tuple] = []
-        for data, first, document, place in _pieces(batch.column("t").to_pylist(), length):
+        for data, first, document, place in _pieces([(t or "").encode() for t in batch.column("t").to_pylist()], length):
             key, digest, start, n, off = runs(data, first, length)
             found.append((key, digest, d[document[start]], h[document[start]], place[start], n, off))
         if found:
@@ -226,7 +226,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     """Documents with their list of runs: the bytes of each run."""
     for batch in batches:
         rows: list[tuple] = []
-        for d, h, t, needed in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "t", "needed")), strict=True):
+        for d, h, t, needed in zip(*(batch.column(c).to_pylist() for c in ("d", "h")), unpacked(batch.column("t")), batch.column("needed").to_pylist(), strict=True):
             for r in needed:
                 rows.append((r["key"], d, h, r["s"], r["n"], r["off"], t[r["s"] : r["s"] + r["n"] + length - 1]))
                 if len(rows) >= 20_000:
@@ -382,7 +382,7 @@ SPANS = "d long, h long, b long, e long"
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(d, h, b, e): bytes [b, e) of document (d, h) are repeats; spans may overlap. ``docs`` has (d, h, t binary)."""
+    """(d, h, b, e): bytes [b, e) of document (d, h) are repeats; spans may overlap. ``docs`` has (d, h, t)."""
     parts = crowded(docs.sparkSession)
     found = docs.mapInArrow(lambda it: _scan(it, length), RUN)
     dealt = found.repartition(parts, "key").sortWithinPartitions("key", "digest", "d", "h", "s")
@@ -390,7 +390,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     known = lambda x: x.filter("n < 0").select("d", "h", F.col("s").alias("b"), (F.col("s") - F.col("n") + length - 1).alias("e"))
     done = [known(sifted)]
     needed = sifted.filter("n > 0").groupBy("d", "h").agg(F.collect_list(F.struct("key", "s", "n", "off")).alias("needed"))
-    left = cut(docs.join(needed, ["d", "h"]).mapInArrow(lambda it: _cut_out(it, length), TEXTED))
+    left = cut(packed(docs, "d", "h").join(needed, ["d", "h"]).mapInArrow(lambda it: _cut_out(it, length), TEXTED))
     level = (length - GRAM).bit_length()
     while True:
         sizes = left.groupBy("key").agg(F.count("*").alias("c"))
@@ -413,19 +413,22 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, kept = [], []
-        for t, found in zip(batch.column("_t").to_pylist(), batch.column("_found").to_pylist(), strict=True):
+        texts, removed, kept = [], [], []
+        for text, found in zip(unpacked(batch.column("t")), batch.column("_found").to_pylist(), strict=True):
             merged: list[dict] = []
             for x in sorted((x["b"], x["e"]) for x in found or ()):
                 if merged and x[0] <= merged[-1]["e"]:
                     merged[-1]["e"] = max(merged[-1]["e"], x[1])
                 else:
                     merged.append({"b": x[0], "e": x[1]})
+            t = text or b""
             ends = [0, *(y for x in merged for y in (x["b"], x["e"])), len(t)]
+            texts.append(text)
             removed.append(merged)
             kept.append(b"".join(t[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
         kind = pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(removed, kind), pa.array(kept, pa.binary())], ["_row", "removed", "kept"])
+        whole = pa.array(texts, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), whole, pa.array(removed, kind), pa.array(kept, pa.binary())], ["_row", "t", "removed", "kept"])
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -434,19 +437,21 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         raise ValueError("the length must be above GRAM bytes, and below 4096")
     names = [c for c in df.columns if c not in ("removed", "kept")]
     d = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = F.col(text).cast("string")
     # where no id repeats, the id alone names a document, and rows shuffle without a hash of the text
     unique = df.groupBy(d.alias("d")).agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
-    h = F.lit(0).cast("long") if unique else F.xxhash64(t)
+    h = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(t, F.lit("")))
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text]).alias("_row")
 
     def keyed(*more: Column) -> DataFrame:
-        return df.select(*more, d.alias("d"), h.alias("h"), t.cast("binary").alias("t"))
+        return df.select(*more, d.alias("d"), h.alias("h"), t.alias("t"))
 
     found = spans(keyed(), length).groupBy("d", "h").agg(F.collect_set(F.struct("b", "e")).alias("_found"))
-    rows = keyed(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")).join(found, ["d", "h"], "left")
+    rows = packed(keyed(others), "_row", "d", "h").join(found, ["d", "h"], "left").select("_row", "t", "_found")
     kind = rows.schema["_row"].dataType.simpleString()
-    made = rows.select("_row", F.col("t").alias("_t"), "_found").mapInArrow(_clean, f"_row {kind}, removed array<struct<b: long, e: long>>, kept binary")
-    return made.select("_row.*", "removed", "kept")
+    made = rows.mapInArrow(_clean, f"_row {kind}, t string, removed array<struct<b: long, e: long>>, kept binary")
+    columns = [F.col("t").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names]
+    return made.select(*columns, "removed", "kept")
 
 
 def digests(docs: DataFrame) -> DataFrame:
