@@ -86,7 +86,7 @@ def sample_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_min_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages at least as large as a crop."""
-    w, h = (F.col("p_size") * 40).cast("int"), (F.col("p_partkey") % 1000 + 300).cast("int")
+    w, h = (F.col("p_size") * 40).cast("int"), (F.col("p_partkey") * 37 % 1000 + 300).cast("int")
     return read(spark, sf_dir, "part").select("p_partkey", w.alias("width"), h.alias("height")).filter((F.col("width") >= S.crop_size) & (F.col("height") >= S.crop_size))
 
 
@@ -137,7 +137,7 @@ QUERIES = {
     )
 }
 
-_PAGES = "pages_large AS (SELECT * FROM (SELECT p_partkey, CAST(p_size * 40 AS INTEGER) AS width, CAST(p_partkey % 1000 + 300 AS INTEGER) AS height FROM part) WHERE width >= 640 AND height >= 640)"
+_PAGES = "pages_large AS (SELECT * FROM (SELECT p_partkey, CAST(p_size * 40 AS INTEGER) AS width, CAST(p_partkey * 37 % 1000 + 300 AS INTEGER) AS height FROM part) WHERE width >= 640 AND height >= 640)"
 _BLOCKS = """blocks AS (
   SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'vertical' ELSE 'horizontal' END AS direction, p_partkey % 5 + 2 AS columns_n, p_partkey % 11 + 6 AS chars,
     p_size % 24 + 24 AS cell_w, p_size % 20 + 26 AS cell_h, p_partkey % 5 + 2 AS char_gap, p_partkey % 7 + 4 AS column_gap, p_partkey % 100 AS sx, p_partkey % 90 AS sy FROM part),
