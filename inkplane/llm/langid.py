@@ -45,7 +45,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 #: Documents of a language in the training sample, and rows of one SVM's task at most.
 PER_LANGUAGE, TASK_ROWS = 400, 2000
 EPOCHS, PENALTY = 40, 1e-4
@@ -144,8 +144,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fit(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
     (task,) = (k.as_py() for k in key)
     x = np.zeros((part.num_rows, BUCKETS), np.float32)
-    for i, (at, share) in enumerate(zip(part.column("at").to_pylist(), part.column("share").to_pylist(), strict=True)):
-        x[i, at] = share
+    lists = part.column("at").combine_chunks()
+    rows = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+    x[rows, lists.flatten().to_numpy()] = part.column("share").combine_chunks().flatten().to_numpy()
     x = np.sqrt(x, out=x)  # shares become rows of length 1, and the most frequent runs weigh less
     order = sorted(range(len(x)), key=lambda i: xxhash.xxh64_intdigest(x[i]))  # rows come in any order
     w, b = fit_svm(x, part.column("y").to_numpy().astype(float), np.array(order))
@@ -205,7 +206,7 @@ def _margins(texts: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], shared, keep_text: bool) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     for batch in batches:
         for start, n in text_slices(batch, "_text"):
@@ -215,7 +216,8 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
             at = np.flatnonzero(letters)
             if len(at):
                 lang[at], score[at] = model.predict(_margins([texts[i] for i in at], model))
-            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(lang, pa.string()), pa.array(score)], ["_row", "lang_pred", "score"])
+            names = [n for n in ("_row", "_text") if n == "_row" or keep_text]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -223,10 +225,13 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: list[
     names = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     if model is None:
         return df.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text).alias("_text"), has_letter(F.col(text)).alias("_letter"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    kind = f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double"
-    return rows.mapInArrow(lambda it: _predict(it, shared), kind).select("_row.*", "lang_pred", "score")
+    # the text goes to Python once, and comes back only if it is kept
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != text])
+    rows = df.select(others.alias("_row"), F.col(text).cast("string").alias("_text"), has_letter(F.col(text)).alias("_letter"))
+    shared, keep_text = df.sparkSession.sparkContext.broadcast(model), text in names
+    kind = f"_row {rows.schema['_row'].dataType.simpleString()}{', _text string' if keep_text else ''}, lang_pred string, score double"
+    made = rows.mapInArrow(lambda it: _predict(it, shared, keep_text), kind)
+    return made.select(*[F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names], "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:
