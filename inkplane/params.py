@@ -13,7 +13,7 @@ PREFIX = "KD_"
 
 @dataclass(frozen=True)
 class Settings:
-    """Defaults. ``ENVIRONMENT`` names the variable that overrides each."""
+    """Defaults (but for names of project and dataset, which are free). ``ENVIRONMENT`` names the variable that overrides each."""
 
     val_ratio: float = 0.15
     crop_size: int = 640
@@ -29,8 +29,8 @@ class Settings:
     batch: int = 16
     hosted_workers: int = 2
     local_workers: int = 4
-    project_name: str = "kanji_detector"
-    hosted_dataset: str = "kanji-detector-dataset"
+    project_name: str = "detector"
+    hosted_dataset: str = "detector-dataset"
     negative_probability: float = 0.20
     blocks_min: int = 3
     blocks_max: int = 8
