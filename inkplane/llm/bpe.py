@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words and runs remembered by a task, and the longest of them; both bound memory only.
-KEPT_WORDS, KEPT_RUNS, KEPT_LENGTH = 300_000, 100_000, 64
+KEPT_WORDS, KEPT_RUNS, KEPT_LENGTH = 200_000, 50_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -176,9 +176,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.mapInArrow(lambda it: _decode_batches(it, path, ids, out), schema)
 
 
+def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``ids`` and ``decoded``: encoding and decoding in one Python worker instead of two."""
+    rows = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    schema = T.StructType([rows.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _decode_batches(_encode_batches(batches, path, "_text"), path, "ids", "decoded")
+        pa.default_memory_pool().release_unused()  # the worker stays, idle, for later stages
+
+    return rows.mapInArrow(run, schema)
+
+
 def tokens(docs: DataFrame, path: str) -> DataFrame:
     """The digests of ids and of decoded texts, one row for each document."""
-    both = decode(encode(docs, path), path)
+    both = round_trip(docs, path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
