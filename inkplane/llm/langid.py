@@ -45,7 +45,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 14
 #: Documents of a language in the training sample, and rows of one SVM's task at most.
 PER_LANGUAGE, TASK_ROWS = 400, 2000
 EPOCHS, PENALTY = 40, 1e-4

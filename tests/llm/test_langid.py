@@ -49,3 +49,9 @@ def test_extra_columns_stay(spark):
 
 def test_families():
     assert langid.family("pt-BR") == "romance" and langid.family("xx") == "xx"
+
+
+def test_runs_of_three_letters_keep_apart():
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    runs = np.stack(np.meshgrid(letters, letters, letters), -1).reshape(-1, 3)
+    assert len({int(langid.hashed(r, 3)[0]) for r in runs}) > 7000

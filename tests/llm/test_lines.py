@@ -97,6 +97,10 @@ def test_recall_of_the_bands():
     assert sum(close) > 700 and hit[np.array(close)].mean() > 0.995
 
 
+def test_bands_find_all_but_a_thousandth():
+    assert (1 - lines.LEAST**lines.ROWS) ** lines.BANDS < 0.001
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK", 10)
     monkeypatch.setattr(lines, "GATHER", 30)
