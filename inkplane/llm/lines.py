@@ -2,7 +2,8 @@
 
 Lines (parts of a text between line feeds, other than blank ones) of all documents
 are made distinct by hash. A line's shingles are its runs of ``SHINGLE`` characters,
-the whole line if it is shorter. MinHash signatures are cut into bands that find
+the whole line if it is shorter; runs of 5 keep a line of 85 characters near that has
+one word of 5 letters changed. MinHash signatures are cut into bands that find
 pairs of Jaccard similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.999.
 Lines that share a band are compared by exact Jaccard similarity of their shingle
 sets; bands that hold the same lines are compared once, and large ones in blocks,
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from inkplane.llm.common import crowded, cut, packed, text_slices, unpacked
 from inkplane.llm.components import components
 
-SHINGLE, ROWS, BANDS, LEAST = 8, 3, 10, 0.8
+SHINGLE, ROWS, BANDS, LEAST = 5, 5, 18, 0.8
 #: Lines of a block; rows gathered before blocks are compared.
 BLOCK, GATHER = 256, 8192
 #: White space of blank lines.

@@ -101,6 +101,13 @@ def test_bands_find_all_but_a_thousandth():
     assert (1 - lines.LEAST**lines.ROWS) ** lines.BANDS < 0.001
 
 
+def test_a_short_line_with_one_word_changed(spark):
+    line = "the committee will meet again on Monday in the large hall behind the old town library today"
+    rows = [(1, line, "x", 1, 1), (2, line.replace("large", "small"), "x", 1, 1), (3, line[:-1] + "i", "x", 1, 1)]
+    out = {r.doc_id: r.n_dropped for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: 0, 2: 1, 3: 1}
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK", 10)
     monkeypatch.setattr(lines, "GATHER", 30)
