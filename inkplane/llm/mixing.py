@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling (operator 2, DataFrame functions only).
 
 Rows of a source are taken in the order of the md5 of their key and cut into blocks.
-Target weights become whole tickets a_s out of ``resolution``. Block k of source s
-may not run before slot floor(k / w) and has to run before slot ceil((k + 1) / w),
-w = a_s / resolution. Earliest deadline first, over the blocks that are released,
-gives every slot one block; since the tickets sum to the resolution, the schedule
-repeats after that many slots, so one period is worked out (``schedule``) and any
-block finds its slot by division: slot = (k div a_s) * resolution + template slot.
-After any number of slots a source is less than one block away from its share.
+A run is cut into periods of ``resolution`` slots. In each, a source has whole
+tickets, a_s of them. Block k of its blocks there may not run before slot
+floor(k / w) and has to run before slot ceil((k + 1) / w), w = a_s / resolution.
+Earliest deadline first, over the blocks that are released, gives every slot one
+block (``schedule``). Tickets differ from period to period so that those of all
+periods so far are less than one away from the exact weight's (``turns``). So after
+any number of slots a source is less than two blocks away from its weight, however
+long the run, and less than one at the end of every period of a longer run.
 
 Every row is kept. A source that has run out leaves its later slots empty, so the
 others go on in proportion to their weights; ``exact`` tells whether a row lies
@@ -19,7 +20,8 @@ other columns come along, whatever their names, under the operator's own columns
 
 How it scales: the window that numbers the rows runs within a source and one of
 4096 hash ranges, so no source meets in one task, and a second, small one adds up
-the ranges before. The template has ``resolution`` rows at most and is broadcast.
+the ranges before. Periods are worked out apart from each other; only their tickets
+follow from each other, one step for a period. Blocks meet their slots by a shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkplane.llm.common import crowded, cut
+
 #: Slots of a period; hash ranges of a source are the first three hex digits of the md5 (4096).
 RESOLUTION, RANGE_DIGITS = 1000, 3
 BLOCK_ROWS = 16
@@ -59,12 +63,13 @@ def tickets(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
 
 
 def schedule(shares: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
-    """(source, tickets, block, slot): the blocks of one period, each in its slot.
+    """(source, tickets, block, slot): the blocks of one period, each in its slot; with ``period`` if ``shares`` has it.
 
     The loop over slots is one higher-order aggregate over the array of sources,
     of a size fixed by the resolution.
     """
-    sources = shares.agg(F.array_sort(F.collect_list(F.struct("tickets", F.col("source").alias("name")))).alias("s"))
+    key = [c for c in shares.columns if c == "period"]
+    sources = shares.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("tickets", F.col("source").alias("name")))).alias("s"))
     sources = sources.filter(F.size("s") > 0)
 
     def deadline(a: Column, k: Column) -> Column:
@@ -84,11 +89,56 @@ def schedule(shares: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
         )
 
     start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-    run = sources.select("s", F.aggregate(F.sequence(F.lit(0), F.lit(resolution - 1)), start, step)["order"].alias("order"))
-    slots = run.select("s", F.posexplode("order").alias("slot", "i")).filter("i >= 0")
-    taken = slots.select(F.get("s", F.col("i"))["name"].alias("source"), F.get("s", F.col("i"))["tickets"].alias("tickets"), "slot")
-    block = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    return taken.select("source", "tickets", block.alias("block"), "slot")
+    run = sources.select(*key, "s", F.aggregate(F.sequence(F.lit(0), F.lit(resolution - 1)), start, step)["order"].alias("order"))
+    slots = run.select(*key, "s", F.posexplode("order").alias("slot", "i")).filter("i >= 0")
+    taken = slots.select(*key, F.get("s", F.col("i"))["name"].alias("source"), F.get("s", F.col("i"))["tickets"].alias("tickets"), "slot")
+    block = F.row_number().over(Window.partitionBy(*key, "source").orderBy("slot")) - 1
+    return taken.select(*key, "source", "tickets", block.alias("block"), "slot")
+
+
+def turns(weights: DataFrame, ends: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
+    """(period, source, tickets, before): whole tickets of every period, and those of the periods before.
+
+    ``ends`` has (source, blocks). A run of one period takes its tickets by largest
+    remainders. In a longer one, after periods of t slots in all, a source of weight w
+    has had floor(w * t) or ceil(w * t) tickets: what is due by then first, then the
+    blocks released, earliest deadline first. A weight below one ticket gets one in
+    some periods only.
+    """
+    one = Window.partitionBy()
+    w = weights.filter(F.col("weight") > 0).withColumn("part", F.col("weight") / F.sum("weight").over(one)).join(ends, "source")
+    w = w.withColumn("slots", F.max(F.ceil(F.round(F.col("blocks") / F.col("part"), 6))).over(one))
+    short = tickets(w.filter(F.col("slots") <= resolution).select("source", "weight"), resolution)
+    short = short.select(F.lit(0).alias("period"), "source", F.col("tickets").cast("long").alias("tickets"), F.lit(0).cast("long").alias("before"))
+    listed = w.filter(F.col("slots") > resolution).agg(F.array_sort(F.collect_list(F.struct("source", "part"))).alias("s"), F.max("slots").alias("slots"))
+    listed = listed.filter(F.size("s") > 0).withColumn("periods", F.ceil(F.col("slots") / F.lit(resolution)).cast("int"))
+
+    def owed(had: Column, period: Column) -> Column:
+        """Tickets due by the end of a period, and the deadline of one more where that is released."""
+
+        def each(x: Column, i: Column) -> Column:
+            goal = F.round(x["part"] * (period * F.lit(resolution)), 6)
+            free = (goal > F.floor(goal)) & (F.get(had, i) <= F.floor(goal))
+            return F.struct(F.greatest(F.floor(goal), F.get(had, i)).alias("due"), F.when(free, F.struct(((F.floor(goal) + 1) / x["part"]).alias("at"), i.alias("i"))).alias("more"))
+
+        return F.transform("s", each)
+
+    def advance(state: Column, period: Column) -> Column:
+        def given(due: Column) -> Column:
+            left = (period * F.lit(resolution) - F.aggregate(due, F.lit(0).cast("long"), lambda n, x: n + x["due"])).cast("int")
+            last = F.get(F.array_sort(F.filter(F.transform(due, lambda x: x["more"]), lambda m: m.isNotNull())), left - 1)
+            # an array of one element names what is used for every source
+            return F.flatten(F.transform(F.array(last), lambda m: F.transform(due, lambda x: x["due"] + F.coalesce(x["more"] <= m, F.lit(False)).cast("long"))))
+
+        had = F.transform(F.array(owed(F.element_at(state, -1), period)), given)
+        return F.concat(state, had)
+
+    start = F.array(F.transform("s", lambda x: F.lit(0).cast("long")))
+    run = listed.select("s", F.aggregate(F.sequence(F.lit(1), F.col("periods")), start, advance).alias("all"))
+    periods = run.select("s", F.explode(F.transform(F.slice("all", F.lit(1), F.size("all") - 1), lambda had, p: F.struct(p.alias("period"), had.alias("had"), F.get("all", p + 1).alias("next")))).alias("p"))
+    sources = periods.select(F.col("p.period").alias("period"), F.explode(F.arrays_zip("s", F.col("p.had").alias("had"), F.col("p.next").alias("next"))).alias("x"))
+    long = sources.select("period", F.col("x.s.source").alias("source"), (F.col("x.next") - F.col("x.had")).alias("tickets"), F.col("x.had").alias("before"))
+    return short.unionByName(long.filter("tickets > 0"))
 
 
 def _spelled(source: Column) -> Column:
@@ -123,19 +173,16 @@ def mix(df: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", so
     counts = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"))
     if weights is not None:
         weights = weights.select(_spelled(F.col("source")).alias("source"), "weight").join(counts.select("source"), "source")
-    shares = tickets(tempered(counts) if weights is None else weights, resolution)
-    period = schedule(shares, resolution).select(F.col("source").alias("_source"), "tickets", F.col("block").alias("_at"), "slot")
-    sizes = counts.select(F.col("source").alias("_source"), F.ceil(F.col("n") / F.lit(block_rows)).alias("blocks"))
-    last = sizes.join(period, "_source").filter(F.pmod(F.col("blocks") - 1, F.col("tickets")) == F.col("_at"))
-    end = F.floor((F.col("blocks") - 1) / F.col("tickets")) * resolution + F.col("slot")
-    horizon = last.agg(F.min(end).cast("long").alias("_horizon"))
-    own = period.filter("_at = 0").select("_source", F.col("tickets").alias("_tickets"))
+    sizes = counts.select("source", F.ceil(F.col("n") / F.lit(block_rows)).alias("blocks"))
+    shares = cut(turns(tempered(counts) if weights is None else weights, sizes, resolution))
+    made = schedule(shares.select("period", "source", "tickets").repartition(crowded(df.sparkSession), "period"), resolution)
+    made = made.join(shares.select("period", "source", "before"), ["period", "source"])
+    places = made.select(F.col("source").alias("_source"), (F.col("before") + F.col("block")).alias("mix_block"), (F.col("period").cast("long") * resolution + F.col("slot")).alias("mix_slot"))
+    places = cut(places)
+    last = sizes.select(F.col("source").alias("_source"), (F.col("blocks") - 1).alias("mix_block")).join(places, ["_source", "mix_block"])
+    horizon = last.agg(F.min("mix_slot").alias("_horizon"))
     rows = numbered(rows).withColumn("mix_block", F.floor(F.col("_n") / F.lit(block_rows)).cast("long"))
-    # the template has as many rows as a period has slots: bounded, so it is broadcast
-    rows = rows.join(F.broadcast(own), "_source").withColumn("_at", F.pmod("mix_block", "_tickets"))
-    rows = rows.join(F.broadcast(period.drop("tickets")), ["_source", "_at"])
-    slot = (F.floor(F.col("mix_block") / F.col("_tickets")) * resolution + F.col("slot")).cast("long")
-    rows = rows.withColumn("mix_slot", slot).withColumn("mix_place", F.pmod("_n", F.lit(block_rows)).cast("int"))
+    rows = rows.join(places, ["_source", "mix_block"]).withColumn("mix_place", F.pmod("_n", F.lit(block_rows)).cast("int"))
     rows = rows.crossJoin(F.broadcast(horizon))  # one row
     return rows.select("_row.*", "mix_block", "mix_slot", "mix_place", (F.col("mix_slot") <= F.col("_horizon")).alias("mix_exact"))
 

@@ -40,6 +40,21 @@ def test_whole_and_in_proportion(spark):
     assert all(abs(blocks[s] - w * slots) < 1.3 for s, w in total.items())  # tickets round the weights
 
 
+def test_rounding_does_not_add_up(spark):
+    """Against the weights themselves, over many periods, with weights far below a ticket."""
+    weight = {f"s{i:02}": 1 / 30 for i in range(25)} | {"big": 0.163, "small": 0.0025, "tiny": 1 / 6 - 0.1655}
+    df = spark.createDataFrame(rows({s: int(2000 * w) + 1 for s, w in weight.items()}), SCHEMA)
+    weights = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    out = mixing.mix(df, weights, block_rows=1, resolution=20).collect()
+    assert len(out) == df.count() and len({r.mix_slot for r in out}) == len(out)
+    exact = sorted((r.mix_slot, r.source) for r in out if r.mix_exact)
+    assert len(exact) > 1000 and [s for s, _ in exact] == list(range(len(exact)))
+    had, total = Counter(), sum(weight.values())
+    for t, s in exact:
+        had[s] += 1
+        assert all(abs(had[k] - w / total * (t + 1)) < (1 if (t + 1) % 20 == 0 else 2) for k, w in weight.items())
+
+
 def test_reading_order(spark):
     df = spark.createDataFrame(rows({"a": 100, "b": 100}), SCHEMA).drop("mix_slot")
     mixed = mixing.in_order(mixing.mix(df, block_rows=4, resolution=10), 3)
