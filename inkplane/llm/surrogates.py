@@ -1,6 +1,6 @@
 """Keyed surrogates for personal data in texts (operator 4, DataFrame functions only).
 
-Found: e-mail and IPv4 addresses, access keys, IBANs, payment cards, social security
+Found: e-mail and IPv4 addresses, access keys, labelled hexadecimal tokens, IBANs, payment cards, social security
 numbers, phone numbers, and names after a title. Each distinct entity gets one
 surrogate from SHA-256 of key, type, canonical form and try, of the same type:
 letters stay letters of the same case and script, digits stay digits, separators
@@ -8,7 +8,8 @@ stay; cards keep their first digit and pass the Luhn test, IBANs keep the countr
 and pass the mod-97 test, private IPv4 addresses stay private, names keep gender
 (from the title) and script. Mentions that differ in spelling alone (case, spaces,
 dots) share the canonical form, and name words are replaced one by one, so
-coreference stays. A surrogate that equals another one, or any original of its type,
+coreference stays between names after titles. Not found: names without a title or
+after one that tells no gender (Dr, Prof), and a name's third word. A surrogate that equals another one, or any original of its type,
 is drawn again with the next try, so distinct entities stay distinct.
 
 A text's result depends on the text and on the entities of the whole table only, so
@@ -38,6 +39,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "token": r"(?<=(?i:token|secret|password|key)[\"']{0,1}[ \t]{0,4}[:=][ \t]{0,4}[\"']{0,1})(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{4}){2,7}[A-Z0-9]{1,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -115,6 +117,8 @@ def _core() -> Column:
     body = _by_place(F.substring(canon, F.lit(1), F.length(canon) - 1), F.lit(1))
     digits = F.when(canon.startswith("+"), _by_place(canon, F.lit(2))).otherwise(_by_place(canon, F.lit(0)))
     made = F.when(F.col("type") == "email", email).when(F.col("type") == "ip", F.coalesce(private, public)).when(F.col("type") == "key", access)
+    hexes = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.substring(F.lit("0123456789abcdef"), F.pmod(_byte(i), F.lit(16)) + 1, F.lit(1))), "")
+    made = made.when(F.col("type") == "token", hexes)
     made = made.when(F.col("type") == "iban", F.concat(F.substring(canon, 1, 2), check, bban)).when(F.col("type") == "card", F.concat(body, _luhn(body)))
     made = made.when(F.col("type").isin("ssn", "phone"), digits)
     for script, syllables in SYLLABLES.items():
@@ -128,7 +132,10 @@ def _core() -> Column:
 
 
 def _type(mention: Column) -> Column:
-    return reduce(lambda made, x: made.when(mention.rlike(f"^(?:{x[1]})$"), F.lit(x[0])), list(PATTERNS.items())[1:], F.when(mention.rlike(f"^(?:{PATTERNS['email']})$"), F.lit("email")))
+    """A token's label is not part of the mention: it is known by being hexadecimal and of no other type."""
+    rest = [x for x in PATTERNS.items() if x[0] not in ("email", "token")]
+    made = reduce(lambda made, x: made.when(mention.rlike(f"^(?:{x[1]})$"), F.lit(x[0])), rest, F.when(mention.rlike(f"^(?:{PATTERNS['email']})$"), F.lit("email")))
+    return made.when(mention.rlike("^[0-9A-Fa-f]{32,128}$"), F.lit("token"))
 
 
 def mentions(texts: DataFrame) -> DataFrame:
@@ -144,7 +151,7 @@ def mentions(texts: DataFrame) -> DataFrame:
     role = F.when(F.col("unit") == F.col("n") - 1, F.concat(F.lit("family-"), script)).otherwise(F.concat(F.lit("given-"), F.when(male, F.lit("m-")).otherwise(F.lit("f-")), script))
     kind = F.when(F.col("kind") == "name", role).otherwise(F.col("kind"))
     squeezed = F.regexp_replace("surface", r"[ .()-]", "")
-    canon = F.when(F.col("kind").isin("iban", "card", "ssn", "phone"), squeezed).when(F.col("kind") == "email", F.lower("surface"))
+    canon = F.when(F.col("kind").isin("iban", "card", "ssn", "phone"), squeezed).when(F.col("kind").isin("email", "token"), F.lower("surface"))
     canon = canon.when(F.col("kind") == "name", F.initcap(F.lower("surface"))).otherwise(F.col("surface"))
     return rows.select(
         "id", "pos", "unit", (F.col("unit") == F.col("n") - 1).alias("last"), F.when(F.col("unit") == 0, F.col("before")).otherwise(F.lit(" ")).alias("before"), "surface", kind.alias("type"), canon.alias("canon")
@@ -183,7 +190,8 @@ def _refit() -> Column:
     written = F.aggregate(F.split("surface", ""), start, step)["out"]
     upper = (F.length("surface") > 1) & (F.upper("surface") == F.col("surface"))
     name = F.when(upper, F.upper("core")).otherwise(F.col("core"))
-    return F.when(F.col("type") == "ip", F.col("core")).when(F.col("type").rlike("^(given|family)"), name).otherwise(written)
+    token = F.when(F.col("surface").rlike("[A-F]"), F.upper("core")).otherwise(F.col("core"))
+    return F.when(F.col("type") == "ip", F.col("core")).when(F.col("type") == "token", token).when(F.col("type").rlike("^(given|family)"), name).otherwise(written)
 
 
 def replace(df: DataFrame, text: str = "text", key: str = "surrogates") -> DataFrame:

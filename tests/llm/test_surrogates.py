@@ -66,3 +66,13 @@ def test_key_matters_and_empty(spark):
     one, again, two = (surrogates.replace(df, key=k).first().text for k in ("a", "a", "b"))
     assert one == again != two
     assert surrogates.replace(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_labelled_hex_tokens(spark):
+    a, b = "0123456789abcdef0123456789abcdef01234567", "9" * 40
+    texts = [f'token = "{a}"', f"again token={a}, SECRET: {a.upper()}", f'key = "{b}" and commit {a}']
+    got = {r.doc_id: r for r in surrogates.replace(spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    x = re.fullmatch(r'token = "([0-9a-f]{40})"', got[0].text)[1]
+    assert x != a and got[1].text == f"again token={x}, SECRET: {x.upper()}" and got[1].n_replaced == 2
+    y = re.fullmatch(rf'key = "([0-9a-f]{{40}})" and commit {a}', got[2].text)[1]
+    assert y not in (x, b)
