@@ -3,29 +3,51 @@
 Method: the symbols of a word form a doubly linked list, a heap holds the merge
 ranks of adjacent pairs, and entries whose symbols changed meanwhile are skipped.
 Decoding concatenates vocabulary strings. A word's merges depend on nothing but
-the word, so every task keeps the words it has met.
+the word, so the runs between white space are numbered within a slice of a batch
+(Arrow), each different one is merged once, and the ids of all texts are taken from
+those of the runs.
+
+Letters, numbers, white space, lower case and composed forms have to be those of the
+tokenizers library, whose Unicode tables are of another version than Python's. Runs
+of the blocks in ``SAME``, where both agree on every code point, are normalised and
+split in Python, texts with any other character by the library's own normaliser and
+splitter of the file. Merging and decoding are never left to it.
 
 Null texts count as empty and give no tokens; a text of any length is encoded whole.
+Rows that repeat stay rows of their own, null keys stay null, an empty table gives
+no rows, columns other than the key are left behind whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
+
+from inkplane.llm.common import text_slices
+
+#: Words remembered by a task in each of two generations, and the longest of them; both bound memory only.
+KEPT_WORDS, KEPT_LENGTH = 150_000, 64
+#: Bytes of text that are numbered and encoded at a time.
+SLICE = 8 << 20
+#: Blocks of code points on which Python and the library agree (Latin, Greek, Cyrillic, punctuation, kana, Han, Hangul).
+SAME = ((0x00, 0x52F), (0x1E00, 0x1EFF), (0x2000, 0x205E), (0x3001, 0x303F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+
 
-#: Words and runs remembered by a task, and the longest of them; both bound memory only.
-KEPT_WORDS, KEPT_RUNS, KEPT_LENGTH = 200_000, 50_000, 64
+#: Stands before a special token among the runs.
+SPECIAL = "A"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,83 +75,126 @@ class Bpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.run, self.odd_space = regex.compile(r"\S+"), regex.compile(r"[\x1c-\x1f]")  # str.split takes these as space
+        self.odd = regex.compile("[^" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in SAME) + "]")
+        self.space = regex.compile(r"[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+        bare = {**spec, "added_tokens": [], "model": {**model, "vocab": {}, "merges": []}}
+        self.library = Tokenizer.from_str(json.dumps(bare))
         letters = _byte_letters()
         self.first = [self.vocab[letters[b]] for b in range(256)]
         self.last = [self.vocab[letters[b] + self.end] for b in range(256)]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.by_id = pa.array([self.strings.get(i) for i in range(max(self.strings) + 1)], pa.string())
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one word."""
-        first, ranks, size = self.first, self.ranks, self.size
-        raw = word.encode("utf-8", "replace")
+        first, made, rank_of, size = self.first, self.made, self.ranks.get, self.size
+        raw = word.encode()
         ids = [first[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
         n = len(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        right[-1] = -1
-        # an entry is rank * n + place: ordered by rank, then from the left
-        heap = [ranks[p] * n + i for i in range(n - 1) if (p := ids[i] * size + ids[i + 1]) in ranks]
-        heapq.heapify(heap)
+        # rank of every symbol with its right neighbour; an entry is rank * n + place: ordered by rank, then from the left
+        now = [rank_of(a * size + b, -1) for a, b in pairwise(ids)]
+        now.append(-1)
+        heap = [r * n + i for i, r in enumerate(now) if r >= 0]
+        heapify(heap)
         while heap:
-            rank, i = divmod(heapq.heappop(heap), n)
-            j = right[i]
-            if j < 0 or ids[i] < 0 or ranks.get(ids[i] * size + ids[j]) != rank:
+            entry = heappop(heap)
+            rank = entry // n
+            i = entry - rank * n
+            if now[i] != rank:
                 continue  # stale: one of the two symbols has been merged since
-            ids[i], ids[j] = self.made[rank], -1
+            j = right[i]
+            ids[i] = new = made[rank]
+            ids[j] = now[j] = -1
             right[i] = k = right[j]
-            if k >= 0:
+            if k < n:
                 left[k] = i
-                if (r := ranks.get(ids[i] * size + ids[k])) is not None:
-                    heapq.heappush(heap, r * n + i)
+                now[i] = r = rank_of(new * size + ids[k], -1)
+                if r >= 0:
+                    heappush(heap, r * n + i)
+            else:
+                now[i] = -1
             h = left[i]
-            if h >= 0 and (r := ranks.get(ids[h] * size + ids[i])) is not None:
-                heapq.heappush(heap, r * n + h)
+            if h >= 0:
+                now[h] = r = rank_of(ids[h] * size + new, -1)
+                if r >= 0:
+                    heappush(heap, r * n + h)
         return tuple([x for x in ids if x >= 0])
 
+    def remembered(self, run: str) -> tuple[int, ...]:
+        """Ids of a word or run: a word by itself is split into nothing but itself."""
+        ids = self.young.get(run)
+        if ids is None:
+            ids = self.old.get(run)
+            if ids is None:
+                ids = self.of_run(run)
+            if len(run) <= KEPT_LENGTH:
+                if len(self.young) >= KEPT_WORDS:
+                    self.old, self.young = self.young, {}
+                self.young[run] = ids
+        return ids
+
     def of_run(self, run: str) -> tuple[int, ...]:
         """Ids of a run without white space: those of its words."""
-        found: tuple[int, ...] = ()
-        for word in self.word.findall(run):
-            ids = self.known.get(word)
-            if ids is None:
-                ids = self.merge(word)
-                self.keep(self.known, word, ids, KEPT_WORDS)
-            found = found + ids if found else ids
-        self.keep(self.runs, run, found, KEPT_RUNS)
-        return found
-
-    @staticmethod
-    def keep(known: dict, key: str, ids: tuple[int, ...], most: int) -> None:
-        if len(key) <= KEPT_LENGTH:
-            if len(known) >= most:
-                known.clear()
-            known[key] = ids
-
-    def plain(self, text: str) -> list[tuple[int, ...]]:
-        """Ids of every run of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form of sigma here
-        text, runs = text.lower(), self.runs
-        parts = self.run.findall(text) if self.odd_space.search(text) else text.split()
-        return [runs[r] if r in runs else self.of_run(r) for r in parts]
+        if run[0] == SPECIAL:
+            return (self.special[run[1:]],)
+        if not run.isascii() and self.odd.search(run):
+            words = [run[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(run)]
+        elif run.isalpha():
+            return self.merge(run)
+        elif run[:-1].isalpha() and not run[-1].isalpha():  # a word and the mark behind it
+            words = [run[:-1], run[-1]]
+        else:
+            words = self.word.findall(run)
+        if len(words) == 1:
+            return self.merge(run)
+        return tuple(chain.from_iterable([self.remembered(w) for w in words]))
+
+    def plain(self, text: str) -> str:
+        """A text without special tokens, normalised; single white-space characters become spaces."""
+        if text.isascii():
+            return self.space.sub(" ", text.lower())
+        if self.odd.search(text):
+            return self.space.sub(" ", self.library.normalizer.normalize_str(text))
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form of sigma here
+        return self.space.sub(" ", text.lower())
+
+    def normal(self, text: str | None) -> str:
+        """Runs of a text, separated by spaces; special tokens are runs behind a letter that lower case never has."""
+        text = (text or "").encode("utf-8", "replace").decode() if text and not text.isascii() else text or ""
+        if self.specials is None or not self.specials.search(text):
+            return self.plain(text)
+        return " ".join([SPECIAL + part if part in self.special else self.plain(part) for part in self.specials.split(text)])
+
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        """Ids of every text: those of each different run, taken for all its occurrences."""
+        split = pc.split_pattern(pa.array([self.normal(t) for t in texts], pa.string()), " ")
+        runs = split.flatten().dictionary_encode()
+        codes = runs.indices.to_numpy()
+        known, other = self.young.get, self.remembered
+        ids = [known(r) or other(r) if r else () for r in runs.dictionary.to_pylist()]
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
+        before = np.concatenate([[0], np.cumsum(size[codes])])
+        places = before[split.offsets.to_numpy()].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(places), listed.take(runs.indices).flatten())
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """Vocabulary strings joined by one space; null for null."""
+        flat = self.by_id.take(ids.flatten())
+        size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        joined = pc.binary_join(pa.ListArray.from_arrays(ends, flat), " ")
+        return pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.string())) if ids.null_count else joined
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if self.specials is None or not self.specials.search(text):
-            return list(chain.from_iterable(self.plain(text)))
-        out: list[int] = []
-        for part in self.specials.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            else:
-                out.extend(chain.from_iterable(self.plain(part)))
-        return out
+        return self.encode_all([text])[0].as_py()
 
-    def decode(self, ids) -> str:
-        return " ".join([self.strings[i] for i in ids])
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -140,24 +205,17 @@ def load(path: str) -> Bpe:
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     for batch in batches:
-        texts = batch.column(text)
-        for at in range(0, len(texts), 256):
-            part = batch.slice(at, 256)
-            ids = [np.fromiter(bpe.encode(t), np.int32) for t in texts.slice(at, 256).to_pylist()]
-            ends = np.cumsum([0] + [len(x) for x in ids], dtype=np.int32)
-            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            columns = [part.column(i) for i, n in enumerate(part.schema.names) if n != text]
-            names = [n for n in part.schema.names if n != text]
-            yield pa.RecordBatch.from_arrays([*columns, made], [*names, "ids"])
+        names = [n for n in batch.schema.names if n != text]
+        for start, n in text_slices(batch, text, SLICE):
+            part = batch.slice(start, n)
+            made = bpe.encode_all(part.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), made], [*names, "ids"])
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], path: str, ids: str, out: str) -> Iterator[pa.RecordBatch]:
-    strings = load(path).strings
+    bpe = load(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = [None if x is None else " ".join([strings[i] for i in x]) for x in part.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
+        yield pa.RecordBatch.from_arrays([*batch.columns, bpe.decode_all(batch.column(ids))], [*batch.schema.names, out])
 
 
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,7 +229,11 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the text of ``ids``: vocabulary strings joined by one space, as the file names no decoder."""
+    """``df`` with the text of ``ids``: vocabulary strings joined by one space, as the file names no decoder.
+
+    A column of the name ``out`` is replaced; an id beyond the vocabulary is an error.
+    """
+    df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
     return df.mapInArrow(lambda it: _decode_batches(it, path, ids, out), schema)
 
