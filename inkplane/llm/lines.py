@@ -5,18 +5,26 @@ are made distinct by hash. A line's shingles are its runs of ``SHINGLE`` charact
 the whole line if it is shorter; runs of 5 keep a line of 85 characters near that has
 one word of 5 letters changed. MinHash signatures are cut into bands that find
 pairs of Jaccard similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.999.
-Lines that share a band are compared by exact Jaccard similarity of their shingle
-sets; bands that hold the same lines are compared once, and large ones in blocks,
-every block with every other. Links go to the distributed union-find. Of each
-component the occurrence of the smallest (doc_id, text hash, line number) stays.
+Lines that share a band also need ``AGREE`` equal bits of ``BITS`` one-bit hashes, which
+a pair of similarity 0.8 misses less than once in 100,000 times and strangers that
+share a band by chance nearly always do. What is left is compared by exact Jaccard
+similarity of the shingle sets; bands that hold the same lines are compared once, and
+large ones in blocks, every block with every other. Links go to the distributed
+union-find. Of each component the occurrence of the smallest (doc_id, text hash, line
+number) stays.
 
 Null texts stay null; blank lines stay, always. Rows without doc_id come first in
 the order. Rows that repeat doc_id and text are one document and end up alike. A
-text that loses all its lines becomes empty. Other columns come along. Lines are
-told apart by 64-bit hashes.
-
-Texts are shuffled twice, compressed: once to fetch the lines to compare, once to
-write the result. What finds candidates is hashes alone.
+text that loses all its lines becomes empty. An empty table gives no rows. Other
+columns come along, whatever their names; ``n_lines`` and ``n_dropped`` are replaced.
+A line of any length is compared whole. Lines are told apart by 64-bit hashes.
+
+Bands are shuffled packed: a row holds what a slice of texts has for one target, a range
+of band values. A target is sorted in parts of ``HELD`` entries; of bands that several
+lines share only one line is kept while more parts come, so a hot band takes no memory.
+The lines to compare are fetched in a second pass over the texts, by a filter of
+``FILTER`` bits whatever the number of lines, before they are shuffled; texts are
+shuffled once, compressed, to write the result.
 """
 
 from __future__ import annotations
@@ -25,13 +33,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkplane.llm.common import crowded, cut, packed, text_slices, unpacked
+from inkplane.llm.common import crowded, cut, packed, stored, text_slices, unpacked
 from inkplane.llm.components import components
 
 SHINGLE, ROWS, BANDS, LEAST = 5, 5, 18, 0.8
+#: One-bit hashes of a line, and how many of them near lines have in common.
+BITS, AGREE = 48, 32
+#: Entries (band, line, bits) that a task sorts at a time; members of a band that are compared bit by bit.
+HELD, FEW = 1 << 20, 32
+#: Bytes of an entry: 40 bits of the band below its target, the line's hash, its bits.
+BAND_BYTES, ENTRY = 5, 5 + 8 + BITS // 8
+#: Bits of the filter for lines to fetch (8 MB).
+FILTER = 1 << 26
 #: Lines of a block; rows gathered before blocks are compared.
 BLOCK, GATHER = 256, 8192
 #: White space of blank lines.
@@ -71,32 +88,136 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(found), starts
 
 
-def bands(lines: list[str]) -> np.ndarray:
-    """(line, band) matrix of band values."""
+def signatures(lines: list[str]) -> np.ndarray:
+    """(hash, line) matrix of least values."""
     hashes, starts = shingles(lines)
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(lines), BANDS), np.uint64)
+    out, buffer = np.empty((ROWS * BANDS, len(lines)), np.uint32), np.empty_like(low)
+    for i in range(ROWS * BANDS):
+        np.multiply(low ^ _FLIP[i], _TIMES[i], out=buffer)
+        out[i] = np.minimum.reduceat(buffer, starts)
+    return out
+
+
+def band_values(least: np.ndarray) -> np.ndarray:
+    """(line, band) matrix of band values from signatures."""
+    out = np.empty((least.shape[1], BANDS), np.uint64)
     for b in range(BANDS):
-        value = np.full(len(lines), b + 1, np.uint64)
+        value = np.full(least.shape[1], b + 1, np.uint64)
         for i in range(b * ROWS, (b + 1) * ROWS):
-            least = np.minimum.reduceat((low ^ _FLIP[i]) * _TIMES[i], starts)
-            value = _mix(value * np.uint64(0x9E3779B97F4A7C15) + least)
+            value = _mix(value * np.uint64(0x9E3779B97F4A7C15) + least[i])
         out[:, b] = value
-    return out.view(np.int64)
+    return out
+
+
+def bands(lines: list[str]) -> np.ndarray:
+    return band_values(signatures(lines))
+
+
+def one_bits(least: np.ndarray) -> np.ndarray:
+    """``BITS`` one-bit hashes of every line, from signatures."""
+    out = np.zeros(least.shape[1], np.uint64)
+    for i in range(BITS):
+        bit = (least[i] * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64)
+        out |= bit << np.uint64(i)
+    return out
+
+
+def line_key(line: str) -> int:
+    """What ``F.xxhash64`` gives for the line, unsigned."""
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "replace"), 42)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, k) of the lines of a batch, each line once."""
+def _kept_lines(texts: list[str | None]) -> list[str]:
+    return [p for t in texts if t for p in t.split("\n") if p.strip(BLANK)]
+
+
+def _entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(target, entries): the bands of the different lines of a slice of texts, by the first ``bits`` bits of the band."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, first = np.unique(batch.column("k").to_numpy(), return_index=True)
-        once = batch.take(pa.array(np.sort(first)))
-        for start, n in text_slices(once, "line", 1 << 18):
-            part = once.slice(start, n)
-            values = bands(part.column("line").to_pylist())
-            k = np.repeat(part.column("k").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), pa.array(k)], ["band", "k"])
+        for start, n in text_slices(batch, "t", 8 << 20):
+            lines = _kept_lines(batch.column("t").slice(start, n).to_pylist())
+            k, first = np.unique(np.fromiter(map(line_key, lines), np.uint64, len(lines)), return_index=True)
+            if not len(k):
+                continue
+            order = np.argsort(first)
+            k, lines = k[order], pa.RecordBatch.from_arrays([pa.array([lines[i] for i in first[order]])], ["line"])
+            values, marks = [], []
+            for at, m in text_slices(lines, "line", 1 << 18):
+                least = signatures(lines.column(0).slice(at, m).to_pylist())
+                values.append(band_values(least))
+                marks.append(one_bits(least))
+            value, mark = np.concatenate(values).ravel(), np.repeat(np.concatenate(marks), BANDS)
+            target = (value >> np.uint64(64 - bits)).astype(np.uint16)
+            order = np.argsort(target, kind="stable")
+            entries = np.empty((len(value), ENTRY), np.uint8)
+            for column, places, width in ((value, slice(0, BAND_BYTES), BAND_BYTES), (np.repeat(k, BANDS), slice(BAND_BYTES, BAND_BYTES + 8), 8), (mark, slice(BAND_BYTES + 8, ENTRY), BITS // 8)):
+                entries[:, places] = column[order].view(np.uint8).reshape(-1, 8)[:, :width]
+            targets, begin = np.unique(target[order], return_index=True)
+            ends = np.append(begin, len(value)) * ENTRY
+            whole = pa.Array.from_buffers(pa.binary(), len(targets), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(entries)])
+            yield pa.RecordBatch.from_arrays([pa.array(targets.astype(np.int32)), whole], ["target", "entries"])
+
+
+def _column(entries: np.ndarray, start: int, width: int) -> np.ndarray:
+    out = np.zeros((len(entries), 8), np.uint8)
+    out[:, :width] = entries[:, start : start + width]
+    return out.view(np.uint64).ravel()
+
+
+def alike(group: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Rows (sorted by group) that agree with another of their group on ``AGREE`` bits; all rows of groups of over ``FEW``."""
+    out = np.zeros(len(group), bool)
+    _, which, size = np.unique(group, return_inverse=True, return_counts=True)
+    out[size[which] > FEW] = True
+    for step in range(1, min(FEW, int(size.max(initial=1)))):
+        near = (group[step:] == group[:-step]) & (np.bitwise_count(mark[step:] ^ mark[:-step]) <= BITS - AGREE)
+        out[step:] |= near
+        out[:-step] |= near
+    return out
+
+
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by target: (band, k) of the lines that share a band and agree on enough bits."""
+    none = tuple(np.empty(0, np.uint64) for _ in range(4))
+    kept, new, waiting, target = none, [], 0, None  # state of a kept line: 0 waits, 1 is passed on, 2 stands for a crowded band
+
+    def sift(last: bool) -> pa.RecordBatch:
+        nonlocal kept, new, waiting
+        rows = np.frombuffer(b"".join(new), np.uint8).reshape(-1, ENTRY)
+        found = (*(_column(rows, start, width) for start, width in ((0, BAND_BYTES), (BAND_BYTES, 8), (BAND_BYTES + 8, BITS // 8))), np.zeros(len(rows), np.uint64))
+        band, k, mark, state = (np.concatenate(pair) for pair in zip(kept, found, strict=True))
+        order = np.lexsort((2 - state, k, band))
+        single = np.ones(len(order), bool)
+        single[1:] = (band[order[1:]] != band[order[:-1]]) | (k[order[1:]] != k[order[:-1]])
+        band, k, mark, state = (x[order[single]] for x in (band, k, mark, state))
+        head = np.ones(len(k), bool)
+        head[1:] = band[1:] != band[:-1]
+        group = np.cumsum(head) - 1
+        crowded_before = np.bincount(group, state == 2)[group] > 0
+        crowd = crowded_before | (np.bincount(group)[group] > FEW)
+        go = (state == 0) & (crowd | alike(group, mark))
+        whole = np.uint64(target) << np.uint64(8 * BAND_BYTES) | band[go]
+        if last:
+            kept = none
+        else:
+            stay = head | ~crowd
+            kept = tuple(x[stay] for x in (band, k, mark, np.where(crowd, np.uint64(2), np.where(go, np.uint64(1), state))))
+        new, waiting = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(k[go].view(np.int64))], ["band", "k"])
+
+    for batch in batches:
+        for t, entries in zip(batch.column("target").to_pylist(), batch.column("entries"), strict=True):
+            if t != target:
+                if target is not None:
+                    yield sift(True)
+                target = t
+            elif waiting >= HELD:
+                yield sift(False)
+            new.append(entries.as_buffer())
+            waiting += len(new[-1]) // ENTRY
+    if target is not None:
+        yield sift(True)
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -156,43 +277,50 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield work(pa.Table.from_batches(held).combine_chunks())
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, line) of the lines wanted of each document."""
+def _fetch(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(k, line) of the lines that pass the filter, and of few others."""
+    words: np.ndarray = shared.value
     for batch in batches:
-        k, lines = [], []
-        for text, wanted in zip(unpacked(batch.column("t")), batch.column("wanted"), strict=True):
-            parts = text.decode().split("\n")
-            for x in wanted.as_py():
-                k.append(x["k"])
-                lines.append(parts[x["n"]])
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(lines, pa.string())], ["k", "line"])
-
-
-def links(every: DataFrame, firsts: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b): links between distinct lines.
-
-    ``every`` has (k, line), ``firsts`` (k, at) with the place of one occurrence, ``docs`` (d, h, t).
-    """
-    spread = crowded(every.sparkSession)
-    pairs = every.select("k", "line").mapInArrow(_pairs, "band long, k long").repartition(spread, "band")
-    whole = Window.partitionBy("band")
-    shared = pairs.withColumn("low", F.min("k").over(whole)).withColumn("high", F.max("k").over(whole)).filter("low < high")
-    shared = cut(shared.select("band", "k").distinct())
-    sets = shared.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
+        for start, n in text_slices(batch, "t", 8 << 20):
+            lines = _kept_lines(batch.column("t").slice(start, n).to_pylist())
+            k, first = np.unique(np.fromiter(map(line_key, lines), np.uint64, len(lines)), return_index=True)
+            place = k % np.uint64(FILTER)
+            wanted = np.flatnonzero(words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(k[wanted].view(np.int64)), pa.array([lines[i] for i in first[wanted]], pa.string())], ["k", "line"])
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Words of the filter: bit k mod ``FILTER`` is set for every k. Its size doesn't depend on the keys."""
+    place = F.col("k").bitwiseAND(F.lit(FILTER - 1))
+    bit = F.expr("shiftleft(1L, cast(k & 63 as int))")
+    rows = keys.select(F.shiftright(place, 6).cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(FILTER // 64, np.uint64)
+    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    return words
+
+
+def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b): links between distinct lines of the texts ``t`` of ``docs``, by their hashes."""
+    spark = docs.sparkSession
+    spread = crowded(spark)
+    # more targets than partitions, so that a task's share comes in parts; a target is named by 16 bits at most
+    bits = min(16, max(8, (16 * spread).bit_length()))
+    packs = docs.select("t").mapInArrow(lambda it: _entries(it, bits), "target int, entries binary")
+    packs = packs.repartition(spread, "target").sortWithinPartitions("target")
+    shared = stored(packs.mapInArrow(_sharing, "band long, k long").distinct(), "bands")
+    sets = shared.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).filter("n > 1")
     # bands with the same members are compared once
     once = sets.groupBy("n", "x", "y").agg(F.min("band").alias("band"))
     once = once.select("band", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = cut(shared.join(once, "band"))
+    members = stored(shared.join(once, "band"), "members")
     own = F.pmod(F.xxhash64("k", F.lit("block")), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y"),
         F.when(o == F.col("own"), 2).when(F.col("own") < o, 0).otherwise(1).alias("side")))
     dealt = members.withColumn("own", own).select("k", "band", F.explode(meets).alias("m"))
     dealt = dealt.select("k", F.xxhash64("band", "m.x", "m.y").alias("block"), F.col("m.side").alias("side"))
-    places = members.select("k").distinct().join(firsts, "k").select("at.d", "at.h", F.struct("at.n", "k").alias("p"))
-    wanted = places.groupBy("d", "h").agg(F.collect_list("p").alias("wanted"))
-    # rows that repeat doc_id and text would give a line twice
-    texts = packed(docs, "d", "h").join(wanted, ["d", "h"]).select("t", "wanted").mapInArrow(_fetch, "k long, line string").dropDuplicates(["k"])
+    shared_filter = spark.sparkContext.broadcast(_filter(members))
+    texts = docs.select("t").mapInArrow(lambda it: _fetch(it, shared_filter), "k long, line string").dropDuplicates(["k"])
     rows = dealt.join(texts, "k").repartition(spread, "block").sortWithinPartitions("block", "k")
     return rows.mapInArrow(lambda it: _links(it, least), "a long, b long")
 
@@ -218,9 +346,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: float =
     docs = df.select(whole, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), t.alias("t"), F.xxhash64(t).alias("h"))
     every = docs.select("d", "h", F.posexplode(F.split("t", "\n", -1)).alias("n", "line")).filter(F.trim(F.col("line"), F.lit(BLANK)) != "")
     every = every.withColumn("k", F.xxhash64("line"))
-    occurrences = cut(every.select("k", F.struct("d", "h", "n").alias("at")))
+    occurrences = stored(every.select("k", F.struct("d", "h", "n").alias("at")), "lines")
     places = cut(occurrences.groupBy("k").agg(F.min("at").alias("at"), F.count("*").alias("c")))
-    near = components(links(every, places, docs, least)).select(F.col("node").alias("k"), "root")
+    near = components(links(docs, least)).select(F.col("node").alias("k"), "root")
     firsts = cut(places.join(near, "k", "left"))
     keep = firsts.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("at").alias("keep"))
     alone = firsts.filter(F.col("root").isNull() & (F.col("c") > 1)).select("k", F.col("at").alias("keep"))

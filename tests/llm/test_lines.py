@@ -1,6 +1,7 @@
 """Fuzzy line deduplication against brute force."""
 
 import numpy as np
+import pyarrow as pa
 
 from inkplane.llm import lines
 
@@ -119,3 +120,39 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
 
 def test_empty(spark):
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_line_keys_are_those_of_spark(spark):
+    texts = ["a", "ünï", "x" * 100, "日本", " "]
+    keys = [r.k for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t) AS k").collect()]
+    assert [lines.line_key(t) for t in texts] == [k % (1 << 64) for k in keys]
+
+
+def test_bits_of_near_lines_agree():
+    rng = np.random.default_rng(12)
+    base = ["".join(rng.choice(list("abcdefghij klm"), 230)) for _ in range(2000)]
+    near = [x[:100] + "0123456789ABCDEFGHI" + x[119:] for x in base]
+    close = np.array([len(sets(a) & sets(b)) / len(sets(a) | sets(b)) for a, b in zip(base, near, strict=True)])
+    a, b = (lines.one_bits(lines.signatures(x)) for x in (base, near))
+    agree = lines.BITS - np.bitwise_count(a ^ b)
+    assert close.max() < 0.87 and (agree[close >= 0.8] >= lines.AGREE).all()
+    assert (lines.BITS - np.bitwise_count(a[1:] ^ a[:-1]) >= lines.AGREE).mean() < 0.1
+
+
+def test_parts_of_a_target(monkeypatch):
+    """Whatever the parts, lines that share a band with a near one go on, and a crowded band's lines all do."""
+    rng = np.random.default_rng(13)
+    base = ["".join(rng.choice(list("abcdefghij klm"), 120)) for _ in range(60)]
+    texts = base + [x[:-2] + "zz" for x in base[:20]] + [base[50][:-1] + c for c in "nopqrstuvwxyz"] + base[:5]
+
+    def found(held, few):
+        monkeypatch.setattr(lines, "HELD", held)
+        monkeypatch.setattr(lines, "FEW", few)
+        parts = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7])], ["t"]) for i in range(0, len(texts), 7)]
+        packs = pa.Table.from_batches([x for p in parts for x in lines._entries(iter([p]), 8)]).sort_by("target")
+        out = pa.Table.from_batches(list(lines._sharing(iter(packs.to_batches(max_chunksize=9)))))
+        return set(zip(*(out.column(c).to_pylist() for c in ("band", "k")), strict=True))
+
+    whole = found(1 << 20, 32)
+    assert len({k for _, k in whole}) == 53 and found(3, 32) == whole
+    assert whole <= found(3, 2) and {k for _, k in found(3, 2)} == {k for _, k in whole}
