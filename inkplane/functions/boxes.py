@@ -1,8 +1,13 @@
-"""Boxes (x, y, w, h), in pixels from the upper left: structs of doubles, null where a part is null."""
+"""Boxes (x, y, w, h), in pixels from the upper left: structs of doubles, null where a part is null.
+
+Every step works its input out once, however often it uses it: steps follow each
+other inside one expression, where a plain reference would repeat all steps before.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,9 +16,17 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
+def _parts(x: Column, y: Column, w: Column, h: Column) -> Column:
+    return F.struct(*[c.cast("double").alias(n) for c, n in zip((x, y, w, h), "xywh", strict=True)])
+
+
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
-    made = F.struct(*[c.cast("double").alias(n) for c, n in zip((x, y, w, h), "xywh", strict=True)])
-    return F.when(x.isNotNull() & y.isNotNull() & w.isNotNull() & h.isNotNull(), made)
+    return F.when(x.isNotNull() & y.isNotNull() & w.isNotNull() & h.isNotNull(), _parts(x, y, w, h))
+
+
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with the value worked out once; null stays null."""
+    return F.get(F.transform(F.array(value), lambda v: F.when(v.isNotNull(), make(v))), F.lit(0))
 
 
 def expand(b: Column, side: float, margin: float) -> Column:
@@ -24,8 +37,11 @@ def expand(b: Column, side: float, margin: float) -> Column:
         start = F.greatest(F.lit(0.0), at - pad)
         return start, F.least(F.lit(float(side)) - start, size + 2 * pad)
 
-    (x, w), (y, h) = along(b["x"], b["w"]), along(b["y"], b["h"])
-    return F.when(b.isNotNull(), box(x, y, w, h))
+    def made(v: Column) -> Column:
+        (x, w), (y, h) = along(v["x"], v["w"]), along(v["y"], v["h"])
+        return _parts(x, y, w, h)
+
+    return once(b, made)
 
 
 def clamp(b: Column, width: float, height: float) -> Column:
@@ -35,24 +51,26 @@ def clamp(b: Column, width: float, height: float) -> Column:
         start = F.greatest(F.lit(0.0), F.least(F.lit(float(most) - 1), at))
         return start, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), at + size)) - start
 
-    (x, w), (y, h) = along(b["x"], b["w"], width), along(b["y"], b["h"], height)
-    return F.when(b.isNotNull(), box(x, y, w, h))
+    def made(v: Column) -> Column:
+        (x, w), (y, h) = along(v["x"], v["w"], width), along(v["y"], v["h"], height)
+        return _parts(x, y, w, h)
+
+    return once(b, made)
 
 
 def has_area(b: Column) -> Column:
-    return (b["w"] > 0) & (b["h"] > 0)
+    return once(b, lambda v: (v["w"] > 0) & (v["h"] > 0))
 
 
 def truncate(b: Column) -> Column:
     """Whole numbers, toward zero."""
-    return F.when(b.isNotNull(), F.struct(*[b[n].cast("int").alias(n) for n in "xywh"]))
+    return once(b, lambda v: F.struct(*[v[n].cast("int").alias(n) for n in "xywh"]))
 
 
 def normalise(b: Column, side: float) -> Column:
     """Centre and size as shares of the side, each clamped to [0, 1] on its own."""
     unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.lit(float(side))))
-    made = F.struct(unit(b["x"] + b["w"] / 2).alias("cx"), unit(b["y"] + b["h"] / 2).alias("cy"), unit(b["w"]).alias("w"), unit(b["h"]).alias("h"))
-    return F.when(b.isNotNull(), made)
+    return once(b, lambda v: F.struct(unit(v["x"] + v["w"] / 2).alias("cx"), unit(v["y"] + v["h"] / 2).alias("cy"), unit(v["w"]).alias("w"), unit(v["h"]).alias("h")))
 
 
 def corners(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
@@ -72,17 +90,20 @@ def rotate_hull(b: Column, degrees: Column, width: float, height: float) -> Colu
 
     Assumption: hull of the four corners, as augmentation libraries do.
     """
-    turn = F.radians(degrees)
-    cos, sin, mx, my = F.cos(turn), F.sin(turn), F.lit(width / 2.0), F.lit(height / 2.0)
-    xs, ys = [], []
-    for x in (b["x"], b["x"] + b["w"]):
-        for y in (b["y"], b["y"] + b["h"]):
-            xs.append(mx + (x - mx) * cos + (y - my) * sin)
-            ys.append(my - (x - mx) * sin + (y - my) * cos)
+    mx, my = F.lit(width / 2.0), F.lit(height / 2.0)
     inside = lambda v, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), v))
-    x0, x1 = inside(F.least(*xs), width), inside(F.greatest(*xs), width)
-    y0, y1 = inside(F.least(*ys), height), inside(F.greatest(*ys), height)
-    return F.when(b.isNotNull(), box(x0, y0, x1 - x0, y1 - y0))
+
+    def ends(v: Column) -> Column:
+        xs, ys = [], []
+        for x in (v["b"]["x"] - mx, v["b"]["x"] + v["b"]["w"] - mx):
+            for y in (v["b"]["y"] - my, v["b"]["y"] + v["b"]["h"] - my):
+                xs.append(mx + x * v["cos"] + y * v["sin"])
+                ys.append(my - x * v["sin"] + y * v["cos"])
+        parts = {"x0": F.least(*xs), "x1": F.greatest(*xs), "y0": F.least(*ys), "y1": F.greatest(*ys)}
+        return F.struct(*[inside(c, width if n[0] == "x" else height).alias(n) for n, c in parts.items()])
+
+    turned = F.struct(b.alias("b"), F.cos(F.radians(degrees)).alias("cos"), F.sin(F.radians(degrees)).alias("sin"))
+    return once(once(F.when(b.isNotNull(), turned), ends), lambda e: _parts(e["x0"], e["y0"], e["x1"] - e["x0"], e["y1"] - e["y0"]))
 
 
 def turned_corner(x: float, y: float, degrees: float, width: float, height: float) -> tuple[float, float]:

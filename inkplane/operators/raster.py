@@ -12,6 +12,7 @@ noise is added in single precision, clipped and truncated.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkplane.functions import draws
+from inkplane.functions.boxes import once
 from inkplane.params import Settings
 
 
@@ -73,11 +75,17 @@ def deviation(a: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), square / n - (total / n) * (total / n)))
 
 
-def blur_rows(a: Column, width: int, sigma: float) -> Column:
-    """Gaussian blur along rows, the border repeated."""
+def gaussian(sigma: float) -> np.ndarray:
+    """Weights of a kernel that reaches four sigmas."""
     reach = max(1, int(round(4 * sigma)))
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    weights /= weights.sum()
+    return weights / weights.sum()
+
+
+def blur_rows(a: Column, width: int, sigma: float) -> Column:
+    """Gaussian blur along rows, the border repeated."""
+    weights = gaussian(sigma)
+    reach = len(weights) // 2
 
     def one(v: Column, i: Column) -> Column:
         row, col = F.floor(i / width).cast("int"), F.pmod(i, F.lit(width))
@@ -90,6 +98,65 @@ def blur_rows(a: Column, width: int, sigma: float) -> Column:
     return F.transform(a, one)
 
 
+def blur(a: Column, width: int, height: int, sigma: float) -> Column:
+    """Gaussian blur along rows, then along columns, the border repeated."""
+    weights = gaussian(sigma)
+    reach = len(weights) // 2
+
+    def down(rows: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            row, col = F.floor(i / width).cast("int"), F.pmod(i, F.lit(width))
+            at = [F.greatest(F.lit(0), F.least(F.lit(height - 1), row + k)) * width + col for k in range(-reach, reach + 1)]
+            return reduce(lambda total, x: total + x, [F.lit(float(w)) * F.get(rows, p) for p, w in zip(at, weights, strict=True)], F.lit(0.0))
+
+        return F.transform(rows, one)
+
+    return once(blur_rows(a, width, sigma), down)
+
+
+def rotate(a: Column, width: int, height: int, degrees: Column) -> Column:
+    """Turned about the centre, bilinear, the border repeated; doubles."""
+    turn = F.struct(a.alias("a"), F.cos(F.radians(degrees)).alias("cos"), F.sin(F.radians(degrees)).alias("sin"))
+
+    def turned(t: Column) -> Column:
+        def source(i: Column) -> Column:
+            dx, dy = F.pmod(i, F.lit(width)) - width / 2, F.floor(i / width) - height / 2
+            inside = lambda v, n: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), v))
+            return F.struct(inside(width / 2 + dx * t["cos"] - dy * t["sin"], width).alias("x"), inside(height / 2 + dx * t["sin"] + dy * t["cos"], height).alias("y"))
+
+        def mixed(s: Column) -> Column:
+            x0, y0 = F.least(F.floor(s["x"]).cast("int"), F.lit(max(width - 2, 0))), F.least(F.floor(s["y"]).cast("int"), F.lit(max(height - 2, 0)))
+            fx, fy, right, below = s["x"] - x0, s["y"] - y0, min(1, width - 1), min(1, height - 1) * width
+            at = lambda d: F.get(t["a"], y0 * width + x0 + d)
+            return (at(0) * (1 - fx) + at(right) * fx) * (1 - fy) + (at(below) * (1 - fx) + at(below + right) * fx) * fy
+
+        return F.transform(F.transform(t["a"], lambda v, i: source(i)), mixed)
+
+    return once(turn, turned)
+
+
+def to_whole(a: Column) -> Column:
+    """Nearest whole numbers of an array; what other engines compute a rounding error beside stays the same."""
+    return F.transform(a, lambda v: F.floor(F.round(v, 6) + 0.5).cast("int"))
+
+
+def outlined(a: Column, width: int, x0: Column, y0: Column, x1: Column, y1: Column, colour: int = 255, thick: int = 2) -> Column:
+    """``a`` with the border of the rectangle drawn inwards; corners in whole pixels, both inside the rectangle."""
+
+    def one(v: Column, i: Column) -> Column:
+        x, y = F.pmod(i, F.lit(width)), F.floor(i / width)
+        inside = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
+        edge = (x < x0 + thick) | (x > x1 - thick) | (y < y0 + thick) | (y > y1 - thick)
+        return F.when(inside & edge, F.lit(colour)).otherwise(v)
+
+    return F.transform(a, one)
+
+
+def first_channels(a: Column, channels: int = 4, kept: int = 3) -> Column:
+    """Interleaved channels without the last ones."""
+    return F.filter(a, lambda v, i: F.pmod(i, F.lit(channels)) < kept)
+
+
 def clip_truncate(v: Column) -> Column:
     """To 0..255, fractions dropped."""
     return F.greatest(F.lit(0.0), F.least(F.lit(255.0), v)).cast("int")
@@ -115,9 +182,8 @@ def rotate_image(image: np.ndarray, degrees: float) -> np.ndarray:
 
 
 def blur_image(image: np.ndarray, sigma: float) -> np.ndarray:
-    reach = max(1, int(round(4 * sigma)))
-    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    weights /= weights.sum()
+    weights = gaussian(sigma)
+    reach = len(weights) // 2
     out = image.astype(float)
     for axis in (0, 1):
         pad = [(0, 0)] * 3

@@ -64,13 +64,54 @@ def noise_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "pos", raster.clip_truncate(F.round(F.col("v") + noise, 6)).alias("v"))
 
 
+def raster_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images turned by up to three degrees, drawn from their ids."""
+    angle = draws.real(draws.uniform(31, "angle", "vec_id"), -3, 3)
+    return _pixels(_images(spark, sf_dir), raster.rotate(F.col("a"), W, W, angle)).withColumn("v", F.round("v", 6))
+
+
+def blur_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixels(_images(spark, sf_dir), raster.blur(F.col("a"), W, W, 0.5)).withColumn("v", F.round("v", 6))
+
+
+def raster_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("vec_id")
+    x, y = (k % 5).cast("int"), (k % 3).cast("int")
+    return _pixels(_images(spark, sf_dir), raster.outlined(F.col("a"), W, x, y, x + 3 + (k % 2).cast("int"), y + 4, thick=1))
+
+
+def channel_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three of every four values, which stand for the channels of a frame."""
+    return _pixels(_images(spark, sf_dir), raster.first_channels(F.col("a")))
+
+
+def degraded(images: DataFrame, seed: int) -> DataFrame:
+    """Rotation, blur, erosion or dilation, and noise, each for a share of the images drawn from their ids."""
+    u = lambda purpose, *more: draws.uniform(seed, purpose, "vec_id", *more)
+    s = Settings()
+    turned = raster.to_whole(raster.rotate(F.col("a"), W, W, draws.real(u("angle"), -s.rotation_max, s.rotation_max)))
+    rows = images.withColumn("a", F.when(draws.happens(u("rotate"), s.rotation_probability), turned).otherwise(F.col("a")))
+    rows = rows.withColumn("a", F.when(draws.happens(u("blur"), s.blur_probability), raster.to_whole(raster.blur(F.col("a"), W, W, 0.5))).otherwise(F.col("a")))
+    both = raster.morph(rows.withColumn("less", F.col("a")), "less", W, W, 2)
+    both = raster.morph(both.withColumn("more", F.col("a")), "more", W, W, 2, grow=True)
+    morphed = F.when(draws.happens(u("grow"), 0.5), F.col("more")).otherwise(F.col("less"))
+    rows = both.select("vec_id", F.when(draws.happens(u("morph"), s.morph_probability), morphed).otherwise(F.col("a")).alias("a"), draws.happens(u("noise"), s.noise_probability).alias("noisy"))
+    pixels = rows.select("vec_id", "noisy", F.posexplode("a").alias("pos", "v"))
+    noise = draws.normal(u("n1", F.col("pos")), u("n2", F.col("pos")), 40.0)
+    return pixels.select("vec_id", "pos", F.when(F.col("noisy"), raster.clip_truncate(F.round(F.col("v") + noise, 6))).otherwise(F.col("v")).alias("v"))
+
+
+def degradation_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return degraded(_images(spark, sf_dir), 41)
+
+
 def degradation_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many images each step of the degradation takes, by image size class."""
     plan = raster.degradation_plan(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", Settings())
     return plan.groupBy("o_orderpriority").agg(F.count("angle").alias("turned"), F.count("sigma").alias("blurred"), F.count("kernel").alias("morphed"), F.sum(F.coalesce("rounds", F.lit(0)).cast("long")).alias("rounds"), F.count("std").alias("noisy"))
 
 
-QUERIES = {f.__name__: f for f in (region_stats, region_accept, raster_crop, raster_erode, raster_dilate, raster_morph_iter, raster_grey, blur_rows, noise_clip, degradation_draws)}
+QUERIES = {f.__name__: f for f in (region_stats, region_accept, raster_crop, raster_erode, raster_dilate, raster_morph_iter, raster_grey, blur_rows, blur_image, raster_rotate, raster_outline, channel_drop, noise_clip, degradation_draws, degradation_pipeline)}
 
 _IMAGES = """px AS (
   SELECT vec_id, pos - 1 AS pos, greatest(0, least(255, CAST(floor((CAST(e AS DOUBLE) + 0.6::DOUBLE) * 200) AS INTEGER))) AS v
@@ -88,7 +129,62 @@ def _morph(size: int, pick: str, rounds: int) -> str:
 
 _WEIGHTS = "[exp(-0.5::DOUBLE * 16), exp(-0.5::DOUBLE * 4), 1.0::DOUBLE, exp(-0.5::DOUBLE * 4), exp(-0.5::DOUBLE * 16)]"
 
+def _rotated(angle: str, source: str, name: str) -> str:
+    """CTE ``name``: (vec_id, pos, v) of ``source`` turned."""
+    inside = lambda v: f"greatest(0.0::DOUBLE, least(7.0::DOUBLE, {v}))"
+    return f"""{name}_s AS (
+  SELECT vec_id, pos, {inside("4.0::DOUBLE + (pos % 8 - 4.0::DOUBLE) * cos(radians(g)) - (pos // 8 - 4.0::DOUBLE) * sin(radians(g))")} AS x,
+    {inside("4.0::DOUBLE + (pos % 8 - 4.0::DOUBLE) * sin(radians(g)) + (pos // 8 - 4.0::DOUBLE) * cos(radians(g))")} AS y
+  FROM (SELECT vec_id, pos, {angle} AS g FROM {source})),
+{name}_l AS (SELECT vec_id, list(v ORDER BY pos) AS a FROM {source} GROUP BY vec_id),
+{name}_c AS (SELECT vec_id, pos, x, y, least(CAST(floor(x) AS INTEGER), 6) AS x0, least(CAST(floor(y) AS INTEGER), 6) AS y0 FROM {name}_s),
+{name} AS (
+  SELECT c.vec_id, pos, (a[y0 * 8 + x0 + 1] * (1 - (x - x0)) + a[y0 * 8 + x0 + 2] * (x - x0)) * (1 - (y - y0))
+    + (a[y0 * 8 + x0 + 9] * (1 - (x - x0)) + a[y0 * 8 + x0 + 10] * (x - x0)) * (y - y0) AS v
+  FROM {name}_c c JOIN {name}_l USING (vec_id))"""
+
+
+def _blurred(source: str, name: str) -> str:
+    """CTE ``name``: (vec_id, pos, v) of ``source`` blurred along both axes."""
+
+    def along(before: str, made: str, at: str) -> str:
+        return f"""{made} AS (SELECT t.vec_id, t.pos, sum({name}_w.w[t.k + 3] / {name}_w.total * q.v) AS v
+  FROM (SELECT vec_id, pos, k, {at} AS at FROM {before}, (SELECT unnest([-2, -1, 0, 1, 2]) AS k)) t JOIN {before} q ON q.vec_id = t.vec_id AND q.pos = t.at, {name}_w GROUP BY t.vec_id, t.pos)"""
+
+    weights = f"{name}_w AS (SELECT w, list_sum(w) AS total FROM (SELECT {_WEIGHTS} AS w))"
+    return f"{weights}, {along(source, name + '_r', 'greatest(0, least(7, pos % 8 + k)) + 8 * (pos // 8)')}, {along(name + '_r', name, 'greatest(0, least(7, pos // 8 + k)) * 8 + pos % 8')}"
+
+
+def _chosen(seed: int, purpose: str, p: float, made: str, source: str, name: str) -> str:
+    """CTE ``name``: whole values of ``made`` for the images drawn, of ``source`` for the others."""
+    return f"""{name} AS (SELECT a.vec_id, a.pos, CASE WHEN {u_sql(seed, purpose, 'a.vec_id')} < {p}::DOUBLE THEN CAST(floor(round(b.v, 6) + 0.5::DOUBLE) AS INTEGER) ELSE a.v END AS v
+  FROM {source} a JOIN {made} b ON a.vec_id = b.vec_id AND a.pos = b.pos)"""
+
+
+def _pipeline(seed: int) -> str:
+    angle = f"-3.0::DOUBLE + {u_sql(seed, 'angle', 'vec_id')} * 6.0::DOUBLE"
+
+    def pass_(pick: str, source: str, name: str) -> str:
+        over = lambda part, order: f"OVER (PARTITION BY vec_id, {part} ORDER BY {order} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)"
+        rows = f"{name}_r AS (SELECT vec_id, pos, {pick}(v) {over('pos // 8', 'pos % 8')} AS v FROM {source})"
+        return f"{rows}, {name} AS (SELECT vec_id, pos, {pick}(v) {over('pos % 8', 'pos // 8')} AS v FROM {name}_r)"
+
+    return f"""WITH {_IMAGES}, {_rotated(angle, 'px', 'turned')}, {_chosen(seed, 'rotate', 0.4, 'turned', 'px', 'one')},
+{_blurred('one', 'soft')}, {_chosen(seed, 'blur', 0.5, 'soft', 'one', 'two')}, {pass_('min', 'two', 'less')}, {pass_('max', 'two', 'more')},
+either AS (SELECT l.vec_id, l.pos, CASE WHEN {u_sql(seed, 'grow', 'l.vec_id')} < 0.5::DOUBLE THEN m.v ELSE l.v END AS v FROM less l JOIN more m ON l.vec_id = m.vec_id AND l.pos = m.pos),
+{_chosen(seed, 'morph', 0.4, 'either', 'two', 'three')}
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN {u_sql(seed, 'noise', 'vec_id')} < 0.6::DOUBLE THEN trunc(greatest(0.0::DOUBLE, least(255.0::DOUBLE,
+  round(v + sqrt(-2 * ln(1 - {u_sql(seed, 'n1', 'vec_id', 'pos')})) * cos(6.283185307179586::DOUBLE * {u_sql(seed, 'n2', 'vec_id', 'pos')}) * 40.0::DOUBLE, 6)))) ELSE v END AS INTEGER) AS v FROM three"""
+
+
 ORACLE_SQL = {
+    "raster_rotate": f"""WITH {_IMAGES}, {_rotated("-3.0::DOUBLE + " + u_sql(31, 'angle', 'vec_id') + " * 6.0::DOUBLE", 'px', 'turned')}
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v, 6) AS v FROM turned""",
+    "blur_image": f"WITH {_IMAGES}, {_blurred('px', 'soft')} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v, 6) AS v FROM soft",
+    "raster_outline": f"""WITH {_IMAGES}, r AS (SELECT *, pos % 8 AS x, pos // 8 AS y, vec_id % 5 AS x0, vec_id % 3 AS y0, vec_id % 5 + 3 + vec_id % 2 AS x1, vec_id % 3 + 4 AS y1 FROM px)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND (x IN (x0, x1) OR y IN (y0, y1)) THEN 255 ELSE v END AS INTEGER) AS v FROM r""",
+    "channel_drop": f"WITH {_IMAGES} SELECT vec_id, CAST(pos // 4 * 3 + pos % 4 AS INTEGER) AS pos, CAST(v AS INTEGER) AS v FROM px WHERE pos % 4 < 3",
+    "degradation_pipeline": _pipeline(41),
     "region_stats": f"WITH {_IMAGES} SELECT vec_id, round(stddev_pop(v), 6) AS deviation, round(avg(v), 6) AS brightness FROM px GROUP BY vec_id",
     "region_accept": f"WITH {_IMAGES} SELECT vec_id FROM px GROUP BY vec_id HAVING stddev_pop(v) <= 25",
     "raster_crop": f"""WITH {_IMAGES} SELECT vec_id, CAST((pos // 8 - 3) * 4 + pos % 8 - 2 AS INTEGER) AS pos, CAST(v AS INTEGER) AS v FROM px

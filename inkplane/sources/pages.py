@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -82,7 +83,7 @@ def split_files(spark: SparkSession, root: str) -> DataFrame:
                 system, path = fs.FileSystem.from_uri(f"{root}/{split}/{kind}")
                 found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
                 names = [f.base_name for f in found if f.type == fs.FileType.File]
-                yield pd.DataFrame({"split": [split] * len(names), "kind": [kind] * len(names), "name": pd.Series(names, dtype=str)})
+                yield pd.DataFrame({"split": [split] * len(names), "kind": [kind] * len(names), "name": pd.Series(names, dtype=object)})
 
     folders = spark.createDataFrame([(s, k) for s in SPLITS for k in KINDS], "split string, kind string").repartition(4)
     return folders.mapInPandas(run, "split string, kind string, name string")
@@ -99,26 +100,37 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def recreate(root: str, *folders: str) -> None:
+    """Empties ``folders`` below ``root``, or makes them, so that nothing of an earlier, larger run stays."""
+    system, path = fs.FileSystem.from_uri(root)
+    for folder in folders:
+        system.create_dir(f"{path}/{folder}", recursive=True)
+        system.delete_dir_contents(f"{path}/{folder}")
+
+
+def _put(system: fs.FileSystem, path: str, data: bytes) -> None:
+    """A whole file or none: it goes under a temporary name first."""
+    temporary = f"{path}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(temporary) as f:
+        f.write(data)
+    system.move(temporary, path)
+
+
 def write_dataset(pages: DataFrame, root: str) -> DataFrame:
     """Writes image and label file of every page (split, name, height, width, data, text) and returns (split, kind, n).
 
-    The label file is always there, empty for pages without boxes. Files go under a
-    temporary name first. ``root`` is a folder that all executors share.
+    The folders of both splits are emptied first. The label file is always there, empty
+    for pages without boxes. ``root`` is a URI, or a folder that all executors share.
     """
-
-    def put(path: str, data: bytes) -> None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        temporary = f"{path}.{os.getpid()}.part"
-        with open(temporary, "wb") as f:
-            f.write(data)
-        os.replace(temporary, path)
+    recreate(root, *(f"{s}/{k}" for s in SPLITS for k in KINDS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = fs.FileSystem.from_uri(root)
         for frame in frames:
             for r in frame.itertuples():
                 image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
-                put(f"{root}/{r.split}/images/{r.name}.png", png(image))
-                put(f"{root}/{r.split}/labels/{r.name}.txt", r.text.encode())
+                _put(system, f"{path}/{r.split}/images/{r.name}.png", png(image))
+                _put(system, f"{path}/{r.split}/labels/{r.name}.txt", r.text.encode())
             yield pd.DataFrame([(s, k) for s in frame["split"] for k in KINDS], columns=["split", "kind"])
 
     rows = pages.select("split", "name", "height", "width", "data", "text")
@@ -126,6 +138,30 @@ def write_dataset(pages: DataFrame, root: str) -> DataFrame:
     return pages.sparkSession.createDataFrame(written.collect(), "split string, kind string, n long")  # four rows at most
 
 
+SAMPLES, SAMPLE_NAME = "samples", "amostra_{}.png"
+
+
+def write_samples(drawn: DataFrame, root: str) -> list[str]:
+    """Writes pages with their boxes drawn (sample_no, height, width, data) as numbered files into the samples' folder, emptied first, and returns their names.
+
+    Without rows nothing is touched.
+    """
+    numbers = sorted(r.sample_no for r in drawn.select("sample_no").collect())  # a sample's numbers, few by its definition
+    if not numbers:
+        return []
+    recreate(root, SAMPLES)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = fs.FileSystem.from_uri(root)
+        for frame in frames:
+            for r in frame.itertuples():
+                _put(system, f"{path}/{SAMPLES}/{SAMPLE_NAME.format(r.sample_no)}", png(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)))
+            yield pd.DataFrame({"sample_no": np.array(frame["sample_no"].tolist(), np.int32)})
+
+    written = drawn.select("sample_no", "height", "width", "data").mapInPandas(run, "sample_no int").collect()
+    return [SAMPLE_NAME.format(n) for n in sorted(r.sample_no for r in written)]
+
+
 def manifest(root: str, path: str, names: dict[int, str] | None = None) -> dict:
     """Writes the training manifest of a dataset, as YAML."""
     names = {0: "kanji"} if names is None else names

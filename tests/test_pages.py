@@ -82,9 +82,15 @@ def test_dataset_round_trip(spark, tmp_path):
     parsed = labels.parse(pages.label_lines(spark, f"{root}/train/labels"))
     assert parsed.count() == sum(f[3] for f in found if f[0] == "train")
     drawn = synthesis.overlays(rows.filter("split = 'train'"), parsed, n=3)
-    assert sorted(r.sample_no for r in drawn.collect()) == [1, 2, 3]
+    assert pages.write_samples(drawn, root) == ["amostra_1.png", "amostra_2.png", "amostra_3.png"]
+    assert pages.write_samples(drawn.filter("sample_no < 3"), root) == sorted(f.name for f in (tmp_path / "data" / "samples").iterdir()) == ["amostra_1.png", "amostra_2.png"]
+    assert pages.write_samples(drawn.filter("sample_no > 3"), root) == []
+    shown = pages.images(spark, f"{root}/samples").select(F.regexp_extract("path", r"_(\d)\.png", 1).cast("int").alias("sample_no"), "data")
+    assert shown.join(drawn.select("sample_no", F.col("data").alias("first")), "sample_no").filter("data = first").count() == 2
     assert pages.manifest(root, str(tmp_path / "m" / "d.yaml"))["names"] == {0: "kanji"}
-    assert pages.scan(spark, root, "*.png").count() == 6
+    assert pages.scan(spark, f"{root}/train", "*.png").count() == 5
+    smaller = sorted(map(tuple, pages.write_dataset(rows.filter("idx < 2"), root).collect()))
+    assert smaller == [("train", "images", 2), ("train", "labels", 2)] and pages.split_files(spark, root).count() == 4
     again = synthesis.with_label_text(synthesis.dataset(ground(spark).repartition(3), SMALL, seed=3, fonts=2, chars=50), SMALL.crop_size)
     assert sorted((r.split, r.idx, r.text) for r in again.collect()) == sorted((f[0], f[1], f[4]) for f in found)
 
