@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -77,16 +78,17 @@ def split_files(spark: SparkSession, root: str) -> DataFrame:
     A task lists a folder: Spark's own readers pass over empty files, which labels of negatives are.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for split, kind in zip(frame["split"], frame["kind"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for split, kind in zip(batch.column("split").to_pylist(), batch.column("kind").to_pylist(), strict=True):
                 system, path = fs.FileSystem.from_uri(f"{root}/{split}/{kind}")
                 found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
                 names = [f.base_name for f in found if f.type == fs.FileType.File]
-                yield pd.DataFrame({"split": [split] * len(names), "kind": [kind] * len(names), "name": pd.Series(names, dtype=object)})
+                columns = [pa.array(x, pa.string()) for x in ([split] * len(names), [kind] * len(names), names)]
+                yield pa.RecordBatch.from_arrays(columns, ["split", "kind", "name"])
 
     folders = spark.createDataFrame([(s, k) for s in SPLITS for k in KINDS], "split string, kind string").repartition(4)
-    return folders.mapInPandas(run, "split string, kind string, name string")
+    return folders.mapInArrow(run, "split string, kind string, name string")
 
 
 def png(image: np.ndarray) -> bytes:
