@@ -8,10 +8,11 @@ pairs of Jaccard similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.
 Lines that share a band also need ``AGREE`` equal bits of ``BITS`` one-bit hashes, which
 a pair of similarity 0.8 misses less than once in 100,000 times and strangers that
 share a band by chance nearly always do. What is left is compared by exact Jaccard
-similarity of the shingle sets; bands that hold the same lines are compared once, and
-large ones in blocks, every block with every other. Links go to the distributed
-union-find. Of each component the occurrence of the smallest (doc_id, text hash, line
-number) stays.
+similarity of the shingle sets, every pair once. In a band of more than ``FEW`` lines
+all are compared with one of them first, another for each band; only lines that end up
+in another component than that one are compared with all lines of the band, in blocks.
+Links go to the distributed union-find. Of each component the occurrence of the
+smallest (doc_id, text hash, line number) stays.
 
 Null texts stay null; blank lines stay, always. Rows without doc_id come first in
 the order. Rows that repeat doc_id and text are one document and end up alike. A
@@ -20,8 +21,8 @@ columns come along, whatever their names; ``n_lines`` and ``n_dropped`` are repl
 A line of any length is compared whole. Lines are told apart by 64-bit hashes.
 
 Bands are shuffled packed: a row holds what a slice of texts has for one target, a range
-of band values. A target is sorted in parts of ``HELD`` entries; of bands that several
-lines share only one line is kept while more parts come, so a hot band takes no memory.
+of band values. A target is sorted in parts of ``HELD`` entries; of crowded bands only one
+line is kept while more parts come, so a hot band takes no memory.
 The lines to compare are fetched in a second pass over the texts, by a filter of
 ``FILTER`` bits whatever the number of lines, before they are shuffled; texts are
 shuffled once, compressed, to write the result.
@@ -165,22 +166,23 @@ def _column(entries: np.ndarray, start: int, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def alike(group: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Rows (sorted by group) that agree with another of their group on ``AGREE`` bits; all rows of groups of over ``FEW``."""
-    out = np.zeros(len(group), bool)
-    _, which, size = np.unique(group, return_inverse=True, return_counts=True)
-    out[size[which] > FEW] = True
-    for step in range(1, min(FEW, int(size.max(initial=1)))):
-        near = (group[step:] == group[:-step]) & (np.bitwise_count(mark[step:] ^ mark[:-step]) <= BITS - AGREE)
-        out[step:] |= near
-        out[:-step] |= near
-    return out
+def near_pairs(group: np.ndarray, mark: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs within a group (rows are sorted by it) that agree on ``AGREE`` bits, one row at least being new."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, FEW):
+        same = np.flatnonzero(group[step:] == group[:-step])
+        if not len(same):
+            break
+        near = same[(np.bitwise_count(mark[same + step] ^ mark[same]) <= BITS - AGREE) & (new[same] | new[same + step])]
+        left.append(near)
+        right.append(near + step)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by target: (band, k) of the lines that share a band and agree on enough bits."""
+    """Rows sorted by target: (band, a, b), pairs to compare with band null, and lines of crowded bands with b null."""
     none = tuple(np.empty(0, np.uint64) for _ in range(4))
-    kept, new, waiting, target = none, [], 0, None  # state of a kept line: 0 waits, 1 is passed on, 2 stands for a crowded band
+    kept, new, waiting, target = none, [], 0, None  # state of a kept line: 0 is new, 1 has met the others, 2 stands for a crowded band
 
     def sift(last: bool) -> pa.RecordBatch:
         nonlocal kept, new, waiting
@@ -194,17 +196,21 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.ones(len(k), bool)
         head[1:] = band[1:] != band[:-1]
         group = np.cumsum(head) - 1
-        crowded_before = np.bincount(group, state == 2)[group] > 0
-        crowd = crowded_before | (np.bincount(group)[group] > FEW)
-        go = (state == 0) & (crowd | alike(group, mark))
-        whole = np.uint64(target) << np.uint64(8 * BAND_BYTES) | band[go]
+        crowd = (np.bincount(group, state == 2)[group] > 0) | (np.bincount(group)[group] > FEW)
+        go, few = np.flatnonzero(crowd & (state < 2)), np.flatnonzero(~crowd)
+        left, right = near_pairs(group[few], mark[few], state[few] == 0)
+        left, right = few[left], few[right]
         if last:
             kept = none
         else:
             stay = head | ~crowd
-            kept = tuple(x[stay] for x in (band, k, mark, np.where(crowd, np.uint64(2), np.where(go, np.uint64(1), state))))
+            kept = tuple(x[stay] for x in (band, k, mark, np.where(crowd, np.uint64(2), np.uint64(1))))
         new, waiting = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(k[go].view(np.int64))], ["band", "k"])
+        whole = (np.uint64(target) << np.uint64(8 * BAND_BYTES) | band[go]).view(np.int64)
+        k = k.view(np.int64)
+        bands_out = pa.concat_arrays([pa.nulls(len(left), pa.int64()), pa.array(whole)])
+        others = pa.concat_arrays([pa.array(k[right]), pa.nulls(len(go), pa.int64())])
+        return pa.RecordBatch.from_arrays([bands_out, pa.array(np.concatenate([k[left], k[go]])), others], ["band", "a", "b"])
 
     for batch in batches:
         for t, entries in zip(batch.column("target").to_pylist(), batch.column("entries"), strict=True):
@@ -277,6 +283,31 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield work(pa.Table.from_batches(held).combine_chunks())
 
 
+def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """Whether the shingle sets of a[i] and b[i] have Jaccard similarity ``least``, for up to 65,536 pairs."""
+
+    def keyed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Different (pair, hash) of all lines, sorted, and their number by pair."""
+        hashes, starts = shingles(lines)
+        pair = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(hashes))))
+        keys = np.unique(pair << np.uint64(48) | hashes >> np.uint64(16))
+        return keys, np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=len(lines))
+
+    (x, nx), (y, ny) = keyed(a), keyed(b)
+    both = np.sort(np.concatenate([x, y]))
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(a))
+    return common >= least * (nx + ny - common) - 1e-9
+
+
+def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, n in text_slices(batch, "x", 1 << 19):
+            for at in range(start, start + n, 1 << 14):
+                part = batch.slice(at, min(1 << 14, start + n - at))
+                near = similar(part.column("x").to_pylist(), part.column("y").to_pylist(), least)
+                yield part.select(["a", "b"]).filter(pa.array(near))
+
+
 def _fetch(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """(k, line) of the lines that pass the filter, and of few others."""
     words: np.ndarray = shared.value
@@ -307,22 +338,37 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     bits = min(16, max(8, (16 * spread).bit_length()))
     packs = docs.select("t").mapInArrow(lambda it: _entries(it, bits), "target int, entries binary")
     packs = packs.repartition(spread, "target").sortWithinPartitions("target")
-    shared = stored(packs.mapInArrow(_sharing, "band long, k long").distinct(), "bands")
-    sets = shared.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y")).filter("n > 1")
-    # bands with the same members are compared once
-    once = sets.groupBy("n", "x", "y").agg(F.min("band").alias("band"))
-    once = once.select("band", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = stored(shared.join(once, "band"), "members")
-    own = F.pmod(F.xxhash64("k", F.lit("block")), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
-        F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y"),
-        F.when(o == F.col("own"), 2).when(F.col("own") < o, 0).otherwise(1).alias("side")))
-    dealt = members.withColumn("own", own).select("k", "band", F.explode(meets).alias("m"))
-    dealt = dealt.select("k", F.xxhash64("band", "m.x", "m.y").alias("block"), F.col("m.side").alias("side"))
-    shared_filter = spark.sparkContext.broadcast(_filter(members))
-    texts = docs.select("t").mapInArrow(lambda it: _fetch(it, shared_filter), "k long, line string").dropDuplicates(["k"])
-    rows = dealt.join(texts, "k").repartition(spread, "block").sortWithinPartitions("block", "k")
-    return rows.mapInArrow(lambda it: _links(it, least), "a long, b long")
+    found = stored(packs.mapInArrow(_sharing, "band long, a long, b long"), "bands")
+    crowd = found.filter("b IS NULL").select("band", F.col("a").alias("k")).distinct()
+    first = crowd.groupBy("band").agg(F.min_by("k", F.xxhash64("k", "band")).alias("first"))
+    stars = crowd.join(first, "band").filter("k <> first").select(F.least("k", "first").alias("a"), F.greatest("k", "first").alias("b"))
+    pairs = stored(found.filter("b IS NOT NULL").select("a", "b").unionByName(stars).distinct(), "pairs")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("k"))
+    shared_filter = spark.sparkContext.broadcast(_filter(keys))
+    texts = docs.select("t").mapInArrow(lambda it: _fetch(it, shared_filter), "k long, line string")
+    texts = stored(texts.groupBy("k").agg(F.first("line").alias("line")), "texts")
+    x, y = (texts.select(F.col("k").alias(k), F.col("line").alias(line)) for k, line in (("a", "x"), ("b", "y")))
+    near = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, least), "a long, b long"), "near")
+    if crowd.isEmpty():
+        return near
+    return near.unionByName(_crowd_links(crowd, first, near, texts, least))
+
+
+def _crowd_links(crowd: DataFrame, first: DataFrame, near: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): links of those lines of crowded bands that are in another component than the band's first line, with all of the band."""
+    root = components(near).select(F.col("node").alias("k"), "root")
+    named = crowd.join(root, "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
+    own = first.join(root, first["first"] == root["k"], "left").select("band", F.coalesce("root", "first").alias("main"))
+    rows = stored(named.join(own, "band").select("band", "k", (F.col("root") != F.col("main")).alias("apart")), "crowd")
+    large = rows.groupBy("band").agg(F.count("*").alias("n"), F.max("apart").alias("some")).filter("some")
+    rows = rows.join(large.select("band", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")), "band")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("k", F.lit("block")), F.col("blocks")).cast("int"))
+    # a line apart goes to every block of its band and meets all in its own; the others stay in one
+    meets = F.when(F.col("apart"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(o.alias("x"), F.when(o == F.col("own"), 2).otherwise(1).alias("side"))))
+    meets = meets.otherwise(F.array(F.struct(F.col("own").alias("x"), F.lit(0).alias("side"))))
+    dealt = rows.select("k", "band", F.explode(meets).alias("m")).select("k", F.xxhash64("band", "m.x").alias("block"), F.col("m.side").alias("side"))
+    blocks = dealt.join(texts, "k").repartition(crowded(crowd.sparkSession), "block").sortWithinPartitions("block", "k")
+    return blocks.mapInArrow(lambda it: _links(it, least), "a long, b long")
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,7 +140,7 @@ def test_bits_of_near_lines_agree():
 
 
 def test_parts_of_a_target(monkeypatch):
-    """Whatever the parts, lines that share a band with a near one go on, and a crowded band's lines all do."""
+    """Whatever the parts, near lines of small bands make the same pairs, and all lines of crowded bands go on."""
     rng = np.random.default_rng(13)
     base = ["".join(rng.choice(list("abcdefghij klm"), 120)) for _ in range(60)]
     texts = base + [x[:-2] + "zz" for x in base[:20]] + [base[50][:-1] + c for c in "nopqrstuvwxyz"] + base[:5]
@@ -151,8 +151,32 @@ def test_parts_of_a_target(monkeypatch):
         parts = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 7])], ["t"]) for i in range(0, len(texts), 7)]
         packs = pa.Table.from_batches([x for p in parts for x in lines._entries(iter([p]), 8)]).sort_by("target")
         out = pa.Table.from_batches(list(lines._sharing(iter(packs.to_batches(max_chunksize=9)))))
-        return set(zip(*(out.column(c).to_pylist() for c in ("band", "k")), strict=True))
+        return set(zip(*(out.column(c).to_pylist() for c in ("band", "a", "b")), strict=True))
 
     whole = found(1 << 20, 32)
-    assert len({k for _, k in whole}) == 53 and found(3, 32) == whole
-    assert whole <= found(3, 2) and {k for _, k in found(3, 2)} == {k for _, k in whole}
+    assert all(band is None for band, _, _ in whole) and found(3, 32) == whole and len(whole) == 20 + 14 * 13 // 2
+    for held in (1 << 20, 3):
+        crowd = found(held, 5)
+        assert len({k for band, k, _ in crowd if band is not None}) == 14 and len({p for p in crowd if p[0] is None and p in whole}) >= 20
+
+
+def test_similar_is_exact():
+    rng = np.random.default_rng(14)
+    a = ["".join(rng.choice(list("ab c"), int(rng.integers(1, 60)))) for _ in range(300)]
+    b = [x[: int(rng.integers(1, len(x) + 1))] + "b" for x in a]
+    want = [len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y)) for x, y in zip(a, b, strict=True)]
+    assert lines.similar(a, b, 0.8).tolist() == want and 20 < sum(want) < 280
+
+
+def test_lines_apart_from_the_first_of_a_crowded_band(spark, monkeypatch):
+    """A chain of lines, each near the next only: none may be lost whichever line a band is held against."""
+    monkeypatch.setattr(lines, "FEW", 2)
+    monkeypatch.setattr(lines, "BLOCK", 3)
+    rng = np.random.default_rng(15)
+    text, chain = list("".join(rng.choice(list("abcdefghijklm"), 200))), []
+    for step in range(12):
+        text[step * 12 : step * 12 + 12] = list("".join(rng.choice(list("NOPQRSTUVWXYZ"), 12)))
+        chain.append("".join(text))
+    rows = [(i, x, "x", 1, 1) for i, x in enumerate(chain)] + [(50, "something else altogether", "x", 1, 1)]
+    out = {r.doc_id: r.n_dropped for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {i: int(0 < i < 12) for i in [*range(12), 50]}
