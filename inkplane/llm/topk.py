@@ -1,8 +1,9 @@
 """Exact top-k inner products by norm buckets (operator 3).
 
 Vectors are grouped by length into classes whose lengths differ by a tenth at most.
-A first pass over the class of the longest vectors gives each query a floor, its
-k-th best score so far. For every other bucket the floor gives a local cosine
+A first pass over the longest vectors, as many classes as hold more than k of them, gives
+each query a floor, its k-th best score so far. Vectors too short for every floor of a
+block of queries aren't sent to it. For every other bucket the floor gives a local cosine
 threshold, floor / (|q| * longest length): above 1 the bucket is skipped; where it
 is high, candidates must have their largest query coordinates within the interval
 that the threshold allows; where it is low, only the vectors long enough are kept.
@@ -10,7 +11,10 @@ The products of what is left are computed exactly on integers.
 
 Null, empty or non-finite vectors and rows without id take no part; vectors of
 another dimension are no candidates; equal scores go to the smaller id; an empty
-table gives no rows. Of rows that repeat an id the smallest vector counts.
+table gives no rows. Rows that repeat an id are rows of their own: each is a candidate
+for the others and, if its id is asked for, a query with results of its own. Other
+columns are left behind, whatever their names. Components that don't fit into 64 bits,
+and scores that don't, count as the nearest number that does.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkplane.llm import tiles
@@ -27,7 +31,7 @@ from inkplane.llm.common import cut
 
 #: Ratio of lengths within a bucket, threshold from which coordinates prune, and how many coordinates are looked at.
 STEP, COSINE, FOCUS = 1.1, 0.55, 4
-EXACT = float(1 << 53)
+EXACT, LARGEST = float(1 << 53), (1 << 63) - 1
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -38,7 +42,7 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     if most < EXACT:
         return (q @ v.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in r] for r in m], dtype=object).reshape(m.shape)
-    return whole(q) @ whole(v).T
+    return np.clip(whole(q) @ whole(v).T, -LARGEST - 1, LARGEST).astype(np.int64)
 
 
 def candidates(q: np.ndarray, v: np.ndarray, length: np.ndarray, floor: float) -> np.ndarray:
@@ -66,45 +70,43 @@ def candidates(q: np.ndarray, v: np.ndarray, length: np.ndarray, floor: float) -
 
 
 def _tile(part: pa.Table, k: int) -> pa.Table:
-    (q_ids, q, floors), (v_ids, v) = tiles.split_tile(part)
+    (q_rids, q_ids, q, floors), (v_rids, v_ids, v, _) = tiles.split_tile(part)
     length = np.sqrt((v * v).sum(axis=1))
     order = np.lexsort((v_ids, -length))
-    v_ids, v, length = v_ids[order], v[order], length[order]
-    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if len(q_ids) and len(v_ids):
-        picked = [candidates(x, v, length, f) for x, f in zip(q, floors, strict=True)]
+    v_rids, v_ids, v, length = v_rids[order], v_ids[order], v[order], length[order]
+    rows: list[tuple[np.ndarray, ...]] = []
+    for start in range(0, len(q_ids) if len(v_ids) else 0, tiles.AT_ONCE):
+        some = slice(start, start + tiles.AT_ONCE)
+        picked = [candidates(x, v, length, f) for x, f in zip(q[some], floors[some], strict=True)]
         most = max(map(len, picked))
-        whole = products(q, v[: max(int(p[-1]) + 1 if len(p) else 0 for p in picked)]) if most > 32 else None
-        for i, at in enumerate(picked):
-            at = at[v_ids[at] != q_ids[i]]
-            score = whole[i, at] if whole is not None else products(q[i : i + 1], v[at])[0]
-            best = np.lexsort((v_ids[at], -score))[:k]
-            rows.append((np.full(len(best), q_ids[i]), v_ids[at][best], score[best]))
-    columns = [np.concatenate(c).astype(np.int64) if rows else np.empty(0, np.int64) for c in (zip(*rows, strict=True) if rows else ((), (), ()))]
-    return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns), strict=True)))
-
-
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+        whole = products(q[some], v[: max(int(p[-1]) + 1 if len(p) else 0 for p in picked)]) if most > 32 else None
+        for i, at in enumerate(picked, start):
+            at = at[v_rids[at] != q_rids[i]]
+            score = whole[i - start, at] if whole is not None else products(q[i : i + 1], v[at])[0]
+            best = np.lexsort((v_ids[at], -score.astype(object) if score.min(initial=0) == -LARGEST - 1 else -score))[:k]
+            rows.append((np.full(len(best), q_rids[i]), np.full(len(best), q_ids[i]), v_ids[at][best], score[best]))
+    return tiles.found_table(rows, np.int64)
 
 
 def search(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer products of every query row."""
-    rows = tiles.vectors(df.withColumn("_query", is_query), key, vector)
+    rows = tiles.vectors(df, key, vector, is_query)
     rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("double")))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    step = F.when(length > 0, F.floor(F.log(length) / np.log(STEP)).cast("int")).otherwise(F.lit(-(1 << 30)))
+    rows = rows.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    step = F.when(F.col("length") > 0, F.floor(F.log("length") / np.log(STEP)).cast("int")).otherwise(F.lit(-(1 << 30)))
     rows = cut(rows.withColumn("bucket", step))
-    wanted = df.filter(is_query & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct()
-    queries = rows.join(wanted, "id", "left_semi").select("id", "v", "dim")
-    # first pass: the longest class of each dimension
-    top = rows.groupBy("dim").agg(F.max("bucket").alias("top"))
-    longest = rows.join(F.broadcast(top), "dim").filter(F.col("bucket") == F.col("top")).drop("top")
-    free = queries.withColumn("bound", F.lit(None).cast("double"))
+    queries = rows.filter("asked").select("rid", "id", "v", "dim", "length")
+    # first pass: the longest classes of each dimension that together hold more than k vectors
+    longer = Window.partitionBy("dim").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("dim", "bucket").agg(F.count("*").alias("n"))
+    top = counts.withColumn("before", F.coalesce(F.sum("n").over(longer), F.lit(0))).filter(F.col("before") <= k).groupBy("dim").agg(F.min("bucket").alias("top"))
+    topped = rows.join(F.broadcast(top), "dim")
+    longest, others = topped.filter("bucket >= top").drop("top"), topped.filter("bucket < top").drop("top")
     keys = ["dim", "qb", "bucket", "vb"]
-    run = lambda part: _tile(part, k)
-    first = cut(tiles.tile_rows(free, longest, ["bucket"], tiles.QUERY_BLOCK, tiles.VECTOR_BLOCK).groupBy(*keys).applyInArrow(run, FOUND))
-    reached = tiles.merged(first, k, True).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("bound"))
-    bounded = queries.join(reached, "id", "left")
-    others = rows.join(F.broadcast(top), "dim").filter(F.col("bucket") < F.col("top")).drop("top")
-    rest = tiles.tile_rows(bounded, others, ["bucket"], tiles.QUERY_BLOCK, tiles.VECTOR_BLOCK).groupBy(*keys).applyInArrow(run, FOUND)
-    return tiles.merged(first.unionByName(rest), k, True)
+    run, found = (lambda part: _tile(part, k)), f"{tiles.FOUND} bigint"
+    free = queries.withColumn("bound", F.lit(None).cast("double"))
+    first = cut(tiles.tile_rows(free, longest, ["bucket"], tiles.QUERY_BLOCK, tiles.VECTOR_BLOCK).groupBy(*keys).applyInArrow(run, found))
+    reached = tiles.merged(first, k, True).filter(F.col("rank") == k).select(F.col("query_rid").alias("rid"), F.col("score").cast("double").alias("bound"))
+    bounded = queries.join(reached, "rid", "left").withColumn("need", F.when((F.col("bound") > 0) & (F.col("length") > 0), F.col("bound") / F.col("length") * (1 - 1e-9)).otherwise(F.lit(0.0)))
+    rest = tiles.tile_rows(bounded, others, ["bucket"], tiles.QUERY_BLOCK, tiles.VECTOR_BLOCK).groupBy(*keys).applyInArrow(run, found)
+    return tiles.merged(first.unionByName(rest), k, True).drop("query_rid")

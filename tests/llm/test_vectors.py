@@ -18,7 +18,7 @@ def made(seed=1, n=700, dim=16, spread=False):
     m[61] = 0
     rows = [(i, [float(x) for x in r], 0, "x", 1) for i, r in enumerate(m)]
     rows += [(1000, None, 0, "x", 1), (1001, [1.0, None], 0, "x", 1), (1002, [float("nan")] * dim, 0, "x", 1), (1050, [], 0, "x", 1), (None, [1.0] * dim, 0, "x", 1), (1100, [float("inf")] * dim, 0, "x", 1), (1150, [0.5, 0.5], 0, "x", 1)]
-    return m, rows + rows[40:42]
+    return m, rows
 
 
 def best(ids, scores, own, k):
@@ -69,6 +69,52 @@ def test_large_whole_numbers_stay_exact():
     assert topk.products(q, np.array([[2.0, 5.0]]))[0, 0] == 2**53 + 15
 
 
+def by_hand(rows, k, score, step):
+    """Every query row against every other row; rows are (id, vector)."""
+    out = []
+    for i, (q, x) in enumerate(rows):
+        if q % step == 0:
+            best = sorted((score(x, y), v) for j, (v, y) in enumerate(rows) if j != i)[:k]
+            out += [(q, n, v, s) for n, (s, v) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("dim", [3, 8])
+def test_repeated_ids_are_rows_of_their_own(spark, dim):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 130), [float(x) for x in np.round(rng.normal(size=dim), 2)]) for i in range(260)] + [(100, [1.0] * dim)] * 2
+    df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows] + [(7, [0.0] * dim, 0, "x", 1), (100, None, 0, "x", 1)], SCHEMA.replace("float", "double"))
+    near = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.search(df, F.col("vec_id") % 100 == 0, 4).collect())
+    want = by_hand(rows, 4, lambda x, y: float(nearest.distances(np.array(x), np.array([y]))[0]), 100)
+    assert near == want and sum(1 for r in near if r[0] == 100 and r[1] == 1) == 4
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in [*rows, (7, [0.0] * dim)]]
+    top = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0, 5).collect())
+    assert top == sorted((q, n, v, -s) for q, n, v, s in by_hand(whole, 5, lambda x, y: -sum(a * b for a, b in zip(x, y, strict=True)), 50))
+
+
+def test_numbers_beyond_the_range(spark):
+    rows = [(i, [1e200 * (i + 1), -1e200], 0, "x", 1) for i in range(12)] + [(200 + i, [1e-200 * (i + 1), 1e-200], 0, "x", 1) for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    near = {}
+    for r in nearest.search(df, F.col("vec_id") % 100 == 0, 3).collect():
+        near.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert [near[0][n][0] for n in (1, 2, 3)] == [1, 200, 201] and near[0][1][1] == pytest.approx(1e200) and near[0][2][1] == pytest.approx(2**0.5 * 1e200)
+    assert [near[200][n][0] for n in (1, 2, 3)] == [201, 202, 203] and near[200][1][1] == pytest.approx(1e-200)
+    top = topk.search(df, F.col("vec_id") == 0, 2).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in top) == [(1, 1, (1 << 63) - 1), (2, 2, (1 << 63) - 1)]
+
+
+def test_floor_where_the_longest_class_is_small(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 6))
+    m[3] *= 50
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(m)]
+    df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA.replace("float", "double"))
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    top = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0, 5).collect())
+    assert top == sorted((q, n, v, -s) for q, n, v, s in by_hand(whole, 5, lambda x, y: -sum(a * b for a, b in zip(x, y, strict=True)), 50))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert topk.search(df, F.col("vec_id") % 50 == 0, 5).count() == 0
