@@ -54,6 +54,40 @@ def test_replaced(spark):
     assert len(set(many)) == 400 and not set(many) & set(TEXTS[10].split()) and got[10].n_replaced == 400
 
 
+def replaced(spark, *texts):
+    out = surrogates.replace(spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], SCHEMA)).collect()
+    return [(r.text, r.n_replaced) for r in sorted(out, key=lambda r: r.doc_id)]
+
+
+def test_drawing_ends_where_a_format_has_too_few_values(spark):
+    mails = [f"{i % 10}@{i // 10}.com" for i in range(60)]
+    inside, short = [f"192.168.0.{i}" for i in range(30)], [f"fe80::{i:x}" for i in range(1, 16)]
+    got = [t for t, _ in replaced(spark, *(f"at {x} now" for x in [*mails, *inside, *short]))]
+    made = [t.split()[1] for t in got]
+    assert len(set(made)) == len(made) and not set(made) & set(mails + inside + short)
+    assert all(re.fullmatch(r"[a-z0-9]+@\d\.com", x) for x in made[:60]) and all(x.startswith(("192.168.", "10.")) for x in made[60:90])
+    assert all(re.fullmatch(r"fe\w\w::\w|fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", x) for x in made[90:])
+
+
+def test_addresses(spark):
+    a, b, c, d = (t for t, _ in replaced(spark, "to 172.16.3.4 and 172.32.3.4", "v6 2001:db8:0:0:1:2:3:4f and 2001:DB8::8a2e:370:7334, not std::vector or 12:30:45", "mail jürgen.müller@käse.de", "пишите иван@почта.рф"))
+    m = re.fullmatch(r"to (172\.(\d+)\.\d+\.\d+) and (\d+)\.\d+\.\d+\.\d+", a)
+    assert 16 <= int(m[2]) <= 31 and m[1] != "172.16.3.4" and m[3] != "172"
+    m = re.fullmatch(r"v6 ([0-9a-f:]{20,}) and ([0-9A-F:]{20,}), not std::vector or 12:30:45", b)
+    assert m and m[1].count(":") == 7 and "::" in m[2] and "2001" not in b
+    assert re.fullmatch(r"mail \w{6}\.\w{6}@\w{4}\.de", c) and "rgen" not in c
+    assert re.fullmatch(r"пишите [а-я]{4}@[а-я]{5}\.рф", d) and "иван" not in d
+
+
+def test_later_mentions_and_titles_without_gender(spark):
+    (one, n), (two, m), (three, k) = replaced(spark, "Mr John Ronald Smith came. Smith left, JOHN stayed; Smithson too.", "Dr. Ada Long and Frau Prof. Kurz. The Long road.", "Smith is only a word here.")
+    x = re.fullmatch(r"Mr (\w+) (\w+) (\w+) came\. (\w+) left, ([A-Z]+) stayed; Smithson too\.", one)
+    assert x[3] == x[4] != "Smith" and x[5] == x[1].upper() != "JOHN" and n == 3
+    y = re.fullmatch(r"Dr\. (\w+) (\w+) and Frau Prof\. (\w+)\. The (\w+) road\.", two)
+    assert y[1] in surrogates.GIVEN["n-latin"] and y[2] == y[4] != "Long" and y[3] != "Kurz" and m == 3
+    assert three == "Smith is only a word here." and k == 0
+
+
 def test_distinct_where_space_is_short(spark):
     rows = [(i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)} Zz at 10.0.0.{i}", "a", "b") for i in range(200)]
     out = surrogates.replace(spark.createDataFrame(rows, SCHEMA)).collect()
