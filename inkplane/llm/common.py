@@ -18,10 +18,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a local session gets one of its own; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

@@ -11,8 +11,12 @@ those of the smallest hash, whole texts. Every SVM is fitted in a task of its ow
 from these profiles. The weights (buckets x SVMs) are small and fixed in size.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text if
-there was nothing to learn from. Texts of any length are read whole, in pieces.
-One language alone is predicted for all texts with a letter, score 1.
+there was nothing to learn from; null and empty languages are not learned. Texts of any
+length are read whole, in pieces. One language alone is predicted for all texts with a
+letter, score 1. Rows that repeat id or text count as often, in training too, and get
+results of their own; equal margins go to the first language by name. An empty table
+gives no rows. Other columns come along, whatever their names; ``lang_pred`` and
+``score`` are replaced.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ BUCKETS = 1 << 14
 #: Documents of a language in the training sample, and rows of one SVM's task at most.
 PER_LANGUAGE, TASK_ROWS = 400, 2000
 EPOCHS, PENALTY = 40, 1e-4
+#: Characters of a text that are profiled at a time.
+PIECE = 1 << 20
 UNKNOWN = "und"
 
 
@@ -67,11 +73,16 @@ def hashed(raw: np.ndarray, width: int) -> np.ndarray:
 
 
 def profile(text: str) -> np.ndarray:
-    """Shares of the buckets; a text too short for a run has none."""
-    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)
-    count = np.zeros(BUCKETS, np.int64)
-    for width in (2, 3):
-        count += np.bincount(hashed(raw, width), minlength=BUCKETS)
+    """Shares of the buckets, from pieces of the text; a text too short for a run has none."""
+    count, carried = np.zeros(BUCKETS, np.int64), b" "
+    for at in range(0, len(text) + 1, PIECE):
+        piece = text[at : at + PIECE].lower().encode("utf-8", "replace")
+        data = carried + piece + (b" " if at + PIECE > len(text) else b"")
+        raw = np.frombuffer(data, np.uint8)
+        for width in (2, 3):  # runs that end in this piece
+            skip = max(0, len(carried) - width + 1) if at else 0
+            count += np.bincount(hashed(raw[skip:], width), minlength=BUCKETS)
+        carried = data[-2:]
     return count / max(1, count.sum())
 
 
@@ -154,16 +165,14 @@ def _fit(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """(lang, place, text): ``per_language`` documents of each language at most, those of the smallest hashes.
+    """(lang, place, text): ``per_language`` documents of each language at most, those of the smallest hashes of id and text.
 
-    A first, generous cut by hash keeps the window small however common a language is.
+    Every task passes on no more than these of its own rows (a group limit), so no language meets whole in one.
     """
     usable = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull() & has_letter(F.col("text")))
-    rows = usable.select("lang", "text", F.abs(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))).alias("_h"))
-    counts = docs.groupBy("lang").agg(F.count("*").alias("_n"))
-    near = rows.join(F.broadcast(counts), "lang").filter(F.col("_h") / F.lit(float(1 << 63)) * F.col("_n") < 4 * per_language + 50)
+    rows = usable.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("_h"))
     order = Window.partitionBy("lang").orderBy("_h", F.md5("text"))
-    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("lang", "place", "text")
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select("lang", "place", "text")
 
 
 def has_letter(text: Column) -> Column:

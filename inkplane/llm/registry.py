@@ -142,4 +142,21 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, payload_digest, CASE
   CASE WHEN page_id <> best THEN best END AS refers_to FROM coded
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL, "op6_nearest": OP6_SQL, "op9_warc": OP9_SQL}
+#: Every window of 100 bytes, in hexadecimal; rows that repeat a doc_id are beyond it.
+OP8_SQL = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+windows AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS digest FROM (SELECT doc_id, h, unnest(range(greatest(0, n_bytes - 99))) AS i FROM texts)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY digest ORDER BY doc_id NULLS FIRST, i) AS place FROM windows) WHERE place > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS since, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC) = 1 AS final FROM spans),
+kept AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(e - b) AS n_removed,
+    string_agg(substr(h, 2 * since + 1, 2 * (b - since)) || CASE WHEN final THEN substr(h, 2 * e + 1) ELSE '' END, '' ORDER BY b) AS h
+  FROM gaps g JOIN texts t ON g.doc_id IS NOT DISTINCT FROM t.doc_id GROUP BY g.doc_id)
+SELECT t.doc_id, t.n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id IS NOT DISTINCT FROM k.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL, "op6_nearest": OP6_SQL, "op8_suffixes": OP8_SQL, "op9_warc": OP9_SQL}

@@ -1,7 +1,8 @@
 """Deterministic sharded WARC archives: writer and reader (operator 9).
 
 Writer. Rows get a shard from a histogram of their keys, so shards are ranges of
-keys of about ``shard_bytes``, the same whatever the partitions. A task sorts its
+keys of about ``shard_bytes``, the same whatever the partitions; a cell of the histogram
+that holds more is cut once more, into equal parts between its own first and last key. A task sorts its
 shards by key, writes one gzip member for each record and starts a new file once
 ``roll_bytes`` compressed bytes are reached. Headers, ids and digests are made anew
 from the row. A file is written under a temporary name and renamed when it is
@@ -150,16 +151,17 @@ def write(df: DataFrame, root: str, key: str = "page_id", target: str = "url", p
         none = -1 - F.pmod(F.crc32("sha"), F.lit(64))  # rows without key
         return x.crossJoin(F.broadcast(ends)).withColumn("cell", F.coalesce(place, none).cast("int")).drop("low", "high")
 
-    cells = celled(facts).groupBy("cell").agg(F.sum(F.col("n") + HEADER_BYTES).alias("n"))
+    cells = celled(facts).groupBy("cell").agg(F.sum(F.col("n") + HEADER_BYTES).alias("n"), F.min("key").cast("double").alias("low"), F.max("key").cast("double").alias("high"))
     before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    shards = cells.select("cell", F.floor(before / F.lit(shard_bytes)).cast("int").alias("shard"))
+    shards = cells.select("cell", "low", "high", F.floor(before / F.lit(shard_bytes)).alias("first"), F.ceil(F.col("n") / F.lit(shard_bytes)).alias("parts"))
+    within = F.coalesce(F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.col("parts")), F.lit(0))
     # repeated payloads: (key, sha) of their rows with the key that wins
     repeated = facts.filter(F.col("n") >= min_bytes).groupBy("sha").agg(F.count("*").alias("c"), F.max("key").alias("winner")).filter("c > 1")
     notes = facts.join(repeated.select("sha", "winner"), "sha").filter(F.col("key").isNotNull()).select("key", "sha", "winner").distinct()
     columns = ["shard", "key", "sha", "kind", "winner", "target", "payload"]
     noted = notes.withColumn("kind", F.lit(0)).withColumn("target", F.lit(None).cast("string")).withColumn("payload", F.lit(None).cast("string"))
     both = noted.unionByName(rows.withColumn("kind", F.lit(1)).withColumn("winner", F.lit(None).cast("long")))
-    both = celled(both).join(F.broadcast(shards), "cell").select(*columns)
+    both = celled(both).join(F.broadcast(shards), "cell").withColumn("shard", (F.col("first") + within).cast("int")).select(*columns)
     dealt = both.repartition(crowded(df.sparkSession), "shard").sortWithinPartitions("shard", "key", "sha", "kind", "target")
     dealt.mapInArrow(lambda it: _write(it, root, roll_bytes), MANIFEST).write.mode("overwrite").parquet(f"{root}/_manifest")
     return df.sparkSession.read.parquet(f"{root}/_manifest")

@@ -55,3 +55,22 @@ def test_runs_of_three_letters_keep_apart():
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
     runs = np.stack(np.meshgrid(letters, letters, letters), -1).reshape(-1, 3)
     assert len({int(langid.hashed(r, 3)[0]) for r in runs}) > 7000
+
+
+def test_one_id_on_every_row(spark):
+    rng = np.random.default_rng(6)
+    rows = [(7, prose(rng, lang, 30), lang, None, None) for _ in range(500) for lang in ("en", "fr")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = langid.identify(df, langid.fit(df, 100)).collect()
+    assert np.mean([r.lang_pred == r.lang for r in out]) > 0.97
+    same = spark.createDataFrame([(7, "the ing of and wh", "en", None, None)] * 900 + [(7, "le eau tion de oux", "fr", None, None)] * 900, SCHEMA)
+    assert {(r.lang, r.lang_pred) for r in langid.identify(same, langid.fit(same, 50)).collect()} == {("en", "en"), ("fr", "fr")}
+
+
+def test_profiles_of_pieces(monkeypatch):
+    text = "Über den Wolken, " * 40 + "ß é ñ " * 30
+    whole = langid.profile(text)
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "PIECE", size)
+        assert np.array_equal(langid.profile(text), whole)
+    assert langid.profile("a").sum() > 0

@@ -67,3 +67,12 @@ def test_files_outside_the_manifest_do_not_count(spark, tmp_path):
 
 def test_empty(spark):
     assert warc.archived(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_key_far_off_leaves_shards_as_they_are(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "x" * 400, 1, "q") for i in range(1, 2001)]
+    for name, more in (("near", []), ("far", [(1 << 62, "u", "far", 1, "q")])):
+        warc.write(spark.createDataFrame(rows + more, SCHEMA), f"file://{tmp_path}/{name}", shard_bytes=200_000)
+    near, far = (spark.read.parquet(f"file://{tmp_path}/{n}/_manifest") for n in ("near", "far"))
+    assert near.select("shard").distinct().count() >= 9 and far.select("shard").distinct().count() >= 9
+    assert max(m.records for m in far.collect()) < 400 and warc.read(spark, f"file://{tmp_path}/far").count() == 2001
