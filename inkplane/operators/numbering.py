@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import draws
 
-#: Consecutive keys that are numbered together.
-CHUNK = 1 << 16
+#: Consecutive keys that are numbered together at least, and ranges of keys at most.
+CHUNK, CHUNKS = 1 << 16, 1 << 14
 TRIES_PER_PAGE = 20
 
 
 def dense(df: DataFrame, by: str, start: int | Column = 0, name: str = "idx", chunk: int = CHUNK) -> DataFrame:
     """``df`` numbered from ``start`` in order of the whole-numbered, unique column ``by``.
 
-    Rows are numbered within ranges of ``chunk`` keys; the small table of counts adds up what lies before.
+    Rows are numbered within ranges of keys, of ``chunk`` keys or wide enough that there
+    are ``CHUNKS`` of them at most; the small table of counts adds up what lies before.
     """
-    rows = df.withColumn("_chunk", F.floor(F.col(by) / F.lit(chunk)).cast("long"))
+    ends = df.agg(F.min(by).cast("double").alias("_low"), F.max(by).cast("double").alias("_high"))
+    width = F.greatest(F.lit(float(chunk)), F.ceil((F.col("_high") - F.col("_low") + 1) / F.lit(float(CHUNKS))))
+    rows = df.crossJoin(F.broadcast(ends))  # one row
+    rows = rows.withColumn("_chunk", F.floor((F.col(by) - F.col("_low")) / width).cast("long")).drop("_low", "_high")
     sizes = rows.groupBy("_chunk").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
