@@ -45,7 +45,7 @@ SHINGLE, ROWS, BANDS, LEAST = 5, 5, 18, 0.8
 #: One-bit hashes of a line, and how many of them near lines have in common.
 BITS, AGREE = 48, 32
 #: Entries (band, line, bits) that a task sorts at a time; members of a band that are compared bit by bit.
-HELD, FEW = 1 << 20, 32
+HELD, FEW = 1 << 20, 8
 #: Bytes of an entry: 40 bits of the band below its target, the line's hash, its bits.
 BAND_BYTES, ENTRY = 5, 5 + 8 + BITS // 8
 #: Bits of the filter for lines to fetch (8 MB).
@@ -66,6 +66,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repetition."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the shingles of all lines, where each line's begin). No line may be empty."""
     length = np.array([len(x) for x in lines])
@@ -259,7 +267,7 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
     def work(rows: pa.Table) -> pa.RecordBatch:
         block, k, side = (rows.column(c).to_numpy() for c in ("block", "k", "side"))
         hashes, starts = shingles(rows.column("line").to_pylist())
-        sets = [np.unique(s) for s in np.split(hashes, starts[1:])]
+        sets = [distinct(s) for s in np.split(hashes, starts[1:])]
         cuts = np.flatnonzero(np.diff(block)) + 1
         a, b = [], []
         for s, e in zip([0, *cuts], [*cuts, len(block)], strict=True):
@@ -290,7 +298,7 @@ def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
         """Different (pair, hash) of all lines, sorted, and their number by pair."""
         hashes, starts = shingles(lines)
         pair = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(hashes))))
-        keys = np.unique(pair << np.uint64(48) | hashes >> np.uint64(16))
+        keys = distinct(pair << np.uint64(48) | hashes >> np.uint64(16))
         return keys, np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=len(lines))
 
     (x, nx), (y, ny) = keyed(a), keyed(b)
@@ -301,7 +309,7 @@ def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, n in text_slices(batch, "x", 1 << 19):
+        for start, n in text_slices(batch, "x", 1 << 18):
             for at in range(start, start + n, 1 << 14):
                 part = batch.slice(at, min(1 << 14, start + n - at))
                 near = similar(part.column("x").to_pylist(), part.column("y").to_pylist(), least)
