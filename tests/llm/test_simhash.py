@@ -81,8 +81,8 @@ def test_forest_finds_all_pairs():
     rng = np.random.default_rng(6)
     values = near_values(rng, 1500)
     tree = np.sort(rng.integers(0, 3, len(values)))
-    forest = simhash.Forest(values, tree)
-    q, node = forest.within(values, forest.roots[tree], 4)
+    forest = simhash.Forest(values[:, None], tree)
+    q, node = forest.within(values[:, None], forest.roots[tree], 4)
     mine = set(zip(q.tolist(), node.tolist(), strict=True))
     d = np.bitwise_count(values[:, None] ^ values[None])
     a, b = np.nonzero((d <= 4) & (tree[:, None] == tree[None]))
@@ -117,5 +117,50 @@ def test_long_chains(spark):
     assert components(links.filter(F.lit(False))).count() == 0
 
 
+def near_components(ids, texts):
+    """Of all pairs of 128-bit fingerprints, by hand."""
+    fps = [sum(x << (64 * i) for i, x in enumerate(simhash.fingerprint_bits(t, simhash.NEAR_WORDS, 2))) for t in texts]
+    return plain_components(ids, fps, simhash.NEAR)
+
+
+def test_trees_of_two_numbers():
+    rng = np.random.default_rng(16)
+    values = np.stack([near_values(rng, 700)[:500], near_values(rng, 700)[:500]], axis=1)
+    forest = simhash.Forest(values, np.zeros(500, int))
+    q, node = forest.within(values, forest.roots[np.zeros(500, int)], 30)
+    d = np.bitwise_count(values[:, None] ^ values[None]).sum(axis=2)
+    assert set(zip(q.tolist(), node.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(d <= 30)), strict=True))
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    """Pairs of five-word shingles at Jaccard 0.8 or more, and pairs well below, in whole texts."""
+    rng = np.random.default_rng(17)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, near, far = [], [], []
+    for i in range(150):
+        words = list(rng.choice(vocabulary, int(rng.integers(100, 400))))
+        other, changes = words.copy(), max(1, int(len(words) * (0.018 if i % 2 else 0.09)))
+        for at in rng.choice(len(words), changes, replace=False):
+            other[int(at)] = "changed"
+        j = len(shingles(words) & shingles(other)) / len(shingles(words) | shingles(other))
+        rows += [(2 * i, " ".join(words), "a", "b"), (2 * i + 1, " ".join(other), "a", "b")]
+        if j >= 0.8:
+            near.append(2 * i + 1)
+        elif j < 0.5:
+            far.append(2 * i + 1)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 300 and len(near) > 50 and len(far) > 50
+    assert np.mean([got[i] == i - 1 for i in near]) >= 0.9 and np.mean([got[i] == i for i in far]) >= 0.9
+    assert all(got[i] == i for i in range(0, 300, 2))
+
+
+def test_near_copies_of_odd_rows(spark):
+    rows = [(1, None, "a", "b"), (2, "", "a", "b"), (None, "only this one", "a", "b"), (3, "only this one", "a", "b"), (3, "x " * 50_000, "a", "b"), (4, "ONLY  this\none", "a", "b")]
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (None, 3), (3, 3), (3, 3), (4, 3)], key=str)
+    assert simhash.near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_empty(spark):
     assert simhash.classes(spark.createDataFrame([], SCHEMA)).count() == 0
