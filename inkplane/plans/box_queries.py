@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import boxes
 from inkplane.operators import labels
-from inkplane.plans.tables import BOX_SQL, SIDE, box_table, read
+from inkplane.plans.tables import BOX_SQL, SIDE, box_sql, box_table, read
 
 MARGIN = 0.10
 
@@ -141,6 +141,11 @@ def _clamped(source: str) -> str:
     return f"clamped AS (SELECT page, {a('x', 'w')} AS x, {a('y', 'h')} AS y, {e('x', 'w')} AS w, {e('y', 'h')} AS h FROM {source})"
 
 
+def box_sql_inside(kept: str) -> str:
+    """CTEs up to ``inside``: the boxes kept, widened and clamped, that have an area."""
+    return f"{box_sql(kept)}, {_EXPANDED}, {_clamped('expanded')}, inside AS (SELECT * FROM clamped WHERE w > 0 AND h > 0)"
+
+
 def _unit(v: str) -> str:
     return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {v} / {SIDE}.0::DOUBLE))"
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.functions import draws, regions
+from inkplane.functions import boxes, draws, regions
+from inkplane.functions.text import page_name
 from inkplane.operators import layout, numbering
 from inkplane.params import Settings
-from inkplane.plans.tables import read, u_sql
+from inkplane.plans.box_queries import box_sql_inside
+from inkplane.plans.tables import BOX_KEY, box_table, read, u_sql
 
 S = Settings()
 
@@ -45,6 +47,27 @@ def attempt_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.dense(tried, "attempt").filter(F.col("idx") < F.col("amount")).select("attempt", (F.col("idx") + 7).alias("idx"))
 
 
+def dataset_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From attempts to the pages of both splits: negatives, pages with boxes inside the page, the first of them by attempt, numbered and named.
+
+    Orders are attempts, even ones for training; their line items are boxes, of which some are drawn.
+    """
+    o = read(spark, sf_dir, "orders")
+    boxed = box_table(spark, sf_dir, draws.happens(draws.uniform(52, "kept", *BOX_KEY), 0.15))
+    inside = boxes.has_area(boxes.clamp(boxes.expand(F.col("box"), S.crop_size, S.box_margin), S.crop_size, S.crop_size))
+    found = boxed.filter(inside).groupBy("page").agg(F.count("*").alias("n"))
+    sizes = o.agg(F.floor(F.count("*") / 25).alias("amount")).select(numbering.split_sizes(F.col("amount"), S.val_ratio).alias("n"))
+    attempts = o.select((F.col("o_orderkey") + 1).alias("attempt"), F.col("o_orderkey").alias("page"), draws.happens(draws.uniform(51, "negative", "o_orderkey"), S.negative_probability).alias("negative"))
+    attempts = attempts.join(found, "page", "left").withColumn("n_boxes", F.when(F.col("negative"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long"))
+    attempts = attempts.filter(F.col("negative") | (F.col("n_boxes") > 0)).drop("n").crossJoin(F.broadcast(sizes))
+    made = []
+    for split, parity, amount, start in (("train", 0, F.col("n.n_train"), F.lit(0)), ("val", 1, F.col("n.n_val"), F.col("n.n_train"))):
+        tried = attempts.filter((F.col("page") % 2 == parity) & (F.col("attempt") <= amount * numbering.TRIES_PER_PAGE)).withColumn("amount", amount).withColumn("from", start)
+        kept = numbering.dense(tried, "attempt").filter("idx < amount").withColumn("idx", F.col("idx") + F.col("from"))
+        made.append(kept.select(F.lit(split).alias("split"), "idx", page_name(F.col("idx")).alias("name"), "negative", "n_boxes"))
+    return made[0].unionByName(made[1])
+
+
 def yield_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages wanted and made, by set."""
     o = read(spark, sf_dir, "orders")
@@ -132,7 +155,7 @@ def ink_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        uniform_draws, split_sizes, split_assign, attempt_index, yield_report, empty_pages_dropped, first_position, sample_size, sample_without_replacement,
+        uniform_draws, split_sizes, split_assign, attempt_index, dataset_plan, yield_report, empty_pages_dropped, first_position, sample_size, sample_without_replacement,
         sample_with_replacement, page_min_size, eligible_page_pick, block_layout, block_fit, cell_grid, ink_colour,
     )
 }
@@ -160,6 +183,15 @@ r AS (SELECT o_orderkey AS attempt, row_number() OVER (ORDER BY o_orderkey) - 1
     "attempt_index": f"""WITH a AS (SELECT CAST(floor(count(*) / 25.0) AS BIGINT) AS amount FROM orders),
 fine AS (SELECT o_orderkey + 1 AS attempt, amount FROM orders, a WHERE {u_sql(2, 'ok', 'o_orderkey')} < 0.7::DOUBLE AND o_orderkey + 1 <= amount * 20),
 r AS (SELECT attempt, amount, row_number() OVER (ORDER BY attempt) - 1 AS idx FROM fine) SELECT attempt, CAST(idx + 7 AS BIGINT) AS idx FROM r WHERE idx < amount""",
+    "dataset_plan": f"""WITH {box_sql_inside(u_sql(52, 'kept', *BOX_KEY) + ' < 0.15::DOUBLE')}, found AS (SELECT page, count(*) AS n FROM inside GROUP BY page),
+sizes AS (SELECT greatest(1, CAST(floor(amount * 0.15::DOUBLE) AS BIGINT)) AS n_val, amount - greatest(1, CAST(floor(amount * 0.15::DOUBLE) AS BIGINT)) AS n_train FROM (SELECT CAST(floor(count(*) / 25.0) AS BIGINT) AS amount FROM orders)),
+tried AS (
+  SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'train' ELSE 'val' END AS split, o_orderkey + 1 AS attempt, {u_sql(51, 'negative', 'o_orderkey')} < 0.2::DOUBLE AS negative, coalesce(n, 0) AS n
+  FROM orders LEFT JOIN found ON page = o_orderkey),
+good AS (
+  SELECT *, CASE WHEN split = 'train' THEN n_train ELSE n_val END AS amount, CASE WHEN split = 'train' THEN 0 ELSE n_train END AS start FROM tried, sizes WHERE negative OR n > 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY attempt) - 1 AS k FROM good WHERE attempt <= amount * 20)
+SELECT split, CAST(k + start AS BIGINT) AS idx, printf('page_%06d', k + start) AS name, negative, CAST(CASE WHEN negative THEN 0 ELSE n END AS BIGINT) AS n_boxes FROM numbered WHERE k < amount""",
     "yield_report": f"""SELECT o_orderstatus AS set_name, count(*) AS wanted, CAST(sum(CASE WHEN {u_sql(3, 'made', 'o_orderkey')} < 0.9::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS made FROM orders GROUP BY 1""",
     "empty_pages_dropped": f"""SELECT l_orderkey AS page, CAST(sum(CASE WHEN {u_sql(4, 'box', 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} < 0.4::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) AS n_boxes
 FROM lineitem GROUP BY 1 HAVING n_boxes > 0""",

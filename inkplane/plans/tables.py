@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkplane.functions import boxes
@@ -14,17 +14,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def box_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page, block_no, box): boxes that lie in, across and beyond a 640-pixel page."""
+#: What names a box.
+BOX_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def box_table(spark: SparkSession, sf_dir: str, kept: Column | None = None) -> DataFrame:
+    """(page, block_no, box): boxes that lie in, across and beyond a 640-pixel page; those ``kept`` only."""
     li = read(spark, sf_dir, "lineitem")
+    li = li if kept is None else li.filter(kept)
     made = boxes.box((F.col("l_partkey") * 7) % 700 - 30, (F.col("l_suppkey") * 53) % 700 - 30, F.col("l_quantity").cast("int"), F.col("l_linenumber") * 8)
     return li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block_no"), made.alias("box"))
 
 
-BOX_SQL = """box AS (
+def box_sql(kept: str = "true") -> str:
+    """CTE ``box`` of the line items that are ``kept``."""
+    return f"""box AS (
   SELECT l_orderkey AS page, l_linenumber AS block_no, CAST((l_partkey * 7) % 700 - 30 AS DOUBLE) AS x, CAST((l_suppkey * 53) % 700 - 30 AS DOUBLE) AS y,
     CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS w, CAST(l_linenumber * 8 AS DOUBLE) AS h
-  FROM lineitem)"""
+  FROM lineitem WHERE {kept})"""
+
+
+BOX_SQL = box_sql()
 
 
 def font_glyphs(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
