@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkplane.functions.regions import GROW, LEAST, MOVE, SHIFT
@@ -83,5 +84,19 @@ def detect(frames: DataFrame, detector: Detector, schema: str) -> DataFrame:
     return frames.mapInPandas(run, schema)
 
 
+def taps(walked: DataFrame) -> DataFrame:
+    """The frames at which the region was asked for, with the region."""
+    return walked.filter("tapped").select("session", "event_id", "top", "left", "width", "height")
+
+
+def watch(frames: DataFrame, monitor: dict, detector: Detector, schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """The whole loop: frames and keys of a stream move the regions, the detector looks at each frame's region, the sink gets what it finds, batch by batch.
+
+    Rows of the detector are made from those of ``sessions``. After the stop key a session's frames reach neither.
+    """
+    found = detect(sessions(frames, monitor), detector, schema)
+    return found.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def caption(rate: str = "rate") -> Column:
     return F.format_string("FPS: %.1f", F.col(rate))

@@ -154,6 +154,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rates == pytest.approx({r.event_id: r.rate for r in live_queries.frame_rate(spark, sf).collect()})
 
 
+def test_the_whole_loop(spark, tmp_path):
+    import pandas as pd
+
+    rows = [(1, 1, 10, "d"), (1, 2, 20, "h"), (1, 3, 30, "q"), (1, 4, 40, "d"), (2, 5, 15, "s"), (2, 6, 25, "h")]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, "session long, event_id long, t long, key string").withColumn("ts", F.timestamp_seconds("t")).drop("t").repartition(1).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    got = []
+    seen = lambda part: pd.DataFrame({"event_id": part["event_id"].tolist(), "left": part["left"].tolist(), "tapped": part["tapped"].tolist()})
+    query = live.watch(stream, live_queries.MONITOR, seen, "event_id long, left int, tapped boolean", lambda df, n: got.extend(map(tuple, df.collect())), str(tmp_path / "c"), availableNow=True)
+    query.awaitTermination(120)
+    _, left, _, _ = live.initial(live_queries.MONITOR)
+    assert sorted(got) == [(1, left + live.MOVE, False), (2, left + live.MOVE, True), (3, left + live.MOVE, False), (5, left, False), (6, left, True)]
+
+
+def test_taps(spark):
+    rows = spark.createDataFrame([(1, 2, "h", 1, 2, 3, 4, 0.0, True), (1, 3, "d", 1, 2, 3, 4, 0.0, False)], live.OUT)
+    assert [tuple(r) for r in live.taps(rows).collect()] == [(1, 2, 1, 2, 3, 4)]
+
+
 def test_detector(spark):
     import pandas as pd
 
