@@ -59,11 +59,18 @@ _FLIP = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _TIMES = _RNG.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * 2 + 1
 
 
+_SPREAD, _HALF = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    """Spreads every bit of 64 over all of them."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    """Spreads every bit of 64 over all of them, in place."""
+    high = x >> _HALF
+    for _ in range(2):
+        x ^= high
+        x *= _SPREAD
+        np.right_shift(x, _HALF, out=high)
+    x ^= high
+    return x
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -77,19 +84,21 @@ def distinct(x: np.ndarray) -> np.ndarray:
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the shingles of all lines, where each line's begin). No line may be empty."""
     length = np.array([len(x) for x in lines])
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    begin = np.cumsum(length) - length
-    n = len(chars) - SHINGLE + 1
-    code = np.zeros(max(n, 0), np.uint64)
-    for i in range(SHINGLE):
-        code *= np.uint64(0x9E3779B97F4A7C15)
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begin, times = np.cumsum(length) - length, np.uint64(0x9E3779B97F4A7C15)
+    starts = np.cumsum(np.maximum(length - SHINGLE + 1, 1)) - np.maximum(length - SHINGLE + 1, 1)
+    n = max(len(chars) - SHINGLE + 1, 0)
+    code = chars[:n] * times
+    for i in range(1, SHINGLE):
         code += chars[i : i + n]
-    count = np.maximum(length - SHINGLE + 1, 1)
-    starts = np.cumsum(count) - count
-    place = np.arange(int(count.sum())) + np.repeat(begin - starts, count)
-    short = np.flatnonzero(length < SHINGLE)
-    found = code[np.minimum(place, max(n - 1, 0))] if n > 0 else np.zeros(len(place), np.uint64)
-    for i in short:  # the whole line, told apart from longer runs by its length
+        if i < SHINGLE - 1:
+            code *= times
+    own = np.ones(len(chars), bool)  # places whose run lies in their line, and the first place of short lines
+    for i in range(1, SHINGLE):
+        own[np.maximum(begin + length - i, begin)] = False
+    own[begin] = True
+    found = np.concatenate([code[own[:n]], np.zeros(int(own[n:].sum()), np.uint64)])
+    for i in np.flatnonzero(length < SHINGLE):  # the whole line, told apart from longer runs by its length
         value = int(length[i])
         for c in lines[i]:
             value = (value * 0x9E3779B97F4A7C15 + ord(c) + 1) % (1 << 64)
@@ -103,7 +112,8 @@ def signatures(lines: list[str]) -> np.ndarray:
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     out, buffer = np.empty((ROWS * BANDS, len(lines)), np.uint32), np.empty_like(low)
     for i in range(ROWS * BANDS):
-        np.multiply(low ^ _FLIP[i], _TIMES[i], out=buffer)
+        np.bitwise_xor(low, _FLIP[i], out=buffer)
+        np.multiply(buffer, _TIMES[i], out=buffer)
         out[i] = np.minimum.reduceat(buffer, starts)
     return out
 
@@ -338,12 +348,12 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return words
 
 
-def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b): links between distinct lines of the texts ``t`` of ``docs``, by their hashes."""
+def joined(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(k, root): the components of near lines of the texts ``t`` of ``docs``, by their hashes; lines without a near one are absent."""
     spark = docs.sparkSession
     spread = crowded(spark)
     # more targets than partitions, so that a task's share comes in parts; a target is named by 16 bits at most
-    bits = min(16, max(8, (16 * spread).bit_length()))
+    bits = min(16, max(8, (2 * spread).bit_length()))
     packs = docs.select("t").mapInArrow(lambda it: _entries(it, bits), "target int, entries binary")
     packs = packs.repartition(spread, "target").sortWithinPartitions("target")
     found = stored(packs.mapInArrow(_sharing, "band long, a long, b long"), "bands")
@@ -357,14 +367,20 @@ def links(docs: DataFrame, least: float = LEAST) -> DataFrame:
     texts = stored(texts.groupBy("k").agg(F.first("line").alias("line")), "texts")
     x, y = (texts.select(F.col("k").alias(k), F.col("line").alias(line)) for k, line in (("a", "x"), ("b", "y")))
     near = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, least), "a long, b long"), "near")
+    root = components(near).select(F.col("node").alias("k"), "root")
     if crowd.isEmpty():
-        return near
-    return near.unionByName(_crowd_links(crowd, first, near, texts, least))
+        return root
+    extra = _crowd_links(crowd, first, root, texts, least)
+    for side in ("a", "b"):  # links between components found so far
+        extra = extra.join(root.select(F.col("k").alias(side), "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    later = components(extra).select("node", F.col("root").alias("last"))
+    moved = root.join(later, root["root"] == later["node"], "left").select("k", F.coalesce("last", "root").alias("root"))
+    new = later.select(F.col("node").alias("k"), F.col("last").alias("root")).join(root.select("k"), "k", "left_anti")
+    return cut(moved.unionByName(new))
 
 
-def _crowd_links(crowd: DataFrame, first: DataFrame, near: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _crowd_links(crowd: DataFrame, first: DataFrame, root: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b): links of those lines of crowded bands that are in another component than the band's first line, with all of the band."""
-    root = components(near).select(F.col("node").alias("k"), "root")
     named = crowd.join(root, "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
     own = first.join(root, first["first"] == root["k"], "left").select("band", F.coalesce("root", "first").alias("main"))
     rows = stored(named.join(own, "band").select("band", "k", (F.col("root") != F.col("main")).alias("apart")), "crowd")
@@ -402,8 +418,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: float =
     every = every.withColumn("k", F.xxhash64("line"))
     occurrences = stored(every.select("k", F.struct("d", "h", "n").alias("at")), "lines")
     places = cut(occurrences.groupBy("k").agg(F.min("at").alias("at"), F.count("*").alias("c")))
-    near = components(links(docs, least)).select(F.col("node").alias("k"), "root")
-    firsts = cut(places.join(near, "k", "left"))
+    firsts = cut(places.join(joined(docs, least), "k", "left"))
     keep = firsts.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("at").alias("keep"))
     alone = firsts.filter(F.col("root").isNull() & (F.col("c") > 1)).select("k", F.col("at").alias("keep"))
     keepers = cut(firsts.filter(F.col("root").isNotNull()).join(keep, "root").select("k", "keep").unionByName(alone))
