@@ -2,7 +2,8 @@
 
 In a round every node moves to that neighbour, or itself, which comes first in an
 order of hashes drawn anew for the round, and links between the same two nodes
-become one. A fixed share of the nodes goes in every round, on average, whatever
+become one. The number of the round is data, not part of the plan, so that the code
+generated for one round serves all. A fixed share of the nodes goes in every round, on average, whatever
 the shape of the links, so rounds grow with the logarithm of the nodes. Tables of
 every round lie in the shared folder.
 """
@@ -19,17 +20,16 @@ from inkplane.llm.common import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has a link to another; nodes of a component share the root."""
     tidy = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    left = cut(links.select(*tidy(F.col(a), F.col(b))).filter("a < b").distinct())
+    left = cut(links.select(*tidy(F.col(a), F.col(b)), F.lit(0).alias("turn")).filter("a < b").distinct())
     moves: list[DataFrame] = []
     while not left.isEmpty():
-        turn = F.lit(len(moves))
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        nearest = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("to", turn).alias("h"), F.col("to").alias("root"))).alias("m"))
-        own = F.struct(F.xxhash64("node", turn).alias("h"), F.col("node").alias("root"))
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("to"), "turn").unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("to"), "turn"))
+        nearest = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("to", "turn").alias("h"), F.col("to").alias("root"))).alias("m"), F.first("turn").alias("turn"))
+        own = F.struct(F.xxhash64("node", "turn").alias("h"), F.col("node").alias("root"))
         move = cut(nearest.select("node", F.least(own, F.col("m"))["root"].alias("root")))
         moves.append(move)
         to_a, to_b = move.select(F.col("node").alias("a"), F.col("root").alias("ra")), move.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = cut(left.join(to_a, "a").join(to_b, "b").select(*tidy(F.col("ra"), F.col("rb"))).filter("a < b").distinct())
+        left = cut(left.join(to_a, "a").join(to_b, "b").select(*tidy(F.col("ra"), F.col("rb")), (F.col("turn") + 1).alias("turn")).filter("a < b").distinct())
     if not moves:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = moves.pop()

@@ -48,8 +48,8 @@ BITS, AGREE = 48, 32
 HELD, FEW = 1 << 20, 32
 #: Bytes of an entry: 40 bits of the band below its target, the line's hash, its bits.
 BAND_BYTES, ENTRY = 5, 5 + 8 + BITS // 8
-#: Bits of the filter for lines to fetch (8 MB).
-FILTER = 1 << 26
+#: Bits of the filter for lines to fetch (4 MB).
+FILTER = 1 << 25
 #: Lines of a block; rows gathered before blocks are compared.
 BLOCK, GATHER = 256, 8192
 #: White space of blank lines.

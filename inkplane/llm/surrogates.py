@@ -21,7 +21,8 @@ equal texts are worked on once. Null texts stay null, empty ones and those witho
 entity are unchanged, texts of any length are read whole, other columns come along,
 whatever their names; ``n_replaced`` is replaced. An empty table gives no rows.
 
-Most texts have neither digit, @ nor title: cheap tests for these come before the patterns.
+Most texts have neither digit, @ nor title: cheap tests, without which no pattern can
+match, come first.
 """
 
 from __future__ import annotations
@@ -239,7 +240,7 @@ def replace(df: DataFrame, text: str = "text", key: str = "surrogates") -> DataF
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
     rows = df.select(whole, F.col(text).cast("string").alias("_text"))
     text_ = F.col("_text")
-    worth = text_.contains("@") | text_.rlike("[0-9]") | text_.contains("AKIA") | text_.contains("ASIA") | text_.rlike(_TITLES)
+    worth = text_.contains("@") | text_.rlike("[0-9]") | text_.contains("AKIA") | text_.contains("ASIA") | text_.rlike("[A-Fa-f]{32}") | text_.rlike(_TITLES)
     has = F.coalesce(worth & text_.rlike(ANY), F.lit(False))
     hits = rows.filter(has).withColumn("id", F.md5("_text")).withColumn("found", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
     named = F.exists("found", lambda m: m.rlike(f"^{PATTERNS['name']}$"))
