@@ -44,6 +44,8 @@ TITLES = {
 }
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _TITLES = rf"(?<![\p{{L}}])(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?:{_TITLE})\.?(?: (?:{'|'.join(TITLES['n'])})\.?)* "
+#: Titles that contain no other one: a text with a title contains one of these.
+_SHORTEST = [t for ts in TITLES.values() for t in ts if not any(o != t and o in t for os in TITLES.values() for o in os)]
 #: Types with their patterns, first match first. No pattern can start inside the run that it matches.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -240,7 +242,8 @@ def replace(df: DataFrame, text: str = "text", key: str = "surrogates") -> DataF
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
     rows = df.select(whole, F.col(text).cast("string").alias("_text"))
     text_ = F.col("_text")
-    worth = text_.contains("@") | text_.rlike("[0-9]") | text_.contains("AKIA") | text_.contains("ASIA") | text_.rlike("[A-Fa-f]{32}") | text_.rlike(_TITLES)
+    titled = reduce(lambda a, b: a | b, [text_.contains(t) for t in _SHORTEST]) & text_.rlike(_TITLES)
+    worth = text_.contains("@") | text_.rlike("[0-9]") | text_.contains("AKIA") | text_.contains("ASIA") | titled | text_.rlike("[A-Fa-f]{32}")
     has = F.coalesce(worth & text_.rlike(ANY), F.lit(False))
     hits = rows.filter(has).withColumn("id", F.md5("_text")).withColumn("found", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
     named = F.exists("found", lambda m: m.rlike(f"^{PATTERNS['name']}$"))
