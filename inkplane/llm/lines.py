@@ -365,6 +365,7 @@ def joined(docs: DataFrame, least: float = LEAST) -> DataFrame:
     shared_filter = spark.sparkContext.broadcast(_filter(keys))
     texts = docs.select("t").mapInArrow(lambda it: _fetch(it, shared_filter), "k long, line string")
     texts = stored(texts.groupBy("k").agg(F.first("line").alias("line")), "texts")
+    shared_filter.destroy()
     x, y = (texts.select(F.col("k").alias(k), F.col("line").alias(line)) for k, line in (("a", "x"), ("b", "y")))
     near = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, least), "a long, b long"), "near")
     root = components(near).select(F.col("node").alias("k"), "root")
