@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import bpe, langid, lines, mixing, nearest, simhash, suffixes, surrogates, topk, warc
+from inkplane.llm import bpe, decontam, langid, lines, mixing, nearest, simhash, suffixes, surrogates, topk, warc
 from inkplane.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_mix": op2_mix,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op12_decontam": op12_decontam,
 }
 
 OP2_SQL = """
@@ -159,4 +164,27 @@ SELECT t.doc_id, t.n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_remove
 FROM texts t LEFT JOIN kept k ON t.doc_id IS NOT DISTINCT FROM k.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL, "op6_nearest": OP6_SQL, "op8_suffixes": OP8_SQL, "op9_warc": OP9_SQL}
+#: Windows and words as rows; a window is its words, joined by spaces.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+tests AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT row, size, i, array_to_string(w[i:i + size - 1], ' ') AS s FROM (
+  SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM tests) WHERE len(w) >= size)),
+found AS (SELECT row, size, i, item_id FROM places JOIN tests USING (size, s)),
+hits AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS k FROM (SELECT DISTINCT row, size, i FROM found)) GROUP BY row),
+owners AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (row) LEFT JOIN owners USING (row)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL, "op6_nearest": OP6_SQL, "op8_suffixes": OP8_SQL, "op9_warc": OP9_SQL, "op12_decontam": OP12_SQL}
