@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkplane.llm import bpe, decontam, langid, lines, mixing, nearest, simhash, suffixes, surrogates, topk, warc
+from inkplane.llm import bpe, decontam, langid, lines, mixing, nearest, simhash, suffixes, surrogates, topk, trie, warc, whitening
 from inkplane.llm.common import table
 
 
@@ -58,10 +58,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_mix": op2_mix,
@@ -73,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op11_whiten": op11_whiten,
     "op12_decontam": op12_decontam,
+    "op13_trie": op13_trie,
 }
 
 OP2_SQL = """
@@ -187,4 +197,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hits USING (row) LEFT JOIN owners USING (row)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL, "op6_nearest": OP6_SQL, "op8_suffixes": OP8_SQL, "op9_warc": OP9_SQL, "op12_decontam": OP12_SQL}
+#: Sequences as lists; a CRC-32 is a fold over bytes and bits.
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(turn ORDER BY pos) AS turns,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda crc, byte:
+      list_reduce([xor(crc, byte)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, bit: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295::BIGINT) % 6 AS h
+  FROM t GROUP BY conv_id),
+made AS (
+  SELECT a.conv_id, coalesce(b.turns[1:a.h], []) || a.turns[a.h + 1:] AS turns
+  FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+members AS (SELECT conv_id, len(turns) AS n, d, turns[1:d] AS p FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM made)),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends
+  FROM members GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(p[d].text) ELSE 0 END AS saved FROM nodes n LEFT JOIN kids USING (d, p)),
+sums AS (
+  SELECT k AS d, p[1:k] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT p, n_children, saved, unnest(range(d + 1)) AS k FROM full_nodes) GROUP BY ALL)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_nodes n JOIN sums s USING (d, p) LEFT JOIN nodes q ON n.d > 0 AND q.d = n.d - 1 AND q.p = n.p[1:n.d - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op3_topk": OP3_SQL, "op6_nearest": OP6_SQL, "op8_suffixes": OP8_SQL, "op9_warc": OP9_SQL, "op12_decontam": OP12_SQL, "op13_trie": OP13_SQL}

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("benchmark", "documents", "embeddings", "pages"):
+    for t in ("benchmark", "conversations", "documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     mine, theirs = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLE_SQL[name])
     order = sorted(mine.columns)
