@@ -6,7 +6,8 @@ inside the JVM; morphology and the pipeline of ``degrade`` run in one Arrow stag
 Assumptions about library defaults, each in one place: kernels of size k reach
 k // 2 back and k - 1 - k // 2 on; beyond the border erosion and dilation see
 nothing, blur and rotation see the border repeated; blur kernels reach four sigmas;
-noise is added in single precision, clipped and truncated.
+noise is added, clipped and truncated. Values are rounded to six digits before they become
+whole, so that other engines' last bits don't matter.
 """
 
 from __future__ import annotations
@@ -44,19 +45,24 @@ def morph(df: DataFrame, column: str, width: int, height: int, size: int, rounds
 
 
 def _morph_stack(stack: np.ndarray, size: int, rounds: int, grow: bool) -> np.ndarray:
-    """Rasters (n, y, x): along rows, then along columns, what lies beyond the border left out."""
-    pick = np.maximum if grow else np.minimum
-    for _ in range(rounds):
-        for axis in (2, 1):
-            n, out = stack.shape[axis], stack.copy()
-            for k in range(-(size // 2), size - size // 2):
-                if k and abs(k) < n:
-                    here = [slice(None)] * 3
-                    there = [slice(None)] * 3
-                    here[axis], there[axis] = slice(max(0, -k), n - max(0, k)), slice(max(0, k), n - max(0, -k))
-                    out[tuple(here)] = pick(out[tuple(here)], stack[tuple(there)])
-            stack = out
-    return stack
+    """Rasters (n, y, x) under ``rounds`` squares of ``size``, which are one larger square, along rows, then columns.
+
+    Extremes of a window are those of the end of one block and the beginning of the next
+    (van Herk): three steps a pixel, however wide the window. What lies beyond the border is left out.
+    """
+    wide, back = (size - 1) * rounds + 1, (size // 2) * rounds
+    pick, none = (np.maximum, 0) if grow else (np.minimum, 255)
+    for axis in (2, 1):
+        rows = np.moveaxis(stack, axis, -1)
+        n = rows.shape[-1]
+        blocks = -(-(n + wide - 1) // wide)
+        padded = np.full((*rows.shape[:-1], blocks * wide), none, stack.dtype)
+        padded[..., back : back + n] = rows
+        cut = padded.reshape(*rows.shape[:-1], blocks, wide)
+        begin = pick.accumulate(cut, axis=-1).reshape(padded.shape)
+        end = pick.accumulate(cut[..., ::-1], axis=-1)[..., ::-1].reshape(padded.shape)
+        stack = np.moveaxis(pick(end[..., :n], begin[..., wide - 1 : wide - 1 + n]), -1, axis)
+    return np.ascontiguousarray(stack)
 
 
 def crop(a: Column, width: int, left: int, top: int, side_w: int, side_h: int) -> Column:
@@ -178,29 +184,67 @@ def rotate_image(image: np.ndarray, degrees: float) -> np.ndarray:
     fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
     top = image[y0, x0] * (1 - fx) + image[y0, x1] * fx
     low = image[y1, x0] * (1 - fx) + image[y1, x1] * fx
-    return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
+    return _nearest(top * (1 - fy) + low * fy)
+
+
+def _nearest(v: np.ndarray) -> np.ndarray:
+    """Like ``to_whole``."""
+    return np.floor(np.round(v, 6) + 0.5).astype(np.uint8)
 
 
 def blur_image(image: np.ndarray, sigma: float) -> np.ndarray:
     weights = gaussian(sigma)
     reach = len(weights) // 2
     out = image.astype(float)
-    for axis in (0, 1):
+    for axis in (1, 0):
         pad = [(0, 0)] * 3
         pad[axis] = (reach, reach)
         wide = np.pad(out, pad, mode="edge")
         n = out.shape[axis]
         out = sum(w * np.take(wide, range(k, k + n), axis=axis) for k, w in enumerate(weights))
-    return np.rint(out).astype(np.uint8)
+    return _nearest(out)
 
 
 def morph_image(image: np.ndarray, size: int, rounds: int, grow: bool) -> np.ndarray:
     return np.moveaxis(_morph_stack(np.moveaxis(image, 2, 0), size, rounds, grow), 0, 2)
 
 
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """A hash of 32 bits."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
+
+
 def noise_image(image: np.ndarray, std: float, seed: int) -> np.ndarray:
-    noise = np.random.default_rng(seed).normal(0, std * 255, image.shape).astype(np.float32)
-    return np.clip(image.astype(np.float32) + noise, 0, 255).astype(np.uint8)
+    """Normal noise that only depends on seed and position, so that any engine gets the same."""
+    at = np.arange(image.size, dtype=np.uint32) * np.uint32(0x9E3779B9) + np.uint32(seed % (1 << 32))
+    u1, u2 = ((_scattered(x) + 0.5) / 4294967296.0 for x in (at, at + np.uint32(0x85EBCA6B)))
+    noise = np.sqrt(-2 * np.log(u1)) * np.cos(2 * np.pi * u2) * (std * 255)
+    return np.clip(np.round(image.astype(float) + noise.reshape(image.shape), 6), 0, 255).astype(np.uint8)
+
+
+class Sums:
+    """Sums of values and squares over any part of a grey raster, from four look-ups each."""
+
+    def __init__(self, grey: np.ndarray) -> None:
+        self.of = []
+        for v in (grey.astype(np.int64), grey.astype(np.int64) ** 2):
+            table = np.zeros((v.shape[0] + 1, v.shape[1] + 1), np.int64)
+            np.cumsum(np.cumsum(v, axis=0), axis=1, out=table[1:, 1:])
+            self.of.append(table)
+
+    def statistics(self, x: int, y: int, w: int, h: int) -> tuple[float, float]:
+        """(deviation, mean)."""
+        total, square = (int(t[y + h, x + w] - t[y, x + w] - t[y + h, x] + t[y, x]) for t in self.of)
+        n = w * h
+        return max(0, n * square - total * total) ** 0.5 / n, total / n
+
+
+def grey(image: np.ndarray) -> np.ndarray:
+    """Like ``functions.regions.luma``, of a whole image."""
+    c = image.astype(np.int64)
+    return (c[..., 0] * 19595 + c[..., 1] * 38470 + c[..., 2] * 7471 + 0x8000) >> 16
 
 
 def outline(image: np.ndarray, x0: float, y0: float, x1: float, y1: float, colour=(255, 0, 0), width: int = 2) -> np.ndarray:

@@ -85,24 +85,13 @@ def channel_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pixels(_images(spark, sf_dir), raster.first_channels(F.col("a")))
 
 
-def degraded(images: DataFrame, seed: int) -> DataFrame:
-    """Rotation, blur, erosion or dilation, and noise, each for a share of the images drawn from their ids."""
-    u = lambda purpose, *more: draws.uniform(seed, purpose, "vec_id", *more)
-    s = Settings()
-    turned = raster.to_whole(raster.rotate(F.col("a"), W, W, draws.real(u("angle"), -s.rotation_max, s.rotation_max)))
-    rows = images.withColumn("a", F.when(draws.happens(u("rotate"), s.rotation_probability), turned).otherwise(F.col("a")))
-    rows = rows.withColumn("a", F.when(draws.happens(u("blur"), s.blur_probability), raster.to_whole(raster.blur(F.col("a"), W, W, 0.5))).otherwise(F.col("a")))
-    both = raster.morph(rows.withColumn("less", F.col("a")), "less", W, W, 2)
-    both = raster.morph(both.withColumn("more", F.col("a")), "more", W, W, 2, grow=True)
-    morphed = F.when(draws.happens(u("grow"), 0.5), F.col("more")).otherwise(F.col("less"))
-    rows = both.select("vec_id", F.when(draws.happens(u("morph"), s.morph_probability), morphed).otherwise(F.col("a")).alias("a"), draws.happens(u("noise"), s.noise_probability).alias("noisy"))
-    pixels = rows.select("vec_id", "noisy", F.posexplode("a").alias("pos", "v"))
-    noise = draws.normal(u("n1", F.col("pos")), u("n2", F.col("pos")), 40.0)
-    return pixels.select("vec_id", "pos", F.when(F.col("noisy"), raster.clip_truncate(F.round(F.col("v") + noise, 6))).otherwise(F.col("v")).alias("v"))
-
-
 def degradation_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return degraded(_images(spark, sf_dir), 41)
+    """The stage that synthesis runs, with every value drawn from the image's id: angle, sigma, kernel and rounds, erosion or dilation, noise."""
+    byte = F.transform("a", lambda v: F.lpad(F.hex(v), 2, "0"))
+    rows = _images(spark, sf_dir).select("vec_id", F.lit(W).alias("height"), (F.size("a") / W).cast("int").alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(byte, "")).alias("data"))
+    out = raster.degrade(raster.degradation_plan(rows, "vec_id", Settings(), 41))
+    whole = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substr("data", i, F.lit(1))), 16, 10).cast("int"))
+    return _pixels(out, whole)
 
 
 def degradation_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,26 +144,45 @@ def _blurred(source: str, name: str) -> str:
     return f"{weights}, {along(source, name + '_r', 'greatest(0, least(7, pos % 8 + k)) + 8 * (pos // 8)')}, {along(name + '_r', name, 'greatest(0, least(7, pos // 8 + k)) * 8 + pos % 8')}"
 
 
-def _chosen(seed: int, purpose: str, p: float, made: str, source: str, name: str) -> str:
-    """CTE ``name``: whole values of ``made`` for the images drawn, of ``source`` for the others."""
-    return f"""{name} AS (SELECT a.vec_id, a.pos, CASE WHEN {u_sql(seed, purpose, 'a.vec_id')} < {p}::DOUBLE THEN CAST(floor(round(b.v, 6) + 0.5::DOUBLE) AS INTEGER) ELSE a.v END AS v
-  FROM {source} a JOIN {made} b ON a.vec_id = b.vec_id AND a.pos = b.pos)"""
+def _pipeline(seed: int) -> str:
+    """What ``degradation_plan`` draws, and each step by joins of pixels with the pixels that they look at."""
+    u = lambda purpose: u_sql(seed, purpose, "vec_id")
 
+    def step(name: str, source: str, made: str, gate: str) -> str:
+        return f"{name} AS (SELECT a.vec_id, a.pos, CASE WHEN {gate} THEN CAST(floor(round(b.v, 6) + 0.5::DOUBLE) AS INTEGER) ELSE a.v END AS v FROM {source} a JOIN plan p USING (vec_id) LEFT JOIN {made} b ON a.vec_id = b.vec_id AND a.pos = b.pos)"
 
-def _pipeline(seed: int) -> str:
-    angle = f"-3.0::DOUBLE + {u_sql(seed, 'angle', 'vec_id')} * 6.0::DOUBLE"
-
-    def pass_(pick: str, source: str, name: str) -> str:
-        over = lambda part, order: f"OVER (PARTITION BY vec_id, {part} ORDER BY {order} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)"
-        rows = f"{name}_r AS (SELECT vec_id, pos, {pick}(v) {over('pos // 8', 'pos % 8')} AS v FROM {source})"
-        return f"{rows}, {name} AS (SELECT vec_id, pos, {pick}(v) {over('pos % 8', 'pos // 8')} AS v FROM {name}_r)"
-
-    return f"""WITH {_IMAGES}, {_rotated(angle, 'px', 'turned')}, {_chosen(seed, 'rotate', 0.4, 'turned', 'px', 'one')},
-{_blurred('one', 'soft')}, {_chosen(seed, 'blur', 0.5, 'soft', 'one', 'two')}, {pass_('min', 'two', 'less')}, {pass_('max', 'two', 'more')},
-either AS (SELECT l.vec_id, l.pos, CASE WHEN {u_sql(seed, 'grow', 'l.vec_id')} < 0.5::DOUBLE THEN m.v ELSE l.v END AS v FROM less l JOIN more m ON l.vec_id = m.vec_id AND l.pos = m.pos),
-{_chosen(seed, 'morph', 0.4, 'either', 'two', 'three')}
-SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN {u_sql(seed, 'noise', 'vec_id')} < 0.6::DOUBLE THEN trunc(greatest(0.0::DOUBLE, least(255.0::DOUBLE,
-  round(v + sqrt(-2 * ln(1 - {u_sql(seed, 'n1', 'vec_id', 'pos')})) * cos(6.283185307179586::DOUBLE * {u_sql(seed, 'n2', 'vec_id', 'pos')}) * 40.0::DOUBLE, 6)))) ELSE v END AS INTEGER) AS v FROM three"""
+    def soft(name: str, source: str, at: str) -> str:
+        return f"{name} AS (SELECT a.vec_id, a.pos, sum(k.w * q.v) AS v FROM {source} a JOIN kernels k USING (vec_id) JOIN {source} q ON q.vec_id = a.vec_id AND q.pos = {at} GROUP BY a.vec_id, a.pos)"
+
+    def morph(name: str, source: str, along: str, other: str, n: int) -> str:
+        near = f"q.vec_id = a.vec_id AND {other.format('q')} = {other.format('a')} AND {along.format('q')} BETWEEN {along.format('a')} - kernel // 2 AND {along.format('a')} + kernel - 1 - kernel // 2"
+        value = f"CASE WHEN any_value(rounds) IS NULL OR any_value(rounds) < {n} THEN any_value(a.v) WHEN any_value(grow) THEN max(q.v) ELSE min(q.v) END"
+        return f"{name} AS (SELECT a.vec_id, a.pos, {value} AS v FROM {source} a JOIN plan USING (vec_id) JOIN {source} q ON q.vec_id = a.vec_id AND (rounds IS NULL AND q.pos = a.pos OR rounds IS NOT NULL AND {near}) GROUP BY a.vec_id, a.pos)"
+
+    passes, source = [], "soft"
+    for n in (1, 2, 3):
+        passes.append(morph(f"r{n}", source, "{}.pos % 8", "{}.pos // 8", n))
+        passes.append(morph(f"c{n}", f"r{n}", "{}.pos // 8", "{}.pos % 8", n))
+        source = f"c{n}"
+    x, y = "(noise_seed + pos * 2654435769) & 4294967295", "(noise_seed + pos * 2654435769 + 2246822507) & 4294967295"
+    mixes = ""
+    for n, (shift, times) in enumerate(((16, 2146121005), (15, 2221713035)), 1):
+        mixes += f", m{n} AS (SELECT vec_id, pos, v, std, " + ", ".join(f"CAST((CAST(xor({c}, {c} >> {shift}) AS HUGEINT) * {times}) % 4294967296 AS BIGINT) AS {c}" for c in "xy") + f" FROM m{n - 1})"
+    return f"""WITH {_IMAGES},
+plan AS (SELECT DISTINCT vec_id, CASE WHEN {u('rotate')} < 0.4::DOUBLE THEN -3.0::DOUBLE + {u('angle')} * 6.0::DOUBLE END AS angle,
+  CASE WHEN {u('blur')} < 0.5::DOUBLE THEN 0.1::DOUBLE + {u('sigma')} * (2.5::DOUBLE - 0.1::DOUBLE) END AS sigma,
+  CASE WHEN {u('morph')} < 0.4::DOUBLE THEN 2 + CAST(floor({u('kernel')} * 3) AS INTEGER) END AS kernel, CASE WHEN {u('morph')} < 0.4::DOUBLE THEN 1 + CAST(floor({u('rounds')} * 3) AS INTEGER) END AS rounds,
+  {u('grow')} < 0.5::DOUBLE AS grow, CASE WHEN {u('noise')} < 0.6::DOUBLE THEN 0.01::DOUBLE + {u('std')} * (0.25::DOUBLE - 0.01::DOUBLE) END AS std,
+  CAST(floor({u('noise_seed')} * 4294967296.0::DOUBLE) AS BIGINT) AS noise_seed FROM px),
+{_rotated("coalesce((SELECT angle FROM plan WHERE plan.vec_id = px.vec_id), 0)", 'px', 'turned')}, {step('one', 'px', 'turned', 'angle IS NOT NULL')},
+raw AS (SELECT vec_id, k, exp(-0.5::DOUBLE * (k / sigma) * (k / sigma)) AS w FROM (SELECT vec_id, sigma, greatest(1, CAST(round_even(4 * sigma, 0) AS INTEGER)) AS reach FROM plan WHERE sigma IS NOT NULL), (SELECT unnest(range(-12, 13)) AS k) WHERE abs(k) <= reach),
+kernels AS (SELECT vec_id, k, w / sum(w) OVER (PARTITION BY vec_id) AS w FROM raw),
+{soft('across', 'one', 'greatest(0, least(7, a.pos % 8 + k.k)) + 8 * (a.pos // 8)')}, {soft('blurred', 'across', 'greatest(0, least(7, a.pos // 8 + k.k)) * 8 + a.pos % 8')},
+{step('soft', 'one', 'blurred', 'sigma IS NOT NULL')}, {', '.join(passes)},
+m0 AS (SELECT vec_id, pos, v, std, {x} AS x, {y} AS y FROM c3 JOIN plan USING (vec_id)){mixes},
+u AS (SELECT vec_id, pos, v, std, (xor(x, x >> 16) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u1, (xor(y, y >> 16) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u2 FROM m2)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN std IS NULL THEN v ELSE trunc(greatest(0.0::DOUBLE, least(255.0::DOUBLE,
+  round(v + sqrt(-2 * ln(u1)) * cos(6.283185307179586::DOUBLE * u2) * (std * 255), 6)))) END AS INTEGER) AS v FROM u"""
 
 
 ORACLE_SQL = {

@@ -1,15 +1,15 @@
-"""Fonts: catalogue, download by tasks, and the characters of TrueType files."""
+"""Fonts: catalogue, download by tasks, and the characters of their files."""
 
 from __future__ import annotations
 
 import os
-import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkplane.sources import typefaces
 from inkplane.sources.dictionary import fetch
 
 
@@ -42,37 +42,6 @@ def download(fonts: DataFrame, folder: str, fetcher: Callable[[str], bytes] = fe
     return fonts.mapInPandas(run, "font string, status string, detail string")
 
 
-def codepoints(data: bytes) -> set[int]:
-    """Code points of a font file's Unicode character maps (formats 4 and 12)."""
-    tables = {data[i : i + 4]: struct.unpack(">I", data[i + 8 : i + 12])[0] for i in range(12, 12 + 16 * struct.unpack(">H", data[4:6])[0], 16)}
-    base, found = tables[b"cmap"], set()
-    for n in range(struct.unpack(">H", data[base + 2 : base + 4])[0]):
-        platform, encoding, offset = struct.unpack(">HHI", data[base + 4 + 8 * n : base + 12 + 8 * n])
-        if platform != 0 and (platform, encoding) not in ((3, 1), (3, 10)):
-            continue
-        at = base + offset
-        kind = struct.unpack(">H", data[at : at + 2])[0]
-        if kind == 4:
-            count = struct.unpack(">H", data[at + 6 : at + 8])[0] // 2
-            column = lambda k, sign="H": struct.unpack(f">{count}{sign}", data[k : k + 2 * count])  # noqa: B023, E731
-            ends, starts = column(at + 14), column(at + 16 + 2 * count)
-            deltas, ranges_at = column(at + 16 + 4 * count), at + 16 + 6 * count
-            offsets = column(ranges_at)
-            for i, (start, end) in enumerate(zip(starts, ends, strict=True)):
-                for c in range(start, min(end, 0xFFFE) + 1):
-                    glyph = c
-                    if offsets[i]:
-                        place = ranges_at + 2 * i + offsets[i] + 2 * (c - start)
-                        glyph = struct.unpack(">H", data[place : place + 2])[0]
-                    if glyph and (glyph + deltas[i]) % 65536:
-                        found.add(c)
-        elif kind == 12:
-            for g in range(struct.unpack(">I", data[at + 12 : at + 16])[0]):
-                start, end, glyph = struct.unpack(">III", data[at + 16 + 12 * g : at + 28 + 12 * g])
-                found.update(c for c in range(start, end + 1) if glyph + c - start)
-    return found
-
-
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the folder's font files, not of folders below it."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.ttf").load(folder).select("path", "content")
@@ -80,12 +49,10 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def glyphs(font_files: DataFrame) -> DataFrame:
     """(font, codepoint) of font files (path, content)."""
+    return typefaces.characters(named(font_files))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for font, content in zip(frame["font"], frame["content"], strict=True):
-                points = sorted(codepoints(content))
-                yield pd.DataFrame({"font": [font] * len(points), "codepoint": pd.Series(points, dtype="int32")})
 
+def named(font_files: DataFrame) -> DataFrame:
+    """(font, content): files by their names."""
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.ttf$", "")
-    return font_files.select(name.alias("font"), "content").mapInPandas(run, "font string, codepoint int")
+    return font_files.select(name.alias("font"), "content")
