@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkplane.functions import draws
 
-#: Consecutive keys that are numbered together at least, and ranges of keys at most.
-CHUNK, CHUNKS = 1 << 16, 1 << 14
+#: Rows that are numbered together, about; parts of a table at most, by a tree of FAN at each of two levels.
+CHUNK, FAN = 1 << 16, 32
 TRIES_PER_PAGE = 20
 
 
+def quantiles(df: DataFrame, by: str, parts: int) -> list[int]:
+    """Whole numbers that cut the values of ``by`` into about ``parts`` equal parts, wherever they lie; fewer where values repeat."""
+    if parts < 2:
+        return []
+    shares = [k / parts for k in range(1, parts)]
+    found = df.agg(F.percentile_approx(by, F.array(*[F.lit(x) for x in shares]), F.lit(50 * parts)).alias("cuts")).first().cuts
+    return sorted({int(c) for c in found or ()})
+
+
+def part_of(v: Column, cuts: list[int]) -> Column:
+    """How many of the rising ``cuts`` are at most ``v``."""
+    many = lambda of: F.size(F.filter(of, lambda c: c <= v))
+    number = lambda of: F.array(*[F.lit(c).cast("long") for c in of])
+    if not cuts:
+        return F.lit(0)
+    if len(cuts) <= FAN:
+        return many(number(cuts))
+    step = -(-len(cuts) // FAN)
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    outer = many(number(g[0] for g in groups))
+    return F.when(outer == 0, 0).otherwise((outer - 1) * step + many(F.get(F.array(*[number(g) for g in groups]), outer - 1)))
+
+
 def dense(df: DataFrame, by: str, start: int | Column = 0, name: str = "idx", chunk: int = CHUNK) -> DataFrame:
     """``df`` numbered from ``start`` in order of the whole-numbered, unique column ``by``.
 
-    Rows are numbered within ranges of keys, of ``chunk`` keys or wide enough that there
-    are ``CHUNKS`` of them at most; the small table of counts adds up what lies before.
+    Rows are numbered within parts of about ``chunk`` rows, cut at quantiles of the keys,
+    FAN * FAN of them at most; the small table of counts adds up what lies before. A count
+    and the quantiles are worked out at once.
     """
-    ends = df.agg(F.min(by).cast("double").alias("_low"), F.max(by).cast("double").alias("_high"))
-    width = F.greatest(F.lit(float(chunk)), F.ceil((F.col("_high") - F.col("_low") + 1) / F.lit(float(CHUNKS))))
-    rows = df.crossJoin(F.broadcast(ends))  # one row
-    rows = rows.withColumn("_chunk", F.floor((F.col(by) - F.col("_low")) / width).cast("long")).drop("_low", "_high")
+    rows = df.withColumn("_chunk", part_of(F.col(by), quantiles(df, by, min(FAN * FAN, -(-df.count() // chunk)))))
     sizes = rows.groupBy("_chunk").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -50,14 +73,30 @@ def sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return top.withColumn("sample_no", F.row_number().over(Window.orderBy("_u", key))).drop("_u")
 
 
+@dataclass(frozen=True)
+class Population:
+    """Numbered rows to draw from, as often as one likes."""
+
+    rows: DataFrame
+    size: int
+
+    @classmethod
+    def of(cls, df: DataFrame, by: str) -> Population:
+        """Numbered by the whole-numbered, unique column ``by``; an error for none."""
+        size = df.count()
+        if not size:
+            raise ValueError("nothing to draw from")
+        return cls(dense(df, by, name="_pick"), size)
+
+    def draw(self, df: DataFrame, seed: int, key: str) -> DataFrame:
+        """Every row of ``df`` with one of these, by an equi-join on the number drawn."""
+        picked = df.withColumn("_pick", F.floor(draws.uniform(seed, "pick", key) * F.lit(self.size)).cast("long"))
+        return picked.join(self.rows, "_pick").drop("_pick")
+
+
 def draw_with_replacement(df: DataFrame, population: DataFrame, seed: int, key: str, by: str) -> DataFrame:
-    """Every row of ``df`` with a row of ``population``, drawn by number: an equi-join, an error for an empty population."""
-    if population.isEmpty():
-        raise ValueError("nothing to draw from")
-    numbered = dense(population, by, name="_pick")
-    total = population.agg(F.count("*").alias("_size"))
-    picked = df.join(F.broadcast(total)).withColumn("_pick", F.floor(draws.uniform(seed, "pick", key) * F.col("_size")).cast("long"))
-    return picked.join(numbered, "_pick").drop("_pick", "_size")
+    """Every row of ``df`` with a row of ``population``, an error for an empty one."""
+    return Population.of(population, by).draw(df, seed, key)
 
 
 def first_accepted(candidates: DataFrame, key: str, attempt: str, accepted: Column, tries: int, take: list[str]) -> DataFrame:

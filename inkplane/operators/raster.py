@@ -284,27 +284,27 @@ def degradation_plan(df: DataFrame, key: str, settings: Settings, seed: int = 0)
     )
 
 
-def _degrade(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+def _degrade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wanted = ["height", "width", "channels", "data", "angle", "sigma", "kernel", "rounds", "grow", "std", "noise_seed"]
+    for batch in batches:
         made = []
-        for r in frame.itertuples():
-            image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
-            if not pd.isna(r.angle):
-                image = rotate_image(image, r.angle)
-            if not pd.isna(r.sigma):
-                image = blur_image(image, r.sigma)
-            if not pd.isna(r.kernel):
-                image = morph_image(image, int(r.kernel), int(r.rounds), bool(r.grow))
-            if not pd.isna(r.std):
-                image = noise_image(image, r.std, int(r.noise_seed))
+        for r in batch.select(wanted).to_pylist():
+            image = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"])
+            if r["angle"] is not None:
+                image = rotate_image(image, r["angle"])
+            if r["sigma"] is not None:
+                image = blur_image(image, r["sigma"])
+            if r["kernel"] is not None:
+                image = morph_image(image, r["kernel"], r["rounds"], r["grow"])
+            if r["std"] is not None:
+                image = noise_image(image, r["std"], r["noise_seed"])
             made.append(image.tobytes())
-        frame["data"] = made
-        yield frame
+        yield batch.set_column(batch.schema.get_field_index("data"), "data", pa.array(made, pa.binary()))
 
 
 def degrade(planned: DataFrame) -> DataFrame:
     """Rotation, blur, morphology and noise in this order, one Arrow stage. Needs height, width, channels, data and the plan's columns."""
-    return planned.mapInPandas(_degrade, planned.schema)
+    return planned.mapInArrow(_degrade, planned.schema)
 
 
 def image_statistics(df: DataFrame) -> DataFrame:

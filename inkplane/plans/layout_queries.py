@@ -43,8 +43,7 @@ def attempt_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = o.select((F.col("o_orderkey") + 1).alias("attempt"), draws.happens(draws.uniform(2, "ok", "o_orderkey"), 0.7).alias("ok"))
     amount = o.agg(F.floor(F.count("*") / 25).alias("amount"))
     kept = attempts.join(F.broadcast(amount))
-    tried = kept.filter((F.col("attempt") <= F.col("amount") * numbering.TRIES_PER_PAGE) & F.col("ok"))
-    return numbering.dense(tried, "attempt").filter(F.col("idx") < F.col("amount")).select("attempt", (F.col("idx") + 7).alias("idx"))
+    return numbering.successes(kept, F.col("amount"), 7).select("attempt", "idx")
 
 
 def dataset_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +58,10 @@ def dataset_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = o.agg(F.floor(F.count("*") / 25).alias("amount")).select(numbering.split_sizes(F.col("amount"), S.val_ratio).alias("n"))
     attempts = o.select((F.col("o_orderkey") + 1).alias("attempt"), F.col("o_orderkey").alias("page"), draws.happens(draws.uniform(51, "negative", "o_orderkey"), S.negative_probability).alias("negative"))
     attempts = attempts.join(found, "page", "left").withColumn("n_boxes", F.when(F.col("negative"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long"))
-    attempts = attempts.filter(F.col("negative") | (F.col("n_boxes") > 0)).drop("n").crossJoin(F.broadcast(sizes))
+    attempts = attempts.withColumn("ok", F.col("negative") | (F.col("n_boxes") > 0)).drop("n").crossJoin(F.broadcast(sizes))
     made = []
     for split, parity, amount, start in (("train", 0, F.col("n.n_train"), F.lit(0)), ("val", 1, F.col("n.n_val"), F.col("n.n_train"))):
-        tried = attempts.filter((F.col("page") % 2 == parity) & (F.col("attempt") <= amount * numbering.TRIES_PER_PAGE)).withColumn("amount", amount).withColumn("from", start)
-        kept = numbering.dense(tried, "attempt").filter("idx < amount").withColumn("idx", F.col("idx") + F.col("from"))
+        kept = numbering.successes(attempts.filter(F.col("page") % 2 == parity), amount, start)
         made.append(kept.select(F.lit(split).alias("split"), "idx", page_name(F.col("idx")).alias("name"), "negative", "n_boxes"))
     return made[0].unionByName(made[1])
 

@@ -1,174 +1,197 @@
 """Synthetic pages: crops of source pages with text blocks, degraded, with their boxes.
 
-Attempts are rows. Each gets a source page by an equi-join on a drawn number and is
-painted in one Arrow stage, block after block, since a block looks at what earlier
-ones left on the page. Attempts are made in waves, kept in the shared folder, until
-enough succeed or the cap of attempts is reached; the result does not depend on the
-size of the waves. Glyphs are painted by a ``Painter``, as no rasteriser is at hand:
-the default paints filled cells with a stroke around.
+Everything that is drawn is a hash of seed and key, so it is known before anything is
+painted: attempts draw a page and a place in it, blocks their font, size and layout,
+cells their characters. All these are plain rows, joined on what was drawn. Rasters move
+twice at most: pages are cropped where they are decoded, and only pages that were drawn
+are; crops then meet the glyphs of their blocks and are painted in one Arrow stage,
+block after block, since a block looks at what earlier ones left on the page. Boxes are
+columns again, from the places that painting chose. Attempts are made in waves, kept in
+the shared folder, until enough succeed or the cap of attempts is reached; the result
+does not depend on the size of the waves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkplane.functions import draws
-from inkplane.functions.boxes import turned_corner
+from inkplane.functions import boxes, draws
 from inkplane.functions.text import page_name
-from inkplane.operators import labels, numbering, raster
+from inkplane.operators import glyphs, labels, layout, numbering, raster
 from inkplane.params import Settings
-
-STROKE_WIDTH = 2
-Box = tuple[float, float, float, float]
-
-
-@dataclass(frozen=True)
-class Painter:
-    """Paints one glyph and tells its box, without the stroke. Replace it to draw real glyphs."""
-
-    fill: float = 0.8
-
-    def cell(self, font: int, size: int) -> tuple[int, int]:
-        return size, size
-
-    def paint(self, image: np.ndarray, x: int, y: int, char: int, font: int, size: int, ink: int, stroke: int) -> Box:
-        side = max(1, int(size * self.fill))
-        h, w = image.shape[:2]
-        image[max(0, y - STROKE_WIDTH) : min(h, y + side + STROKE_WIDTH), max(0, x - STROKE_WIDTH) : min(w, x + side + STROKE_WIDTH)] = stroke
-        image[y : y + side, x : x + side] = ink
-        return float(x), float(y), float(side), float(side)
-
-
-def grow_box(b: Box, side: float, margin: float) -> Box:
-    out = []
-    for at, size in ((b[0], b[2]), (b[1], b[3])):
-        start = max(0.0, at - size * margin)
-        out.append((start, min(side - start, size + 2 * size * margin)))
-    (x, w), (y, h) = out
-    return x, y, w, h
-
-
-def clamp_box(b: Box, width: float, height: float) -> Box | None:
-    """The box within the image; none if nothing is left of it."""
-    out = []
-    for at, size, most in ((b[0], b[2], width), (b[1], b[3], height)):
-        start = max(0.0, min(most - 1, at))
-        out.append((start, max(0.0, min(most, at + size)) - start))
-    (x, w), (y, h) = out
-    return (x, y, w, h) if w > 0 and h > 0 else None
-
-
-def paint_block(image: np.ndarray, rng: np.random.Generator, s: Settings, painter: Painter, fonts: int, chars: int) -> list[Box]:
-    """One block on the first place even enough; no boxes if it doesn't fit or no place is found."""
-    side, font, size = image.shape[0], int(rng.integers(fonts)), int(rng.integers(24, 49))
-    columns, rows = int(rng.integers(s.columns_min, s.columns_max + 1)), int(rng.integers(s.chars_min, s.chars_max + 1))
-    char_gap, column_gap, tall = int(rng.integers(2, 7)), int(rng.integers(4, 11)), bool(rng.random() < 0.5)
-    cw, ch = painter.cell(font, size)
-    step_column = (cw if tall else ch) + column_gap
-    step_char = (ch if tall else cw) + char_gap
-    bw, bh = (columns * step_column, rows * step_char) if tall else (rows * step_char, columns * step_column)
-    if side - bw <= 0 or side - bh <= 0:
-        return []
-    for _ in range(s.position_tries):
-        x, y = int(rng.integers(0, side - bw + 1)), int(rng.integers(0, side - bh + 1))
-        part = image[y : y + bh, x : x + bw].astype(np.int64)
-        grey = (part[..., 0] * 19595 + part[..., 1] * 38470 + part[..., 2] * 7471 + 0x8000) >> 16
-        if grey.std() <= s.region_deviation_limit:
-            break
-    else:
-        return []
-    bright = grey.mean()
-    dark = bright > 180 or (bright >= 80 and rng.random() < 0.5)
-    ink = int(rng.integers(0, 41)) if dark else int(rng.integers(215, 256))
-    out = []
-    for column in range(columns):
-        for row in range(rows):
-            along, across = (column * step_column, row * step_char) if tall else (row * step_char, column * step_column)
-            b = painter.paint(image, x + along, y + across, int(rng.integers(chars)), font, size, ink, 255 if ink < 128 else 0)
-            out.append(grow_box(b, side, s.box_margin))
-    return out
-
-
-def degrade_page(image: np.ndarray, found: list[Box], rng: np.random.Generator, s: Settings) -> tuple[np.ndarray, list[Box]]:
-    """Rotation (boxes too), blur, morphology, noise; boxes become whole numbers whether or not the page turned."""
-    h, w = image.shape[:2]
-    valid = [c for b in found if (c := clamp_box(b, w, h))]
-    angle = float(rng.uniform(-s.rotation_max, s.rotation_max)) if rng.random() < s.rotation_probability else None
-    if angle is not None:
-        image = raster.rotate_image(image, angle)
-        turned = []
-        for x, y, bw, bh in valid:
-            points = [turned_corner(a, b, angle, w, h) for a in (x, x + bw) for b in (y, y + bh)]
-            x0, y0 = (max(0.0, min(p[i] for p in points)) for i in (0, 1))
-            x1, y1 = (min(float(m), max(p[i] for p in points)) for i, m in ((0, w), (1, h)))
-            if x1 > x0 and y1 > y0:
-                turned.append((x0, y0, x1 - x0, y1 - y0))
-        valid = turned
-    if rng.random() < s.blur_probability:
-        image = raster.blur_image(image, float(rng.uniform(s.blur_sigma_min, s.blur_sigma_max)))
-    if rng.random() < s.morph_probability:
-        size, rounds = int(rng.integers(s.morph_kernel_min, s.morph_kernel_max + 1)), int(rng.integers(s.morph_rounds_min, s.morph_rounds_max + 1))
-        image = raster.morph_image(image, size, rounds, bool(rng.random() < 0.5))
-    if rng.random() < s.noise_probability:
-        image = raster.noise_image(image, float(rng.uniform(s.noise_std_min, s.noise_std_max)), int(rng.integers(1 << 32)))
-    return image, [tuple(float(int(v)) for v in b) for b in valid]
-
-
-MADE = "attempt long, ok boolean, negative boolean, height int, width int, data binary, boxes array<struct<x: double, y: double, w: double, h: double>>"
-
-
-def _paint(frames: Iterator[pd.DataFrame], s: Settings, painter: Painter, fonts: int, chars: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for r in frame.itertuples():
-            rng, c = np.random.default_rng(int(r.seed)), s.crop_size
-            page = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
-            x, y = int(rng.integers(0, r.width - c + 1)), int(rng.integers(0, r.height - c + 1))
-            image, found = page[y : y + c, x : x + c].copy(), []
-            if not r.negative:
-                for _ in range(int(rng.integers(s.blocks_min, s.blocks_max + 1))):
-                    found += paint_block(image, rng, s, painter, fonts, chars)
-            ok = bool(r.negative or found)
-            if found:
-                image, found = degrade_page(image, found, rng, s)
-            boxes = [dict(zip("xywh", b, strict=True)) for b in found]
-            rows.append((r.attempt, ok, bool(r.negative), c, c, image.tobytes() if ok else b"", boxes))
-        yield pd.DataFrame(rows, columns=["attempt", "ok", "negative", "height", "width", "data", "boxes"])
-
-
-def synthesise(images: DataFrame, amount: int, start: int = 0, settings: Settings | None = None, painter: Painter | None = None, fonts: int = 1, chars: int = 1, seed: int = 0) -> DataFrame:
+from inkplane.sources import pages as sources
+
+#: Sizes of letters, gaps between them and between columns, greys of dark and light ink.
+SIZES, CHAR_GAPS, COLUMN_GAPS, DARK, LIGHT = (24, 48), (2, 6), (4, 10), (0, 40), (215, 255)
+#: Attempts of a wave that are sent to the pages, not the pages to them: some 60 bytes each.
+SENT = 1 << 17
+
+BOXES = "array<struct<x: double, y: double, w: double, h: double>>"
+PAINTED = "attempt long, negative boolean, height int, width int, data binary, placed array<struct<block_no: int, x: int, y: int>>"
+
+
+def _u(seed: int, purpose: str, *key: Column | str) -> Column:
+    return draws.uniform(seed, purpose, *key)
+
+
+def attempts_of(spark, first: int, last: int, population: numbering.Population, s: Settings, seed: int) -> DataFrame:
+    """(attempt, negative, path, crop_x, crop_y, n_blocks) of the attempts from ``first`` to ``last``."""
+    rows = spark.range(first, last + 1).select(F.col("id").alias("attempt"))
+    rows = rows.withColumn("negative", draws.happens(_u(seed, "negative", "attempt"), s.negative_probability))
+    rows = population.draw(rows, seed, "attempt")
+    place = lambda purpose, side: draws.whole(_u(seed, purpose, "attempt"), 0, F.col(side) - s.crop_size)
+    n_blocks = F.when(F.col("negative"), 0).otherwise(draws.whole(_u(seed, "blocks", "attempt"), s.blocks_min, s.blocks_max))
+    return rows.select("attempt", "negative", "path", place("crop_x", "width").alias("crop_x"), place("crop_y", "height").alias("crop_y"), n_blocks.alias("n_blocks"))
+
+
+def blocks_of(attempts: DataFrame, shapes: DataFrame, s: Settings, seed: int) -> DataFrame:
+    """The blocks of attempts that fit into a crop, with the places to try and their inks."""
+    fonts = sorted(r.font for r in shapes.select("font").distinct().collect())  # font files, few
+    rows = attempts.filter("n_blocks > 0").select("attempt", F.explode(F.sequence(F.lit(1), F.col("n_blocks"))).alias("block_no"))
+    u = lambda purpose, *more: _u(seed, purpose, "attempt", "block_no", *more)
+    rows = rows.select(
+        "attempt", "block_no", F.element_at(F.array(*[F.lit(f) for f in fonts]), (F.floor(u("font") * len(fonts)) + 1).cast("int")).alias("font"), draws.whole(u("size"), *SIZES).alias("size"),
+        draws.whole(u("columns"), s.columns_min, s.columns_max).alias("columns"), draws.whole(u("chars"), s.chars_min, s.chars_max).alias("chars"),
+        draws.whole(u("char_gap"), *CHAR_GAPS).alias("char_gap"), draws.whole(u("column_gap"), *COLUMN_GAPS).alias("column_gap"),
+        F.when(draws.happens(u("direction"), 0.5), layout.VERTICAL).otherwise(layout.HORIZONTAL).alias("direction"),
+    )
+    rows = rows.join(glyphs.cell_sizes(shapes, F.sequence(F.lit(SIZES[0]), F.lit(SIZES[1]))), ["font", "size"])
+    rows = rows.withColumn("b", layout.block_size(*[F.col(c) for c in ("direction", "columns", "chars", "cell_w", "cell_h", "char_gap", "column_gap")]))
+    rows = rows.select("*", "b.bw", "b.bh").drop("b").filter(layout.fits(F.col("bw"), F.col("bh"), s.crop_size))
+    at = lambda t, axis, size: draws.whole(u(axis, t), 0, F.lit(s.crop_size) - F.col(size))
+    tries = F.transform(F.sequence(F.lit(1), F.lit(s.position_tries)), lambda t: F.struct(at(t, "x", "bw").alias("x"), at(t, "y", "bh").alias("y")))
+    inks = [draws.whole(u("dark"), *DARK).alias("dark"), draws.whole(u("light"), *LIGHT).alias("light"), draws.happens(u("side"), 0.5).alias("prefers_dark")]
+    return rows.select("*", tries.alias("tries"), *inks)
+
+
+def cells_of(blocks: DataFrame, shapes: DataFrame, characters: numbering.Population, seed: int) -> DataFrame:
+    """(attempt, block_no, column_no, char_no, font, codepoint, size, x, y, width, height) of every cell: its glyph's box from the block's corner."""
+    rows = layout.cells(blocks.drop("tries").withColumns({"start_x": F.lit(0), "start_y": F.lit(0)}))
+    rows = rows.withColumn("key", F.concat_ws("-", "attempt", "block_no", "column_no", "char_no"))
+    rows = characters.draw(rows, seed, "key")
+    known = glyphs.measured(shapes).select("font", "codepoint", "units", "ascent", "x0", "y0", "x1", "y1")
+    rows = rows.join(known, ["font", "codepoint"]).withColumn("b", glyphs.box(F.col("size")))
+    return rows.select("attempt", "block_no", "column_no", "char_no", "font", "codepoint", "size", (F.col("cell_x") + F.col("b.left")).alias("x"), (F.col("cell_y") + F.col("b.top")).alias("y"), "b.width", "b.height")
+
+
+def _crops(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            page = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3)
+            crop = page[r["crop_y"] : r["crop_y"] + side, r["crop_x"] : r["crop_x"] + side].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([r["attempt"]]), pa.array([r["negative"]]), pa.array([crop], pa.binary())], ["attempt", "negative", "data"])
+
+
+def crops_of(attempts: DataFrame, source: sources.Decoded | sources.Scans, n: int, side: int) -> DataFrame:
+    """(attempt, negative, data): what each attempt cuts out of its page. Up to ``SENT`` attempts go to the pages, more are joined with them."""
+    drawn = attempts.select("attempt", "negative", "path", "crop_x", "crop_y")
+    decoded = source.decode(drawn.select("path").distinct()).select("path", "height", "width", "data")
+    joined = decoded.join(F.broadcast(drawn) if n <= SENT else drawn, "path")
+    return joined.mapInArrow(lambda it: _crops(it, side), "attempt long, negative boolean, data binary")
+
+
+def paint(image: np.ndarray, blocks: list[dict], limit: float) -> list[dict]:
+    """Paints the blocks on an RGB image, each on the first of its places that is even enough, and returns the places."""
+    placed, sums = [], None
+    for b in sorted(blocks, key=lambda b: b["block_no"]):
+        sums = sums or raster.Sums(raster.grey(image))
+        for t in b["tries"]:
+            deviation, mean = sums.statistics(t["x"], t["y"], b["bw"], b["bh"])
+            if deviation <= limit:
+                break
+        else:
+            continue
+        ink = b["dark"] if mean > 180 or (mean >= 80 and b["prefers_dark"]) else b["light"]
+        for c in sorted(b["cells"], key=lambda c: (c["column_no"], c["char_no"])):
+            if c["fill"]:
+                shape = (c["height"] + 2 * glyphs.STROKE, c["width"] + 2 * glyphs.STROKE)
+                for cover, grey in ((c["stroke"], 255 if ink < 128 else 0), (c["fill"], ink)):
+                    glyphs.stamp(image, t["x"] + c["x"] - glyphs.STROKE, t["y"] + c["y"] - glyphs.STROKE, np.frombuffer(cover, np.uint8).reshape(shape), grey)
+        placed.append({"block_no": b["block_no"], "x": t["x"], "y": t["y"]})
+        sums = None
+    return placed
+
+
+def _paint(batches: Iterator[pa.RecordBatch], side: int, limit: float) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("block_no", pa.int32()), ("x", pa.int32()), ("y", pa.int32())]))
+    for batch in batches:
+        for i in range(batch.num_rows):
+            (r,) = batch.slice(i, 1).to_pylist()
+            image = np.frombuffer(r["data"], np.uint8).reshape(side, side, 3).copy()
+            placed = paint(image, r["blocks"] or [], limit)
+            columns = [pa.array([r["attempt"]]), pa.array([r["negative"]]), *(pa.array([side], pa.int32()),) * 2, pa.array([image.tobytes()], pa.binary()), pa.array([placed], kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["attempt", "negative", "height", "width", "data", "placed"])
+
+
+def painted(crops: DataFrame, blocks: DataFrame, cells: DataFrame, shapes: DataFrame, s: Settings) -> DataFrame:
+    """Crops with their blocks painted, and where each block was placed; each glyph is made once."""
+    made = cells.join(glyphs.rasters(shapes, cells).select("font", "codepoint", "size", "fill", "stroke"), ["font", "codepoint", "size"])
+    listed = made.groupBy("attempt", "block_no").agg(F.collect_list(F.struct("column_no", "char_no", "x", "y", "width", "height", "fill", "stroke")).alias("cells"))
+    full = blocks.select("attempt", "block_no", "bw", "bh", "tries", "dark", "light", "prefers_dark").join(listed, ["attempt", "block_no"])
+    by_page = full.groupBy("attempt").agg(F.collect_list(F.struct(*[c for c in full.columns if c != "attempt"])).alias("blocks"))
+    return crops.join(by_page, "attempt", "left").select("attempt", "negative", "data", "blocks").mapInArrow(lambda it: _paint(it, s.crop_size, s.region_deviation_limit), PAINTED)
+
+
+def boxed(planned: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
+    """(attempt, boxes) of painted pages with their degradation's ``angle``: grown, clamped, turned with the page, in whole pixels."""
+    side = s.crop_size
+    rows = planned.select("attempt", "angle", F.explode("placed").alias("p")).select("attempt", "angle", "p.block_no", F.col("p.x").alias("px"), F.col("p.y").alias("py")).join(cells, ["attempt", "block_no"])
+    rows = rows.withColumn("box", boxes.box(F.col("px") + F.col("x"), F.col("py") + F.col("y"), F.col("width"), F.col("height")))
+    rows = rows.withColumn("box", boxes.clamp(boxes.expand(F.col("box"), side, s.box_margin), side, side)).filter(boxes.has_area(F.col("box")))
+    rows = rows.withColumn("box", F.when(F.col("angle").isNull(), F.col("box")).otherwise(boxes.rotate_hull(F.col("box"), F.col("angle"), side, side))).filter(boxes.has_area(F.col("box")))
+    listed = F.array_sort(F.collect_list(F.struct("block_no", "column_no", "char_no", boxes.truncate(F.col("box")).alias("box"))))
+    return rows.groupBy("attempt").agg(F.transform(listed, lambda x: x["box"]).cast(BOXES).alias("boxes"))
+
+
+def synthesise(
+    images: DataFrame | sources.Scans, amount: int, start: int = 0, settings: Settings | None = None, shapes: DataFrame | None = None,
+    characters: DataFrame | None = None, fonts: int = 1, chars: int = 1, seed: int = 0,
+) -> DataFrame:
     """(idx, name, negative, height, width, data, boxes) for ``amount`` pages, fewer if the cap of attempts is reached.
 
-    ``images`` has (path, height, width, data) in RGB; pages smaller than a crop are passed over, and none left is an error.
-    Waves are checkpointed: set spark.checkpoint.dir.
+    ``images`` are decoded rows (path, height, width, data) in RGB or files that ``sources.Scans``
+    names; pages smaller than a crop are passed over, and none left is an error. ``shapes``
+    are glyphs (``typefaces.outlines``), by default squares; ``characters`` (codepoint)
+    those to draw from, by default all that every font has. Waves are checkpointed: set spark.checkpoint.dir.
     """
-    s, painter, spark = settings or Settings(), painter or Painter(), images.sparkSession
-    large = images.filter((F.col("width") >= s.crop_size) & (F.col("height") >= s.crop_size))
-    numbered = large.select(F.xxhash64("path").alias("_key"), "height", "width", "data")
+    s = settings or Settings()
+    source = sources.Decoded(images) if isinstance(images, DataFrame) else images
+    spark = source.spark
+    shapes = glyphs.squares(spark, fonts, chars) if shapes is None else shapes
+    if characters is None:
+        many = F.size(F.collect_set("font"))
+        characters = shapes.groupBy("codepoint").agg(many.alias("n")).crossJoin(shapes.agg(many.alias("all"))).filter("n = all").select("codepoint")
     made: list[DataFrame] = []
     done = good = 0
+    if amount > 0:
+        large = source.sizes().filter((F.col("width") >= s.crop_size) & (F.col("height") >= s.crop_size))
+        population = numbering.Population.of(large.select(F.xxhash64("path").alias("_key"), "path", "height", "width"), "_key")
+        letters = numbering.Population.of(characters.select("codepoint").distinct(), "codepoint")
     while good < amount and done < amount * numbering.TRIES_PER_PAGE:
         wave = min(max(8, int(1.3 * (amount - good))), amount * numbering.TRIES_PER_PAGE - done)
-        attempts = spark.range(done + 1, done + wave + 1).select(F.col("id").alias("attempt"))
-        attempts = attempts.select("attempt", draws.happens(draws.uniform(seed, "negative", "attempt"), s.negative_probability).alias("negative"), F.xxhash64(F.lit(seed), "attempt").bitwiseAND((1 << 62) - 1).alias("seed"))
-        picked = numbering.draw_with_replacement(attempts, numbered, seed, "attempt", "_key")
-        painted = picked.select("attempt", "negative", "seed", "height", "width", "data").mapInPandas(lambda it: _paint(it, s, painter, fonts, chars), MADE)
-        painted = painted.filter("ok").checkpoint(eager=True)
-        good, done = good + painted.count(), done + wave
-        made.append(painted)
+        attempts = attempts_of(spark, done + 1, done + wave, population, s, seed).checkpoint(eager=True)
+        blocks = blocks_of(attempts, shapes, s, seed).checkpoint(eager=True)
+        cells = cells_of(blocks, shapes, letters, seed).checkpoint(eager=True)
+        pages = painted(crops_of(attempts, source, wave, s.crop_size), blocks, cells, shapes, s)
+        pages = pages.filter(F.col("negative") | (F.size("placed") > 0)).checkpoint(eager=True)
+        plan = raster.degradation_plan(pages, "attempt", s, seed)
+        steps = ("angle", "sigma", "kernel", "rounds", "grow", "std")
+        plan = plan.withColumns({c: F.when(~F.col("negative"), F.col(c)) for c in steps}).withColumn("channels", F.lit(3))
+        good, done = good + pages.count(), done + wave
+        made.append(plan.join(boxed(plan, cells, s), "attempt", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(BOXES))))
     if not made:
-        return spark.createDataFrame([], MADE).select(F.lit(0).cast("long").alias("idx"), F.lit("").alias("name"), "negative", "height", "width", "data", "boxes")
+        return spark.createDataFrame([], f"idx long, name string, negative boolean, height int, width int, data binary, boxes {BOXES}")
     every = made[0]
     for more in made[1:]:
         every = every.unionByName(more)
-    kept = numbering.successes(every, F.lit(amount), start)
-    return kept.select("idx", page_name(F.col("idx")).alias("name"), "negative", "height", "width", "data", "boxes")
+    kept = numbering.successes(every.withColumn("ok", F.lit(True)).drop("placed"), F.lit(amount), start)
+    return raster.degrade(kept).select("idx", page_name(F.col("idx")).alias("name"), "negative", "height", "width", "data", "boxes")
 
 
 def with_label_text(pages: DataFrame, side: float) -> DataFrame:
@@ -178,7 +201,7 @@ def with_label_text(pages: DataFrame, side: float) -> DataFrame:
     return pages.join(texts.select(F.col("page").alias("name"), "text"), "name")
 
 
-def dataset(images: DataFrame, settings: Settings | None = None, seed: int = 0, **more) -> DataFrame:
+def dataset(images: DataFrame | sources.Scans, settings: Settings | None = None, seed: int = 0, **more) -> DataFrame:
     """Training pages and validation pages, whose numbers begin where the training's would end."""
     s = settings or Settings()
     n_val = max(1, int(s.pages_amount * s.val_ratio))

@@ -76,10 +76,10 @@ def test_dataset_round_trip(spark, tmp_path):
     counts = sorted(map(tuple, pages.write_dataset(rows, root).collect()))
     assert counts == [("train", "images", 5), ("train", "labels", 5), ("val", "images", 1), ("val", "labels", 1)]
     assert sorted(map(tuple, labels.inventory(pages.split_files(spark, root)).collect())) == counts
-    back = pages.images(spark, f"{root}/train/images").select(F.regexp_extract("path", r"(page_\d+)", 1).alias("name"), "data")
+    back = pages.images(spark, f"{root}/images/train").select(F.regexp_extract("path", r"(page_\d+)", 1).alias("name"), "data")
     same = rows.select("name", F.col("data").alias("first")).join(back, "name")
     assert same.count() == 5 and same.filter("data <> first").count() == 0
-    parsed = labels.parse(pages.label_lines(spark, f"{root}/train/labels"))
+    parsed = labels.parse(pages.label_lines(spark, f"{root}/labels/train"))
     assert parsed.count() == sum(f[3] for f in found if f[0] == "train")
     drawn = synthesis.overlays(rows.filter("split = 'train'"), parsed, n=3)
     assert pages.write_samples(drawn, root) == ["amostra_1.png", "amostra_2.png", "amostra_3.png"]
@@ -88,9 +88,10 @@ def test_dataset_round_trip(spark, tmp_path):
     shown = pages.images(spark, f"{root}/samples").select(F.regexp_extract("path", r"_(\d)\.png", 1).cast("int").alias("sample_no"), "data")
     assert shown.join(drawn.select("sample_no", F.col("data").alias("first")), "sample_no").filter("data = first").count() == 2
     assert pages.manifest(root, str(tmp_path / "m" / "d.yaml"))["names"] == {0: "kanji"}
-    assert pages.scan(spark, f"{root}/train", "*.png").count() == 5
+    assert pages.scan(spark, f"{root}/images/train", "*.png").count() == 5
     smaller = sorted(map(tuple, pages.write_dataset(rows.filter("idx < 2"), root).collect()))
     assert smaller == [("train", "images", 2), ("train", "labels", 2)] and pages.split_files(spark, root).count() == 4
+    assert pages.read_manifest(str(tmp_path / "m" / "d.yaml"))["val"] == "images/val"
     again = synthesis.with_label_text(synthesis.dataset(ground(spark).repartition(3), SMALL, seed=3, fonts=2, chars=50), SMALL.crop_size)
     assert sorted((r.split, r.idx, r.text) for r in again.collect()) == sorted((f[0], f[1], f[4]) for f in found)
 
@@ -103,6 +104,85 @@ def test_synthesis_limits(spark):
         synthesis.synthesise(ground(spark), 1, settings=Settings(crop_size=5000)).count()
 
 
+def jpeg(width, height, padding=0):
+    """The head of a JPEG file, after so many bytes of comments."""
+    comments = b"".join(b"\xff\xfe" + struct.pack(">H", min(60000, padding - k) + 2) + b"x" * min(60000, padding - k) for k in range(0, padding, 60000))
+    return b"\xff\xd8" + comments + b"\xff\xff\xc4" + struct.pack(">H", 5) + b"abc" + b"\xff\xc2" + struct.pack(">HBHHB", 17, 8, height, width, 3) + b"\0" * 9 + b"\xff\xda" + b"\0" * 50
+
+
+def test_sizes_from_headers(spark, tmp_path):
+    files = {"a.jpg": jpeg(1234, 77), "b.jpg": jpeg(5, 6, 200_000), "c.png": pages.png(np.zeros((9, 11, 3), np.uint8)), "d.gif": b"GIF89a" + struct.pack("<HH", 3, 4) + b"\0" * 9}
+    files |= {"e.bmp": b"BM" + b"\0" * 16 + struct.pack("<ii", 21, -22) + b"\0" * 9, "f.txt": b"no image", "g.jpg": b"\xff\xd8\xff\xda" + b"\0" * 30, "h.jpg": b"\xff\xd8"}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in pages.sizes(spark, str(tmp_path)).collect()}
+    none = (None, None)
+    assert got == {"a.jpg": (1234, 77), "b.jpg": (5, 6), "c.png": (11, 9), "d.gif": (3, 4), "e.bmp": (21, 22), "f.txt": none, "g.jpg": none, "h.jpg": none}
+
+
+def test_only_drawn_pages_are_decoded(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for k in range(30):
+        (tmp_path / f"p{k:02}.png").write_bytes(pages.png(rng.integers(180, 220, (100 + k, 110, 3)).astype(np.uint8)))
+    for k in range(20):  # large by its header, but nothing that can be decoded: it would be missing if it were drawn and decoded
+        (tmp_path / f"s{k:02}.jpg").write_bytes(jpeg(50, 50))
+    scans = pages.Scans(spark, str(tmp_path))
+    made = synthesis.synthesise(scans, 3, settings=SMALL, seed=4)
+    rows = sorted(map(tuple, made.select("idx", "name", F.size("boxes")).collect()))
+    assert [r[0] for r in rows] == [0, 1, 2]
+    drawn = spark.createDataFrame([(f"file:{tmp_path}/p05.png",), (f"file:{tmp_path}/p07.png",)], "path string")
+    decoded = scans.decode(drawn)
+    assert sorted(r.height for r in decoded.collect()) == [105, 107]
+    files = [f.rsplit("/", 1)[1] for f in decoded.inputFiles()]
+    assert sorted(files) == ["p05.png", "p07.png"]
+
+
+def test_a_failed_write_leaves_the_dataset(spark, tmp_path):
+    root, image = str(tmp_path / "data"), bytearray(np.zeros((4, 5, 3), np.uint8).tobytes())
+    rows = lambda n: spark.createDataFrame([("train" if k % 3 else "val", f"page_{k:06}", 4, 5, image, f"label {k}") for k in range(n)], "split string, name string, height int, width int, data binary, text string").repartition(3)
+    listed = lambda: sorted(str(f.relative_to(root)) for f in (tmp_path / "data").rglob("*") if f.is_file())
+    assert sorted(map(tuple, pages.write_dataset(rows(9), root).collect())) == [("train", "images", 6), ("train", "labels", 6), ("val", "images", 3), ("val", "labels", 3)]
+    before = listed()
+    broken = rows(12).withColumn("height", F.when(F.col("name") == "page_000011", 7).otherwise(F.col("height")))
+    with pytest.raises(Exception, match="cannot reshape"):
+        pages.write_dataset(broken, root)
+    assert listed() == before and len(before) == 18
+    pages.write_dataset(rows(2), root)
+    assert listed() == ["images/train/page_000001.png", "images/val/page_000000.png", "labels/train/page_000001.txt", "labels/val/page_000000.txt"]
+    other = str(tmp_path / "other")
+    assert pages.write_dataset(rows(2), other, "{split}/{kind}").count() == 4 and (tmp_path / "other" / "train" / "labels" / "page_000001.txt").read_text() == "label 1"
+    with pytest.raises(Exception, match="overwrite"):
+        rows(2).write.format("page_dataset").option("path", root).mode("append").save()
+
+
+def test_a_commit_cut_off_is_ended(spark, tmp_path):
+    root = tmp_path / "data"
+    for split in pages.SPLITS:
+        for kind in pages.KINDS:
+            (root / ".staged-x" / kind / split).mkdir(parents=True)
+            (root / kind / split).mkdir(parents=True)
+            (root / kind / split / "old").write_text("old")
+            (root / ".staged-x" / kind / split / "new").write_text("new")
+    (root / ".staged-x" / pages.READY).write_text("")
+    (root / ".staged-x" / "images" / "train" / "new").rename(root / "images" / "train" / "new")
+    (root / "images" / "train" / "old").unlink()
+    (root / ".staged-x" / "images" / "train").rmdir()  # the first folder had been swapped
+    (root / ".staged-y").mkdir()
+    pages.DatasetWriter(str(root), pages.LAYOUT).abort([])
+    assert {f.name for f in root.rglob("*") if f.is_file()} == {"new"} and not (root / ".staged-x").exists()
+
+
+def test_sums_equal_direct_statistics():
+    rng = np.random.default_rng(8)
+    grey = rng.integers(0, 256, (40, 30))
+    sums = raster.Sums(grey)
+    for _ in range(200):
+        x, y = rng.integers(0, 29), rng.integers(0, 39)
+        w, h = rng.integers(1, 31 - x), rng.integers(1, 41 - y)
+        part = grey[y : y + h, x : x + w]
+        assert sums.statistics(x, y, w, h) == pytest.approx((part.std(), part.mean()))
+
+
 def test_image_root(tmp_path):
     assert pages.image_root(str(tmp_path), "/nowhere") == str(tmp_path)
     (tmp_path / "x" / "Manga109_v1" / "images").mkdir(parents=True)
