@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkplane.functions import regions
 from inkplane.plans.tables import read
+from inkplane.streaming import live
 
 #: Our choice of key for each type of event.
 KEYS = {"signup": "w", "purchase": "r", "error": "f", "view": "d", "click": "a"}
@@ -37,13 +41,32 @@ def frame_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "session", F.when(passed > 0, F.lit(1e6) / passed).otherwise(0.0).alias("rate"))
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last region of each session, of rows (session, key) sorted by session and time; nothing but the region is held."""
+    done: list[tuple] = []
+    session, region = None, ()
+    for batch in batches:
+        for s, key in zip(batch.column("session").to_pylist(), batch.column("key").to_pylist(), strict=True):
+            if s != session or not region:
+                if region:
+                    done.append((session, *region))
+                session, region = s, live.initial(MONITOR)
+            region = live.press(region, key, MONITOR)
+        yield _regions(done)
+        done = []
+    yield _regions([(session, *region)] if region else [])
+
+
+def _regions(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["session", "top", "left", "width", "height"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i else pa.int64()) for i in range(5)], names)
+
+
 def region_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The region of each session after all its keys, in order: a fold inside the JVM."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "key")))
-    m = monitor()
-    walked = F.aggregate("k", regions.initial(m), lambda r, k: regions.press(r, k["key"], m))
-    rows = presses(spark, sf_dir).groupBy("session").agg(ordered.alias("k")).select("session", walked.alias("r"))
-    return rows.select("session", "r.top", "r.left", "r.width", "r.height")
+    """The region of each session after all its keys: a fold over sorted rows, as the stream does it; a session of any length is one pass, never a list."""
+    rows = presses(spark, sf_dir)
+    ordered = rows.repartition("session").sortWithinPartitions("session", "ts", "event_id").select(F.col("session").cast("long").alias("session"), "key")
+    return ordered.mapInArrow(_folded, "session long, top int, left int, width int, height int").withColumn("session", F.col("session").cast(rows.schema["session"].dataType))
 
 
 def region_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
