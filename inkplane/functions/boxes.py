@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -106,6 +106,54 @@ def rotate_hull(b: Column, degrees: Column, width: float, height: float) -> Colu
     return once(once(F.when(b.isNotNull(), turned), ends), lambda e: _parts(e["x0"], e["y0"], e["x1"] - e["x0"], e["y1"] - e["y0"]))
 
 
+# --- the same steps on whole tables -------------------------------------------------------
+#
+# Tables keep a box in four plain columns: x, y, w, h. A step is one projection, so each
+# value is worked out once, by generated code; null parts stay null as far as they reach.
+
+SIDES = (("x", "w"), ("y", "h"))
+
+
+def _stepped(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    return df.select(*[made[c].alias(c) if c in made else F.col(c) for c in df.columns])
+
+
+def expanded(df: DataFrame, side: float, margin: float) -> DataFrame:
+    """``expand``, in two projections: starts, then sizes."""
+    starts = {at: F.greatest(F.lit(0.0), F.col(at) - F.col(size) * F.lit(float(margin))) for at, size in SIDES}
+    rows = _stepped(df, starts)
+    return _stepped(rows, {size: F.least(F.lit(float(side)) - F.col(at), F.col(size) + 2 * (F.col(size) * F.lit(float(margin)))) for at, size in SIDES})
+
+
+def clamped(df: DataFrame, width: float, height: float) -> DataFrame:
+    """``clamp``, and boxes without area go."""
+    made = {}
+    for (at, size), most in zip(SIDES, (width, height), strict=True):
+        start = F.greatest(F.lit(0.0), F.least(F.lit(float(most) - 1), F.col(at)))
+        made |= {at: start, size: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col(at) + F.col(size))) - start}
+    return _stepped(df, made).filter((F.col("w") > 0) & (F.col("h") > 0))
+
+
+def normalised(df: DataFrame, side: float) -> DataFrame:
+    """``normalise``: columns cx, cy, w, h instead."""
+    unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.lit(float(side))))
+    others = [c for c in df.columns if c not in "xywh"]
+    return df.select(*others, *[unit(F.col(at) + F.col(size) / 2).alias(f"c{at}") for at, size in SIDES], *[unit(F.col(size)).alias(size) for _, size in SIDES])
+
+
+def hulled(df: DataFrame, degrees: Column, width: float, height: float) -> DataFrame:
+    """``rotate_hull``."""
+    others = [c for c in df.columns if c not in "xywh"]
+    rows = df.select("*", F.cos(F.radians(degrees)).alias("_cos"), F.sin(F.radians(degrees)).alias("_sin"))
+    corner = [(F.col("x") + (F.col("w") if i else F.lit(0.0)) - F.lit(width / 2.0), F.col("y") + (F.col("h") if j else F.lit(0.0)) - F.lit(height / 2.0)) for i in (0, 1) for j in (0, 1)]
+    xs = [F.lit(width / 2.0) + a * F.col("_cos") + b * F.col("_sin") for a, b in corner]
+    ys = [F.lit(height / 2.0) - a * F.col("_sin") + b * F.col("_cos") for a, b in corner]
+    inside = lambda v, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), v))
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
+    ends = rows.select(*others, *[F.when(whole, inside(pick(*v), most)).alias(n) for n, pick, v, most in (("_x0", F.least, xs, width), ("_x1", F.greatest, xs, width), ("_y0", F.least, ys, height), ("_y1", F.greatest, ys, height))])
+    return ends.select(*others, F.col("_x0").alias("x"), F.col("_y0").alias("y"), (F.col("_x1") - F.col("_x0")).alias("w"), (F.col("_y1") - F.col("_y0")).alias("h"))
+
+
 def turned_corner(x: float, y: float, degrees: float, width: float, height: float) -> tuple[float, float]:
     """One corner, for tests."""
     a = math.radians(degrees)

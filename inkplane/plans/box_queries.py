@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import boxes
 from inkplane.operators import labels
-from inkplane.plans.tables import BOX_SQL, SIDE, box_sql, box_table, read
+from inkplane.plans.tables import BOX_SQL, SIDE, box_columns, box_sql, box_table, read
 
 MARGIN = 0.10
 
@@ -35,8 +35,8 @@ def box_int_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expanded, clamped, filtered, normalised: label rows. No shuffle, no Python."""
-    made = box_table(spark, sf_dir).select("page", boxes.clamp(boxes.expand(F.col("box"), SIDE, MARGIN), SIDE, SIDE).alias("b"))
-    return _flat(made.filter(boxes.has_area(F.col("b"))).select("page", boxes.normalise(F.col("b"), SIDE).alias("n")), "n")
+    rows = box_columns(spark, sf_dir).drop("block_no")
+    return boxes.normalised(boxes.clamped(boxes.expanded(rows, SIDE, MARGIN), SIDE, SIDE), SIDE)
 
 
 def box_label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +81,9 @@ def box_roundtrip_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rotate_box_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = box_table(spark, sf_dir)
-    turned = boxes.rotate_hull(F.col("box"), (F.col("page") % 7 - 3).cast("double"), SIDE, SIDE)
-    b = rows.select("page", turned.alias("b"))
-    return b.select("page", *[(F.round(F.col(f"b.{n}"), 6) + 0.0).alias(n) for n in "xywh"])
+    rows = box_columns(spark, sf_dir).drop("block_no")
+    turned = boxes.hulled(rows, (F.col("page") % 7 - 3).cast("double"), SIDE, SIDE)
+    return turned.select("page", *[(F.round(n, 6) + 0.0).alias(n) for n in "xywh"])
 
 
 def page_name(spark: SparkSession, sf_dir: str) -> DataFrame:

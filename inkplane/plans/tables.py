@@ -18,12 +18,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BOX_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def box_table(spark: SparkSession, sf_dir: str, kept: Column | None = None) -> DataFrame:
-    """(page, block_no, box): boxes that lie in, across and beyond a 640-pixel page; those ``kept`` only."""
+def box_columns(spark: SparkSession, sf_dir: str, kept: Column | None = None) -> DataFrame:
+    """(page, block_no, x, y, w, h): boxes that lie in, across and beyond a 640-pixel page; those ``kept`` only."""
     li = read(spark, sf_dir, "lineitem")
     li = li if kept is None else li.filter(kept)
-    made = boxes.box((F.col("l_partkey") * 7) % 700 - 30, (F.col("l_suppkey") * 53) % 700 - 30, F.col("l_quantity").cast("int"), F.col("l_linenumber") * 8)
-    return li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block_no"), made.alias("box"))
+    parts = {"x": (F.col("l_partkey") * 7) % 700 - 30, "y": (F.col("l_suppkey") * 53) % 700 - 30, "w": F.col("l_quantity").cast("int"), "h": F.col("l_linenumber") * 8}
+    return li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block_no"), *[c.cast("double").alias(n) for n, c in parts.items()])
+
+
+def box_table(spark: SparkSession, sf_dir: str, kept: Column | None = None) -> DataFrame:
+    """(page, block_no, box): the same with boxes as structs."""
+    return box_columns(spark, sf_dir, kept).select("page", "block_no", boxes.box(*[F.col(n) for n in "xywh"]).alias("box"))
 
 
 def box_sql(kept: str = "true") -> str:
