@@ -1,6 +1,7 @@
 """Fingerprints, BK-trees and components against brute force."""
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -108,13 +109,19 @@ def test_split_shards_and_batches(spark, monkeypatch):
     assert groups(mine) == groups(want)
 
 
-def test_long_chains(spark):
+@pytest.mark.parametrize("finish", [0, 700, 1 << 18])
+def test_long_chains(spark, monkeypatch, finish):
+    monkeypatch.setattr("inkplane.llm.components.FINISH", finish)
     rng = np.random.default_rng(8)
     names = rng.permutation(2000).tolist()
     links = spark.createDataFrame([(names[i], names[i + 1]) for i in range(1999) if i % 500 != 499], "a long, b long")
     got = components(links)
     assert got.count() == 2000 and got.select("root").distinct().count() == 4
     assert components(links.filter(F.lit(False))).count() == 0
+    pair = lambda c: F.struct((F.col(c) % 7).alias("d"), F.col(c).alias("h")).alias(c)
+    both = components(links.select(pair("a"), pair("b")))
+    groups = {frozenset(r.of) for r in both.groupBy("root").agg(F.collect_list("node.h").alias("of")).collect()}
+    assert groups == {frozenset(names[k : k + 500]) for k in range(0, 2000, 500)}
 
 
 def near_components(ids, texts):
