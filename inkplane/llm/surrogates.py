@@ -2,7 +2,9 @@
 
 Found: e-mail addresses (of any script), IPv4 and IPv6 addresses, access keys, labelled
 hexadecimal tokens, IBANs, payment cards, social security numbers, phone numbers, and
-names: up to three words after a title, and the same words anywhere else in that text.
+names: up to three words after a title, and the same words with a capital letter anywhere
+else in that text, unless the text has the word without a capital too or a pronoun follows
+("Will you").
 Each distinct entity gets one surrogate from SHA-256 of key, type, canonical form and
 try, of the same type: letters stay letters of the same case and script, digits stay
 digits, separators stay; cards keep their first digit and pass the Luhn test, IBANs keep
@@ -29,19 +31,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkplane.llm.common import cut
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_WORD = r"(?:[\p{Lu}&&\p{IsLatin}][\p{L}&&\p{IsLatin}'’-]*+|[\p{Lu}&&\p{IsCyrillic}][\p{L}&&\p{IsCyrillic}-]*+)"
+#: Parts of a word are joined by hyphens and apostrophes, but an English genitive is no part; Han names have two to four characters.
+_LATIN, _CYRILLIC = r"[\p{L}&&\p{IsLatin}]", r"[\p{L}&&\p{IsCyrillic}]"
+_WORD = rf"(?:(?=\p{{Lu}})(?:{_LATIN}++(?:['’-](?!s(?!\p{{L}})){_LATIN}++)*+|{_CYRILLIC}++(?:-{_CYRILLIC}++)*+)|\p{{IsHan}}{{2,4}}+)"
 #: Titles by the gender that they tell.
 TITLES = {
     "m": ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "г-н"),
     "n": ("Dr", "Prof", "Professor", "Professorin", "Doctor", "Doktor", "Docteur", "Doctora", "Доктор", "Профессор"),
     "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "Госпожа", "г-жа"),
 }
+TITLES = {sex: (*ts, *(t.upper() for t in ts)) for sex, ts in TITLES.items()}  # in capitals too
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _TITLES = rf"(?<![\p{{L}}])(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?:{_TITLE})\.?(?: (?:{'|'.join(TITLES['n'])})\.?)* "
 #: Titles that contain no other one: a text with a title contains one of these.
@@ -60,8 +65,10 @@ PATTERNS = {
     "name": rf"{_TITLES}{_WORD}(?: {_WORD}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A verb stands before these, no name ("Will you", "May I").
+PRONOUNS = ("I", "you", "he", "she", "it", "we", "they")
 #: In texts with names every word with a capital letter is looked at.
-ANY_OR_WORD = rf"{ANY}|(?<![\p{{L}}\p{{N}}]){_WORD}(?![\p{{L}}\p{{N}}])"
+ANY_OR_WORD = rf"{ANY}|(?<![\p{{L}}\p{{N}}]){_WORD}(?![\p{{L}}\p{{N}}]| (?:{'|'.join(PRONOUNS)})(?![\p{{L}}\p{{N}}]))"
 #: Given names for surrogates.
 GIVEN = {
     "m-latin": ("Adrian", "Bruno", "Conrad", "Felix", "Hugo", "Julian", "Leon", "Marcus", "Oscar", "Samuel", "Simon", "Victor"),
@@ -69,12 +76,18 @@ GIVEN = {
     "m-cyrillic": ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Игорь", "Кирилл", "Лев", "Максим", "Павел", "Юрий"),
     "n-latin": ("Alex", "Andy", "Charlie", "Chris", "Jamie", "Jordan", "Kim", "Lou", "Max", "Noel", "Robin", "Sam"),
     "n-cyrillic": ("Валя", "Женя", "Никита", "Саша", "Слава", "Шура"),
+    "m-han": ("伟国", "志强", "建平", "海明", "文军", "永康"),
+    "n-han": ("子安", "小宁", "一云", "思平", "晓晨", "嘉文"),
+    "f-han": ("秀兰", "美芳", "玉清", "雪梅", "佳丽", "春燕"),
     "f-cyrillic": ("Алла", "Вера", "Галина", "Дарья", "Елена", "Инна", "Лидия", "Мария", "Нина", "Ольга", "Софья", "Юлия"),
 }
 SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "ha", "ke", "li", "mo", "na", "pe", "ri", "so", "ta", "ve", "wi", "zo"),
     "cyrillic": ("ба", "де", "фи", "го", "ха", "ке", "ли", "мо", "на", "пе", "ри", "со", "та", "ве", "ви", "зо"),
+    "han": ("安", "柏", "晨", "德", "恩", "芳", "国", "海", "佳", "康", "兰", "明", "宁", "平", "清", "云"),
 }
+#: Endings of made-up words: given names of men, of people of either sex, of women, and family names.
+ENDS = {"latin": "niar", "cyrillic": "ниар", "han": "军文丽林"}
 #: Try from which formats get longer, and addresses another kind.
 LONGER, OTHER = 6, 12
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -155,11 +168,11 @@ def _core() -> Column:
     made = made.when(F.col("type").isin("ssn", "phone"), F.concat(digits, digits_more))
     for script, syllables in SYLLABLES.items():
         word = _word(syllables)
-        for sex, end in (("m", "n" if script == "latin" else "н"), ("n", "i" if script == "latin" else "и"), ("f", "a" if script == "latin" else "а")):
+        for sex, end in zip("mnf", ENDS[script], strict=False):
             names = GIVEN[f"{sex}-{script}"]
             first = F.get(_list(names), F.pmod(_byte(F.lit(0)), F.lit(len(names))))
             made = made.when(F.col("type") == f"given-{sex}-{script}", F.when(F.col("try") == 0, first).otherwise(F.concat(word, F.lit(end))))
-        made = made.when(F.col("type") == f"family-{script}", F.concat(word, F.lit("r" if script == "latin" else "р")))
+        made = made.when(F.col("type") == f"family-{script}", F.concat(word, F.lit(ENDS[script][3])))
     return made
 
 
@@ -171,23 +184,25 @@ def _type(mention: Column) -> Column:
 
 
 def mentions(texts: DataFrame) -> DataFrame:
-    """(id, pos, unit, last, before, surface, type, canon) from (id, found): the parts of every mention that get a surrogate.
+    """(id, pos, unit, last, before, surface, type, canon) from (id, found, plain): the parts of every mention that get a surrogate.
 
-    A word by itself is part of a name if the text has it after a title, else its type is null.
+    A word by itself is part of a name if the text has it after a title and not among its
+    ``plain`` words, those without a capital letter; else its type is null.
     """
-    rows = texts.select("id", F.posexplode("found").alias("pos", "mention")).withColumn("kind", F.coalesce(_type(F.col("mention")), F.lit("word")))
+    rows = texts.select("id", "plain", F.posexplode("found").alias("pos", "mention")).withColumn("kind", F.coalesce(_type(F.col("mention")), F.lit("word")))
     rows = rows.withColumn("before", F.when(F.col("kind") == "name", F.regexp_extract("mention", f"^{_TITLES}", 0)).otherwise(F.lit("")))
     words = F.split(F.expr("substring(mention, length(before) + 1)"), " ")
     rows = rows.withColumn("surfaces", F.when(F.col("kind") == "name", words).otherwise(F.array("mention")))
     rows = rows.select("*", F.size("surfaces").alias("n"), F.posexplode("surfaces").alias("unit", "surface"))
     first = F.regexp_extract("before", r"^([^ .]+)", 1)
     sex = F.when(first.isin(*TITLES["m"]), "m-").when(first.isin(*TITLES["f"]), "f-").otherwise("n-")
-    script = F.when(F.col("surface").rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    script = F.when(F.col("surface").rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(F.col("surface").rlike(r"\p{IsHan}"), F.lit("han")).otherwise(F.lit("latin"))
     role = F.when(F.col("unit") == F.col("n") - 1, F.concat(F.lit("family-"), script)).otherwise(F.concat(F.lit("given-"), sex, script))
     kind = F.when(F.col("kind") == "name", role).when(F.col("kind") != "word", F.col("kind"))
     squeezed = F.regexp_replace("surface", r"[ .()-]", "")
     canon = F.when(F.col("kind").isin("iban", "card", "ssn", "phone"), squeezed).when(F.col("kind").isin("email", "token", "ipv6"), F.lower("surface"))
     canon = canon.when(F.col("kind").isin("name", "word"), F.initcap(F.lower("surface"))).otherwise(F.col("surface"))
+    canon = F.when((F.col("kind") == "word") & F.array_contains("plain", F.lower("surface")), F.lit(None)).otherwise(canon)
     before = F.when(F.col("unit") == 0, F.col("before")).otherwise(F.lit(" "))
     units = cut(rows.select("id", "pos", "unit", (F.col("unit") == F.col("n") - 1).alias("last"), before.alias("before"), "surface", kind.alias("type"), canon.alias("canon")))
     people = units.filter(F.col("type").rlike("^(given|family)")).groupBy("id", "canon").agg(F.min("type").alias("_type"))  # family names first
@@ -202,10 +217,11 @@ def vocabulary(entities: DataFrame, key: str) -> DataFrame:
     taken = originals.select("type", F.col("canon").alias("core"))
     while True:
         drawn = waiting.withColumn("stream", _stream(key)).withColumn("core", _core()).drop("stream")
-        turn = F.row_number().over(Window.partitionBy("type", "core").orderBy("canon"))
+        drawn = cut(drawn)
         used = taken if accepted is None else taken.unionByName(accepted.select("type", "core"))
-        checked = cut(drawn.withColumn("turn", turn).join(used.distinct().withColumn("used", F.lit(True)), ["type", "core"], "left"))
-        fine = (F.col("turn") == 1) & F.col("used").isNull()
+        free = drawn.groupBy("type", "core").agg(F.min("canon").alias("winner")).join(used, ["type", "core"], "left_anti")  # of those who drew the same, one gets it
+        checked = cut(drawn.join(free, ["type", "core"], "left"))
+        fine = F.col("winner").eqNullSafe(F.col("canon"))
         good = checked.filter(fine).select("type", "canon", "core")
         accepted = good if accepted is None else accepted.unionByName(good)
         waiting = checked.filter(~fine).select("type", "canon", (F.col("try") + 1).alias("try"))
@@ -248,8 +264,9 @@ def replace(df: DataFrame, text: str = "text", key: str = "surrogates") -> DataF
     hits = rows.filter(has).withColumn("id", F.md5("_text")).withColumn("found", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
     named = F.exists("found", lambda m: m.rlike(f"^{PATTERNS['name']}$"))
     hits = hits.withColumn("named", named).withColumn("found", F.when(F.col("named"), F.regexp_extract_all("_text", F.lit(ANY_OR_WORD), F.lit(0))).otherwise(F.col("found")))
-    hits = cut(hits)
-    units = cut(mentions(hits.select("id", "found").distinct()))
+    small = F.array_intersect(F.split("_text", r"[^\p{L}\p{N}'’-]+"), F.transform("found", lambda m: F.lower(m)))
+    hits = cut(hits.withColumn("plain", F.when(F.col("named"), small).otherwise(F.array().cast("array<string>"))))
+    units = cut(mentions(hits.select("id", "found", "plain").distinct()))
     entities = units.filter("type IS NOT NULL")
     made = entities.join(vocabulary(entities, key), ["type", "canon"]).withColumn("new", _refit())
     same = units.filter("type IS NULL").withColumn("new", F.col("surface"))

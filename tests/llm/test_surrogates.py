@@ -88,6 +88,23 @@ def test_later_mentions_and_titles_without_gender(spark):
     assert three == "Smith is only a word here." and k == 0
 
 
+def test_words_of_names(spark):
+    texts = ["Mr O'Brien-Smith came", "Herr Müller-Lüdenscheidt kam", "г-жа Иванова-Петрова ушла", "MR. JOHN SMITH called", "Mr 王小明 came", "Mr D’Arcy's horse, D’Arcy's house"]
+    a, b, c, d, e, f = (t for t, _ in replaced(spark, *texts))
+    assert re.fullmatch(r"Mr [A-Z][a-z]+ came", a) and re.fullmatch(r"Herr [A-Z][a-z]+ kam", b) and re.fullmatch(r"г-жа [А-Я][а-я]+ ушла", c)
+    assert re.fullmatch(r"MR\. [A-Z]+ [A-Z]+ called", d) and "JOHN" not in d and "SMITH" not in d
+    assert re.fullmatch(r"Mr [\u4e00-\u9fff]{2,4} came", e) and "小" not in e
+    m = re.fullmatch(r"Mr (\w+)'s horse, (\w+)'s house", f)
+    assert m and m[1] == m[2] and "Arcy" not in f
+
+
+def test_clean_words_stay(spark):
+    a, b, c = (t for t, _ in replaced(spark, "Mr Will May came. Will you come? May I?", "Frau Stein fiel. Ein stein lag da, der Stein war rund.", "Will you come in May? Sir, may I?"))
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Will you come\? May I\?", a)
+    assert m and m[1] != "Will" and m[2] != "May"
+    assert re.fullmatch(r"Frau (?!Stein)\w+ fiel\. Ein stein lag da, der Stein war rund\.", b) and c == "Will you come in May? Sir, may I?"
+
+
 def test_distinct_where_space_is_short(spark):
     rows = [(i, f"Mr {chr(65 + i % 26)}{chr(97 + i // 26)} Zz at 10.0.0.{i}", "a", "b") for i in range(200)]
     out = surrogates.replace(spark.createDataFrame(rows, SCHEMA)).collect()
