@@ -22,9 +22,10 @@ def charset_script_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def charset_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common characters of all sources that are Japanese, with the code points of parts as one more font's."""
-    parts = read(spark, sf_dir, "part").select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("font"), (F.lit(0x3030) + F.col("p_partkey") % 0x300).cast("int").alias("codepoint"))
-    return charset.supported(parts)
+    """Japanese characters that three fonts have in common: the parts' code points, of which one font lacks every fifth and another every seventh."""
+    points = read(spark, sf_dir, "part").select((F.lit(0x3030) + F.col("p_partkey") % 0x300).cast("int").alias("codepoint"))
+    fonts = F.array(F.lit("a"), F.when(F.col("codepoint") % 5 != 0, "b"), F.when(F.col("codepoint") % 7 != 0, "c"))
+    return charset.supported(points.select(F.explode(F.array_compact(fonts)).alias("font"), "codepoint"))
 
 
 def charset_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +116,9 @@ ORACLE_SQL = {
 GROUP BY codepoint HAVING count(DISTINCT font) = (SELECT count(DISTINCT font) FROM glyph)""",
     "charset_script_filter": f"""WITH points AS (SELECT p_partkey, CAST(12336 + p_partkey % 28672 AS INTEGER) AS codepoint FROM part)
 SELECT p_partkey, codepoint, {_JAPANESE} AS japanese, chr(codepoint) AS ch FROM points""",
-    "charset_supported": f"""WITH points AS (SELECT DISTINCT CAST(12336 + p_partkey % 768 AS INTEGER) AS codepoint FROM part)
-SELECT codepoint, chr(codepoint) AS ch FROM points WHERE {_JAPANESE}""",
+    "charset_supported": f"""WITH points AS (SELECT DISTINCT CAST(12336 + p_partkey % 768 AS INTEGER) AS codepoint FROM part),
+glyph AS (SELECT 'a' AS font, codepoint FROM points UNION ALL SELECT 'b', codepoint FROM points WHERE codepoint % 5 <> 0 UNION ALL SELECT 'c', codepoint FROM points WHERE codepoint % 7 <> 0)
+SELECT codepoint, chr(codepoint) AS ch FROM glyph WHERE {_JAPANESE} GROUP BY codepoint HAVING count(DISTINCT font) = (SELECT count(DISTINCT font) FROM glyph)""",
     "charset_size": f"WITH {glyph_sql('lang')} SELECT font, count(*) AS n FROM glyph GROUP BY font",
     "coverage_missing": f"{_LOST} SELECT font, codepoint, ch FROM lost",
     "coverage_report": f"""{_LOST} SELECT f.font, count(codepoint) AS n_missing, coalesce(string_agg(ch, '' ORDER BY codepoint), '') AS missing

@@ -11,16 +11,16 @@ from inkplane.plans.tables import read
 SIDE, CORNERS, REACH = 8, 16, 1.0
 
 
-def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corners in a square of ``SIDE`` pixels, as shapes of a font of 1000 units."""
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners in a square of ``SIDE`` pixels, as shapes of three fonts of 1000 units."""
     at = lambda i: F.round(F.greatest(F.lit(-50.0), F.least(F.lit(1050.0), (F.get("embedding", i).cast("double") + 0.3) * 1600)), 3)
     line = F.transform(F.sequence(F.lit(0), F.lit(CORNERS - 1)), lambda i: F.struct(at(2 * i).alias("x"), at(2 * i + 1).alias("y")))
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.lit("f").alias("font"), F.lit(0).alias("codepoint"), F.lit(1000).alias("units"), F.lit(880).alias("ascent"), F.array(line).alias("contours"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("f"), F.col("vec_id") % 3).alias("font"), F.expr("cast(vec_id div 3 as int)").alias("codepoint"), F.lit(1000).alias("units"), F.lit(880).alias("ascent"), F.array(line).alias("contours"))
 
 
 def _pixels(spark: SparkSession, sf_dir: str, stroked: bool) -> DataFrame:
     scaled = F.transform("contours", lambda line: F.transform(line, lambda p: F.struct((p["x"] / 125).alias("x"), (p["y"] / 125).alias("y"))))
-    rows = _shapes(spark, sf_dir).select("vec_id", scaled.alias("contours"))
+    rows = shapes(spark, sf_dir).select("vec_id", scaled.alias("contours"))
     made = glyphs.covered(rows, SIDE, SIDE, REACH if stroked else None)
     return made.select("vec_id", F.posexplode("cover").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
@@ -37,18 +37,18 @@ def outline_stroke(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glyph_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes from the pen at three sizes."""
-    rows = glyphs.measured(_shapes(spark, sf_dir)).withColumn("size", F.explode(F.array(F.lit(24), F.lit(36), F.lit(48))))
+    rows = glyphs.measured(shapes(spark, sf_dir)).withColumn("size", F.explode(F.array(F.lit(24), F.lit(36), F.lit(48))))
     return rows.select("vec_id", "size", glyphs.box(F.col("size")).alias("b")).select("vec_id", "size", "b.*")
 
 
 QUERIES = {f.__name__: f for f in (outline_fill, outline_stroke, glyph_boxes)}
 
-_CORNERS = """corners AS (
+CORNERS_SQL = """corners AS (
   SELECT vec_id, i, round(greatest(-50.0::DOUBLE, least(1050.0::DOUBLE, (CAST(embedding[2 * i + 1] AS DOUBLE) + 0.3::DOUBLE) * 1600)), 3) AS x,
     round(greatest(-50.0::DOUBLE, least(1050.0::DOUBLE, (CAST(embedding[2 * i + 2] AS DOUBLE) + 0.3::DOUBLE) * 1600)), 3) AS y
   FROM embeddings, (SELECT unnest(range(16)) AS i))"""
 
-_COVER = f"""{_CORNERS},
+_COVER = f"""{CORNERS_SQL},
 edges AS (SELECT a.vec_id, a.x / 125 AS x0, a.y / 125 AS y0, b.x / 125 AS x1, b.y / 125 AS y1 FROM corners a JOIN corners b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % 16),
 banded AS (SELECT *, greatest(r, least(r + 1, y0)) AS a, greatest(r, least(r + 1, y1)) AS b FROM edges, (SELECT CAST(unnest(range(8)) AS DOUBLE) AS r)),
 cut AS (SELECT vec_id, r, b - a AS dy, least(x0 + (a - y0) * s, x0 + (b - y0) * s) AS low, greatest(x0 + (a - y0) * s, x0 + (b - y0) * s) AS high FROM (SELECT *, (x1 - x0) / (y1 - y0) AS s FROM banded WHERE a <> b)),
@@ -69,7 +69,7 @@ near AS (
     SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / coalesce(nullif(pow(x1 - x0, 2) + pow(y1 - y0, 2), 0), 1))) AS t
     FROM (SELECT vec_id, pos, pos % 8 + 0.5::DOUBLE AS x, pos // 8 + 0.5::DOUBLE AS y FROM grid) JOIN edges USING (vec_id)) GROUP BY vec_id, pos)
 SELECT vec_id, pos, round(greatest(v, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.5::DOUBLE - d))), 6) AS v FROM filled JOIN near USING (vec_id, pos)""",
-    "glyph_boxes": f"""WITH {_CORNERS}, bounds AS (SELECT vec_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM corners GROUP BY vec_id),
+    "glyph_boxes": f"""WITH {CORNERS_SQL}, bounds AS (SELECT vec_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM corners GROUP BY vec_id),
 s AS (SELECT *, CAST(size AS DOUBLE) / 1000 AS k FROM bounds, (SELECT unnest([24, 36, 48]) AS size))
 SELECT vec_id, size, CAST(floor(x0 * k) AS INTEGER) AS "left", CAST(ceil(880 * k) - ceil(y1 * k) AS INTEGER) AS top,
   CAST(ceil(x1 * k) - floor(x0 * k) AS INTEGER) AS width, CAST(ceil(y1 * k) - floor(y0 * k) AS INTEGER) AS height FROM s""",

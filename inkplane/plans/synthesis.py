@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from inkplane.functions import boxes, draws
 from inkplane.functions.text import page_name
-from inkplane.operators import glyphs, labels, layout, numbering, raster
+from inkplane.operators import charset, glyphs, labels, layout, numbering, raster
 from inkplane.params import Settings
 from inkplane.sources import pages as sources
 
@@ -40,10 +40,9 @@ def _u(seed: int, purpose: str, *key: Column | str) -> Column:
     return draws.uniform(seed, purpose, *key)
 
 
-def attempts_of(spark, first: int, last: int, population: numbering.Population, s: Settings, seed: int) -> DataFrame:
-    """(attempt, negative, path, crop_x, crop_y, n_blocks) of the attempts from ``first`` to ``last``."""
-    rows = spark.range(first, last + 1).select(F.col("id").alias("attempt"))
-    rows = rows.withColumn("negative", draws.happens(_u(seed, "negative", "attempt"), s.negative_probability))
+def attempts_of(rows: DataFrame, population: numbering.Population, s: Settings, seed: int) -> DataFrame:
+    """(attempt, negative, path, crop_x, crop_y, n_blocks) of attempts (attempt)."""
+    rows = rows.select("attempt").withColumn("negative", draws.happens(_u(seed, "negative", "attempt"), s.negative_probability))
     rows = population.draw(rows, seed, "attempt")
     place = lambda purpose, side: draws.whole(_u(seed, purpose, "attempt"), 0, F.col(side) - s.crop_size)
     n_blocks = F.when(F.col("negative"), 0).otherwise(draws.whole(_u(seed, "blocks", "attempt"), s.blocks_min, s.blocks_max))
@@ -164,9 +163,7 @@ def synthesise(
     source = sources.Decoded(images) if isinstance(images, DataFrame) else images
     spark = source.spark
     shapes = glyphs.squares(spark, fonts, chars) if shapes is None else shapes
-    if characters is None:
-        many = F.size(F.collect_set("font"))
-        characters = shapes.groupBy("codepoint").agg(many.alias("n")).crossJoin(shapes.agg(many.alias("all"))).filter("n = all").select("codepoint")
+    characters = charset.common(shapes.select("font", "codepoint")) if characters is None else characters
     made: list[DataFrame] = []
     done = good = 0
     if amount > 0:
@@ -175,7 +172,8 @@ def synthesise(
         letters = numbering.Population.of(characters.select("codepoint").distinct(), "codepoint")
     while good < amount and done < amount * numbering.TRIES_PER_PAGE:
         wave = min(max(8, int(1.3 * (amount - good))), amount * numbering.TRIES_PER_PAGE - done)
-        attempts = attempts_of(spark, done + 1, done + wave, population, s, seed).checkpoint(eager=True)
+        numbers = spark.range(done + 1, done + wave + 1).select(F.col("id").alias("attempt"))
+        attempts = attempts_of(numbers, population, s, seed).checkpoint(eager=True)
         blocks = blocks_of(attempts, shapes, s, seed).checkpoint(eager=True)
         cells = cells_of(blocks, shapes, letters, seed).checkpoint(eager=True)
         pages = painted(crops_of(attempts, source, wave, s.crop_size), blocks, cells, shapes, s)

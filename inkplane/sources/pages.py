@@ -156,21 +156,38 @@ class Decoded:
         return self.rows.join(wanted, "path", "left_semi")
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def _exists(path: str) -> bool:
+    system, place = _located(path)
+    return system.get_file_info(place).type != fs.FileType.NotFound
+
+
 def image_root(local: str, mounts: str, marker: str = "manga109", child: str = "images") -> str:
-    """The local folder if it exists; else the first one below ``mounts`` whose path has the marker and that holds the child; else the local one."""
-    if os.path.exists(local):
+    """The local folder if it exists; else the first one below ``mounts`` whose path has the marker and that holds the child; else the local one.
+
+    Folders are visited from the top down, in order of their names; both are paths or URIs of any store.
+    """
+    if _exists(local):
         return local
-    for folder, below, _ in os.walk(mounts):
-        below.sort()
+    system, top = _located(mounts)
+    waiting = [top]
+    while waiting:
+        folder = waiting.pop()
+        found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        below = sorted(f.base_name for f in found if f.type == fs.FileType.Directory)
         if child in below and marker in folder.lower():
-            return os.path.join(folder, child)
+            return f"{mounts.rstrip('/').removesuffix(top)}{folder}/{child}" if "://" in mounts else f"{folder}/{child}"
+        waiting += [f"{folder}/{name}" for name in reversed(below)]
     return local
 
 
 def first_existing(*paths: str) -> str:
-    """The first path that exists; none is an error."""
+    """The first path or URI that exists; none is an error."""
     for path in paths:
-        if os.path.exists(path):
+        if _exists(path):
             return path
     raise FileNotFoundError(f"none of these exists: {', '.join(paths)}")
 
