@@ -13,7 +13,7 @@ from inkplane.plans.tables import read, u_sql
 W = 8
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grey_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     grey = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 0.6) * 200).cast("int"))))
     return read(spark, sf_dir, "embeddings").select("vec_id", grey.alias("a"))
 
@@ -23,43 +23,43 @@ def _pixels(df: DataFrame, a: Column) -> DataFrame:
 
 
 def region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _images(spark, sf_dir)
+    rows = grey_images(spark, sf_dir)
     return rows.select("vec_id", F.round(raster.deviation(F.col("a")), 6).alias("deviation"), F.round(raster.mean(F.col("a")), 6).alias("brightness"))
 
 
 def region_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _images(spark, sf_dir).filter(raster.deviation(F.col("a")) <= Settings().region_deviation_limit).select("vec_id")
+    return grey_images(spark, sf_dir).filter(raster.deviation(F.col("a")) <= Settings().region_deviation_limit).select("vec_id")
 
 
 def raster_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(_images(spark, sf_dir), raster.crop(F.col("a"), W, 2, 3, 4, 5))
+    return _pixels(grey_images(spark, sf_dir), raster.crop(F.col("a"), W, 2, 3, 4, 5))
 
 
 def raster_erode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(raster.morph(_images(spark, sf_dir), "a", W, W, 2), F.col("a"))
+    return _pixels(raster.morph(grey_images(spark, sf_dir), "a", W, W, 2), F.col("a"))
 
 
 def raster_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(raster.morph(_images(spark, sf_dir), "a", W, W, 3, grow=True), F.col("a"))
+    return _pixels(raster.morph(grey_images(spark, sf_dir), "a", W, W, 3, grow=True), F.col("a"))
 
 
 def raster_morph_iter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(raster.morph(_images(spark, sf_dir), "a", W, W, 4, rounds=2), F.col("a"))
+    return _pixels(raster.morph(grey_images(spark, sf_dir), "a", W, W, 4, rounds=2), F.col("a"))
 
 
 def raster_grey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _images(spark, sf_dir).select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(i.alias("pos"), *[F.get("a", i * 3 + k).alias(c) for k, c in enumerate("rgb")]))).alias("p"))
+    rows = grey_images(spark, sf_dir).select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(i.alias("pos"), *[F.get("a", i * 3 + k).alias(c) for k, c in enumerate("rgb")]))).alias("p"))
     return rows.select("vec_id", "p.pos", regions.luma(F.col("p.r"), F.col("p.g"), F.col("p.b")).cast("int").alias("v"))
 
 
 def blur_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _pixels(_images(spark, sf_dir), raster.blur_rows(F.col("a"), W, 0.5))
+    made = _pixels(grey_images(spark, sf_dir), raster.blur_rows(F.col("a"), W, 0.5))
     return made.withColumn("v", F.round("v", 6))
 
 
 def noise_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal noise by position, added, clipped and truncated; compared away from whole numbers."""
-    rows = _pixels(_images(spark, sf_dir), F.col("a"))
+    rows = _pixels(grey_images(spark, sf_dir), F.col("a"))
     noise = draws.normal(draws.uniform(21, "n1", "vec_id", "pos"), draws.uniform(21, "n2", "vec_id", "pos"), 40.0)
     return rows.select("vec_id", "pos", raster.clip_truncate(F.round(F.col("v") + noise, 6)).alias("v"))
 
@@ -67,28 +67,28 @@ def noise_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images turned by up to three degrees, drawn from their ids."""
     angle = draws.real(draws.uniform(31, "angle", "vec_id"), -3, 3)
-    return _pixels(_images(spark, sf_dir), raster.rotate(F.col("a"), W, W, angle)).withColumn("v", F.round("v", 6))
+    return _pixels(grey_images(spark, sf_dir), raster.rotate(F.col("a"), W, W, angle)).withColumn("v", F.round("v", 6))
 
 
 def blur_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(_images(spark, sf_dir), raster.blur(F.col("a"), W, W, 0.5)).withColumn("v", F.round("v", 6))
+    return _pixels(grey_images(spark, sf_dir), raster.blur(F.col("a"), W, W, 0.5)).withColumn("v", F.round("v", 6))
 
 
 def raster_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("vec_id")
     x, y = (k % 5).cast("int"), (k % 3).cast("int")
-    return _pixels(_images(spark, sf_dir), raster.outlined(F.col("a"), W, x, y, x + 3 + (k % 2).cast("int"), y + 4, thick=1))
+    return _pixels(grey_images(spark, sf_dir), raster.outlined(F.col("a"), W, x, y, x + 3 + (k % 2).cast("int"), y + 4, thick=1))
 
 
 def channel_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three of every four values, which stand for the channels of a frame."""
-    return _pixels(_images(spark, sf_dir), raster.first_channels(F.col("a")))
+    return _pixels(grey_images(spark, sf_dir), raster.first_channels(F.col("a")))
 
 
 def degradation_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage that synthesis runs, with every value drawn from the image's id: angle, sigma, kernel and rounds, erosion or dilation, noise."""
     byte = F.transform("a", lambda v: F.lpad(F.hex(v), 2, "0"))
-    rows = _images(spark, sf_dir).select("vec_id", F.lit(W).alias("height"), (F.size("a") / W).cast("int").alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(byte, "")).alias("data"))
+    rows = grey_images(spark, sf_dir).select("vec_id", F.lit(W).alias("height"), (F.size("a") / W).cast("int").alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(byte, "")).alias("data"))
     out = raster.degrade(raster.degradation_plan(rows, "vec_id", Settings(), 41))
     whole = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substr("data", i, F.lit(1))), 16, 10).cast("int"))
     return _pixels(out, whole)

@@ -194,7 +194,7 @@ def first_existing(*paths: str) -> str:
 
 def label_lines(spark: SparkSession, root: str) -> DataFrame:
     """(name, line_no, value) of label files."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(root)
+    rows = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(root, wholetext=True)
     named = rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("name"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return named.select("name", "line_no", "value")
 
