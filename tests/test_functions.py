@@ -1,4 +1,6 @@
-"""Exact vectors of boxes, labels, settings, regions and characters."""
+"""Exact vectors of boxes, labels, settings, regions, characters and numbers."""
+
+import bisect
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +144,22 @@ def test_settings():
 
 def test_hosted(tmp_path):
     assert params.hosted(str(tmp_path), ()) and params.hosted("/not/there", ("A", "B"), {"B": ""}) and not params.hosted("/not/there", ("A",), {})
+
+
+@pytest.mark.parametrize("far", [[], [10**12], [10**12, 1 << 62], [-(1 << 62), *(3**k for k in range(10, 39))]])
+def test_numbers_without_gaps_wherever_the_keys_lie(spark, far):
+    keys = [*range(5000, 9000), *far]
+    df = spark.createDataFrame([(k, "x") for k in keys], "k long, idx string").drop("idx")
+    got = {r.k: r.idx for r in numbering.dense(df, "k", 7, chunk=100).collect()}
+    assert got == {k: i + 7 for i, k in enumerate(sorted(keys))}
+    cuts = numbering.quantiles(df, "k", 40)
+    sizes = df.groupBy(numbering.part_of(F.col("k"), cuts)).count().collect()
+    assert len(sizes) >= 38 and max(r["count"] for r in sizes) <= 2 * len(keys) / 40
+
+
+def test_parts_by_a_tree(spark):
+    cuts = sorted({k * k for k in range(-30, 400)})
+    values = [*range(-5, 2000, 7), 10**9, -(10**9)]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", numbering.part_of(F.col("v"), cuts).alias("p")).collect()
+    assert all(r.p == bisect.bisect_right(cuts, r.v) for r in got)
+    assert numbering.quantiles(spark.range(0), "id", 8) == [] and numbering.dense(spark.range(0), "id").count() == 0
