@@ -1,18 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling (operator 2, DataFrame functions only).
 
 Rows of a source are taken in the order of the md5 of their key and cut into blocks.
-A run is cut into periods of ``resolution`` slots. In each, a source has whole
-tickets, a_s of them. Block k of its blocks there may not run before slot
-floor(k / w) and has to run before slot ceil((k + 1) / w), w = a_s / resolution.
-Earliest deadline first, over the blocks that are released, gives every slot one
-block (``schedule``). Tickets differ from period to period so that those of all
-periods so far are less than one away from the exact weight's (``turns``). So after
-any number of slots a source is less than two blocks away from its weight, however
-long the run, and less than one at the end of every period of a longer run.
-
-Every row is kept. A source that has run out leaves its later slots empty, so the
-others go on in proportion to their weights; ``exact`` tells whether a row lies
-before the first such slot.
+Slots are numbered from 0 and hold one block each. Block k of a source of weight w
+(a share of 1) is released at slot floor(k / w) and has to run before slot
+ceil((k + 1) / w). Earliest deadline first, over the blocks that are released, gives
+every slot one block, ties to the smaller source. So after any number of slots each
+source is less than one block away from its exact weight, however long the run.
+
+Weights count in whole units, UNITS for the largest, so a run would have to be 10^12
+slots long for that rounding to reach one block; all else is whole-number arithmetic. What a source is owed, its weight times the slots so far less what it has
+had, says whether its next block is released and when that is due, and stays below
+one block either way: the fold over slots carries one such number a source.
+
+Every row is kept, no slot stays empty. When a source runs out, the others go on in
+proportion to their weights, and the bound holds for them from there on; ``exact``
+tells whether a row lies before that happened first.
 
 A null source is a source like any other. Rows that repeat a key stay apart and
 follow each other. Null keys are ordered first. An empty table gives no rows. All
@@ -20,19 +22,23 @@ other columns come along, whatever their names, under the operator's own columns
 
 How it scales: the window that numbers the rows runs within a source and one of
 4096 hash ranges, so no source meets in one task, and a second, small one adds up
-the ranges before. Periods are worked out apart from each other; only their tickets
-follow from each other, one step for a period. Blocks meet their slots by a shuffle.
+the ranges before. Slots follow from each other, so they are worked out one after the
+other, ``STRETCH`` times ``STRETCH`` in a job that hands its state to the next by a
+checkpoint; that takes time in proportion to blocks times sources, and memory for one
+such piece. More rows to a block make fewer slots. Blocks meet their slots by a shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkplane.llm.common import crowded, cut
+from inkplane.llm.common import cut
 
-#: Slots of a period; hash ranges of a source are the first three hex digits of the md5 (4096).
-RESOLUTION, RANGE_DIGITS = 1000, 3
+#: Units of the largest weight; slots of a stretch; hash ranges of a source are the first three hex digits of the md5 (4096).
+UNITS, STRETCH, RANGE_DIGITS = 10**12, 512, 3
 BLOCK_ROWS = 16
 
 
@@ -42,103 +48,77 @@ def tempered(counts: DataFrame, power: float = 0.5) -> DataFrame:
     return counts.select("source", w.alias("weight"))
 
 
-def tickets(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
-    """(source, tickets): whole tickets that sum to the resolution, one at least for each source of positive weight.
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once: an array of one element names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Largest remainders; where some share is below one ticket, each source gets one
-    first. There may be no more sources than tickets: raise the resolution for more.
-    """
-    one = Window.partitionBy()
-    w = weights.filter(F.col("weight") > 0)
-    part, count = F.col("weight") / F.sum("weight").over(one), F.count("*").over(one)
-    w = w.withColumn("_part", part).withColumn("_count", count)
-    first = F.when(F.min("_part").over(one) * resolution < 1, 1).otherwise(0)
-    w = w.withColumn("_first", first).withColumn("_share", F.col("_part") * (F.lit(resolution) - F.col("_first") * F.col("_count")))
-    w = w.withColumn("_whole", F.floor("_share"))
-    left = F.lit(resolution) - F.sum(F.col("_whole") + F.col("_first")).over(one)
-    place = F.row_number().over(one.orderBy(F.desc(F.round(F.col("_share") - F.col("_whole"), 9)), F.col("source").asc_nulls_first()))
-    many = F.when(F.col("_count") > resolution, F.raise_error(F.lit("more sources than slots: raise the resolution"))).otherwise(F.lit(0))
-    made = (F.col("_whole") + F.col("_first") + many + F.when(place <= left, 1).otherwise(0)).cast("int")
-    return w.select("source", made.alias("tickets"))
-
-
-def schedule(shares: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
-    """(source, tickets, block, slot): the blocks of one period, each in its slot; with ``period`` if ``shares`` has it.
-
-    The loop over slots is one higher-order aggregate over the array of sources,
-    of a size fixed by the resolution.
-    """
-    key = [c for c in shares.columns if c == "period"]
-    sources = shares.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("tickets", F.col("source").alias("name")))).alias("s"))
-    sources = sources.filter(F.size("s") > 0)
 
-    def deadline(a: Column, k: Column) -> Column:
-        return F.ceil((k + 1) * F.lit(resolution) / a).cast("int")
+def _serve(state: Column, slot: Column) -> Column:
+    """The state after one more slot. Each of ``s`` is owed its units; the block released that is due first runs."""
+
+    def due(s: Column, i: Column) -> Column:
+        left = F.call_function("div", state["units"] - s["owed"] + s["units"] - 1, s["units"])
+        return F.when((s["units"] > 0) & (s["owed"] > 0), F.struct(left.alias("due"), i.alias("i")))
+
+    def given(x: Column) -> Column:
+        own = F.get(x["s"], x["i"])
+        last = F.coalesce(own["done"] + 1 == own["blocks"], F.lit(False))
 
-    def released(a: Column, k: Column) -> Column:
-        return F.floor(k * F.lit(resolution) / a).cast("int")
+        def each(s: Column, i: Column) -> Column:
+            runs = F.coalesce(i == x["i"], F.lit(False))
+            return F.struct(
+                F.when(runs & last, 0).otherwise(s["units"]).alias("units"),
+                F.when(last, 0).otherwise(s["owed"] - F.when(runs, state["units"]).otherwise(0)).alias("owed"),
+                (s["done"] + runs.cast("long")).alias("done"),
+                s["blocks"].alias("blocks"),
+            )
 
-    def step(state: Column, slot: Column) -> Column:
-        ready = F.transform("s", lambda x, i: F.struct(
-            F.when((F.get(state["done"], i) < x["tickets"]) & (released(x["tickets"], F.get(state["done"], i)) <= slot), deadline(x["tickets"], F.get(state["done"], i))).alias("due"),
-            i.alias("i")))
-        first = F.array_min(F.filter(ready, lambda x: x["due"].isNotNull()))
         return F.struct(
-            F.transform(state["done"], lambda k, i: F.when(i == first["i"], k + 1).otherwise(k)).alias("done"),
-            F.concat(state["order"], F.array(F.coalesce(first["i"], F.lit(-1)))).alias("order"),
+            F.transform(x["s"], each).alias("s"),
+            (state["units"] - F.when(last, own["units"]).otherwise(0)).alias("units"),
+            F.coalesce(state["first_out"], F.when(last, slot)).alias("first_out"),
+            F.concat(state["order"], F.array(F.struct(slot.alias("slot"), x["i"].alias("i"), own["done"].alias("block")))).alias("order"),
         )
 
-    start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-    run = sources.select(*key, "s", F.aggregate(F.sequence(F.lit(0), F.lit(resolution - 1)), start, step)["order"].alias("order"))
-    slots = run.select(*key, "s", F.posexplode("order").alias("slot", "i")).filter("i >= 0")
-    taken = slots.select(*key, F.get("s", F.col("i"))["name"].alias("source"), F.get("s", F.col("i"))["tickets"].alias("tickets"), "slot")
-    block = F.row_number().over(Window.partitionBy(*key, "source").orderBy("slot")) - 1
-    return taken.select(*key, "source", "tickets", block.alias("block"), "slot")
+    grown = F.transform(state["s"], lambda s: F.struct(s["units"].alias("units"), (s["owed"] + s["units"]).alias("owed"), s["done"].alias("done"), s["blocks"].alias("blocks")))
+    return _once(_once(grown, lambda s: F.struct(s.alias("s"), F.array_min(F.transform(s, due))["i"].alias("i"))), given)
+
+
+_ORDER = "array<struct<slot:bigint,i:int,block:bigint>>"
+_KEPT = ("s", "units", "first_out")
+
+
+def _stretches(first: int, slots: int) -> Column:
+    """The state after ``slots`` more slots, with their order in stretches: an array that grows slot by slot is copied each time."""
+
+    def stretch(state: Column, at: Column) -> Column:
+        start = F.struct(*[state[k].alias(k) for k in _KEPT], F.array().cast(_ORDER).alias("order"))
+        run = F.aggregate(F.sequence(at, at + (STRETCH - 1)), start, _serve)
+        return _once(run, lambda r: F.struct(*[r[k].alias(k) for k in _KEPT], F.concat(state["orders"], F.array(r["order"])).alias("orders")))
+
+    start = F.struct(*[F.col(k) for k in _KEPT], F.array().cast(f"array<{_ORDER}>").alias("orders"))
+    return F.aggregate(F.sequence(F.lit(first).cast("long"), F.lit(first + slots - 1).cast("long"), F.lit(STRETCH).cast("long")), start, stretch)
 
 
-def turns(weights: DataFrame, ends: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
-    """(period, source, tickets, before): whole tickets of every period, and those of the periods before.
+def schedule(weights: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, block, slot) of every block, and the one row (first_out) with the slot of the first source's last block.
 
-    ``ends`` has (source, blocks). A run of one period takes its tickets by largest
-    remainders. In a longer one, after periods of t slots in all, a source of weight w
-    has had floor(w * t) or ceil(w * t) tickets: what is due by then first, then the
-    blocks released, earliest deadline first. A weight below one ticket gets one in
-    some periods only.
+    ``weights`` has (source, weight), ``ends`` (source, blocks). Sources without positive weight are left out.
     """
-    one = Window.partitionBy()
-    w = weights.filter(F.col("weight") > 0).withColumn("part", F.col("weight") / F.sum("weight").over(one)).join(ends, "source")
-    w = w.withColumn("slots", F.max(F.ceil(F.round(F.col("blocks") / F.col("part"), 6))).over(one))
-    short = tickets(w.filter(F.col("slots") <= resolution).select("source", "weight"), resolution)
-    short = short.select(F.lit(0).alias("period"), "source", F.col("tickets").cast("long").alias("tickets"), F.lit(0).cast("long").alias("before"))
-    listed = w.filter(F.col("slots") > resolution).agg(F.array_sort(F.collect_list(F.struct("source", "part"))).alias("s"), F.max("slots").alias("slots"))
-    listed = listed.filter(F.size("s") > 0).withColumn("periods", F.ceil(F.col("slots") / F.lit(resolution)).cast("int"))
-
-    def owed(had: Column, period: Column) -> Column:
-        """Tickets due by the end of a period, and the deadline of one more where that is released."""
-
-        def each(x: Column, i: Column) -> Column:
-            goal = F.round(x["part"] * (period * F.lit(resolution)), 6)
-            free = (goal > F.floor(goal)) & (F.get(had, i) <= F.floor(goal))
-            return F.struct(F.greatest(F.floor(goal), F.get(had, i)).alias("due"), F.when(free, F.struct(((F.floor(goal) + 1) / x["part"]).alias("at"), i.alias("i"))).alias("more"))
-
-        return F.transform("s", each)
-
-    def advance(state: Column, period: Column) -> Column:
-        def given(due: Column) -> Column:
-            left = (period * F.lit(resolution) - F.aggregate(due, F.lit(0).cast("long"), lambda n, x: n + x["due"])).cast("int")
-            last = F.get(F.array_sort(F.filter(F.transform(due, lambda x: x["more"]), lambda m: m.isNotNull())), left - 1)
-            # an array of one element names what is used for every source
-            return F.flatten(F.transform(F.array(last), lambda m: F.transform(due, lambda x: x["due"] + F.coalesce(x["more"] <= m, F.lit(False)).cast("long"))))
-
-        had = F.transform(F.array(owed(F.element_at(state, -1), period)), given)
-        return F.concat(state, had)
-
-    start = F.array(F.transform("s", lambda x: F.lit(0).cast("long")))
-    run = listed.select("s", F.aggregate(F.sequence(F.lit(1), F.col("periods")), start, advance).alias("all"))
-    periods = run.select("s", F.explode(F.transform(F.slice("all", F.lit(1), F.size("all") - 1), lambda had, p: F.struct(p.alias("period"), had.alias("had"), F.get("all", p + 1).alias("next")))).alias("p"))
-    sources = periods.select(F.col("p.period").alias("period"), F.explode(F.arrays_zip("s", F.col("p.had").alias("had"), F.col("p.next").alias("next"))).alias("x"))
-    long = sources.select("period", F.col("x.s.source").alias("source"), (F.col("x.next") - F.col("x.had")).alias("tickets"), F.col("x.had").alias("before"))
-    return short.unionByName(long.filter("tickets > 0"))
+    w = weights.filter(F.col("weight") > 0).join(ends, "source")
+    units = F.greatest(F.floor(F.col("weight") / F.max("weight").over(Window.partitionBy()) * F.lit(float(UNITS)) + 0.5).cast("long"), F.lit(1).cast("long"))
+    zero = F.lit(0).cast("long")
+    w = w.select("source", units.alias("units"), F.col("blocks").cast("long").alias("blocks"))
+    both = F.struct("source", F.struct("units", zero.alias("owed"), zero.alias("done"), "blocks").alias("s"))
+    state = w.agg(F.array_sort(F.collect_list(both)).alias("all"), F.sum("units").alias("units"), F.sum("blocks").alias("slots"))
+    state = cut(state.select(F.col("all.source").alias("names"), F.col("all.s").alias("s"), "units", F.lit(None).cast("long").alias("first_out"), "slots"))
+    total, piece, pieces = state.first()["slots"] or 0, STRETCH * STRETCH, []
+    for first in range(0, max(total, 1), piece):
+        run = cut(state.select("names", _stretches(first, max(min(piece, total - first), 1)).alias("r")))
+        pieces.append(run.select("names", F.explode(F.flatten("r.orders")).alias("o")).filter("o.i IS NOT NULL"))
+        state = run.select("names", *[F.col(f"r.{k}") for k in _KEPT])
+    placed = reduce(DataFrame.unionByName, pieces)
+    return placed.select(F.get("names", F.col("o.i")).alias("source"), F.col("o.block").alias("block"), F.col("o.slot").alias("slot")), state.select("first_out")
 
 
 def _spelled(source: Column) -> Column:
@@ -161,7 +141,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 MADE = ("mix_block", "mix_slot", "mix_place", "mix_exact")
 
 
-def mix(df: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
+def mix(df: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df`` with ``mix_block`` (number within the source), ``mix_slot``, ``mix_place`` (row of the block) and ``mix_exact``.
 
     Reading in order of (mix_slot, mix_place) gives the mixture. ``weights`` has
@@ -174,17 +154,12 @@ def mix(df: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", so
     if weights is not None:
         weights = weights.select(_spelled(F.col("source")).alias("source"), "weight").join(counts.select("source"), "source")
     sizes = counts.select("source", F.ceil(F.col("n") / F.lit(block_rows)).alias("blocks"))
-    shares = cut(turns(tempered(counts) if weights is None else weights, sizes, resolution))
-    made = schedule(shares.select("period", "source", "tickets").repartition(crowded(df.sparkSession), "period"), resolution)
-    made = made.join(shares.select("period", "source", "before"), ["period", "source"])
-    places = made.select(F.col("source").alias("_source"), (F.col("before") + F.col("block")).alias("mix_block"), (F.col("period").cast("long") * resolution + F.col("slot")).alias("mix_slot"))
-    places = cut(places)
-    last = sizes.select(F.col("source").alias("_source"), (F.col("blocks") - 1).alias("mix_block")).join(places, ["_source", "mix_block"])
-    horizon = last.agg(F.min("mix_slot").alias("_horizon"))
+    placed, horizon = schedule(tempered(counts) if weights is None else weights, sizes)
+    places = placed.select(F.col("source").alias("_source"), F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"))
     rows = numbered(rows).withColumn("mix_block", F.floor(F.col("_n") / F.lit(block_rows)).cast("long"))
     rows = rows.join(places, ["_source", "mix_block"]).withColumn("mix_place", F.pmod("_n", F.lit(block_rows)).cast("int"))
     rows = rows.crossJoin(F.broadcast(horizon))  # one row
-    return rows.select("_row.*", "mix_block", "mix_slot", "mix_place", (F.col("mix_slot") <= F.col("_horizon")).alias("mix_exact"))
+    return rows.select("_row.*", "mix_block", "mix_slot", "mix_place", (F.col("mix_slot") <= F.col("first_out")).alias("mix_exact"))
 
 
 def in_order(mixed: DataFrame, partitions: int) -> DataFrame:

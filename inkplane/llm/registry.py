@@ -87,34 +87,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 OP2_SQL = """
-WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-parts AS (
-  SELECT coalesce('=' || source, '') AS source, n, count(*) OVER () AS sources, sqrt(CAST(n AS DOUBLE)) / sum(sqrt(CAST(n AS DOUBLE))) OVER () AS part FROM counts),
-firsts AS (SELECT *, CASE WHEN min(part) OVER () * 1000 < 1 THEN 1 ELSE 0 END AS one_each FROM parts),
-shares AS (SELECT *, part * (1000 - one_each * sources) AS share FROM firsts),
-wholes AS (SELECT *, CAST(floor(share) AS INTEGER) AS whole FROM shares),
-placed AS (
-  SELECT *, row_number() OVER (ORDER BY round(share - whole, 9) DESC, source) AS place,
-    1000 - sum(whole + one_each) OVER () AS left_over FROM wholes),
-given AS (SELECT source, n, CAST(whole + one_each + CASE WHEN place <= left_over THEN 1 ELSE 0 END AS INTEGER) AS tickets FROM placed),
-named AS (SELECT *, row_number() OVER (ORDER BY tickets, source) AS i FROM given),
-lists AS (SELECT list(tickets ORDER BY i) AS a FROM named),
+WITH RECURSIVE counts AS (
+  SELECT coalesce('=' || source, '') AS source, (count(*) + 15) // 16 AS blocks, sqrt(CAST(count(*) AS DOUBLE)) AS weight FROM documents GROUP BY source),
+named AS (
+  SELECT source, blocks, greatest(CAST(floor(weight / max(weight) OVER () * 1e12 + 0.5) AS BIGINT), 1) AS units, row_number() OVER (ORDER BY source) AS i FROM counts),
+lists AS (SELECT list(units ORDER BY i) AS w, list(blocks ORDER BY i) AS b, sum(blocks) AS slots FROM named),
 run AS (
-  SELECT -1 AS slot, 0::BIGINT AS chosen, list_transform(a, lambda x: 0::BIGINT) AS done FROM lists
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS chosen, CAST(0 AS BIGINT) AS block, false AS last, CAST(0 AS BIGINT) AS start,
+    list_transform(b, lambda x: CAST(0 AS BIGINT)) AS done, list_transform(b, lambda x: CAST(0 AS BIGINT)) AS begun FROM lists
   UNION ALL
-  SELECT slot + 1, pick, list_transform(done, lambda k, i: CASE WHEN i = pick THEN k + 1 ELSE k END) FROM (
-    SELECT slot, done, list_sort(list_filter(list_transform(done, lambda k, i:
-      CASE WHEN k < a[i] AND floor(k * 1000.0 / a[i]) <= slot + 1 THEN {'due': CAST(ceil((k + 1) * 1000.0 / a[i]) AS BIGINT), 'i': CAST(i AS BIGINT)} END),
-      lambda x: x IS NOT NULL))[1].i AS pick FROM run, lists WHERE slot < 999)),
-period AS (SELECT source, tickets, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block, slot FROM run JOIN named ON chosen = i),
-ends AS (
-  SELECT min(((n + 15) // 16 - 1) // p.tickets * 1000 + slot) AS horizon
-  FROM given g JOIN period p USING (source) WHERE ((n + 15) // 16 - 1) % p.tickets = block),
+  SELECT slot + 1, pick, done[pick], done[pick] + 1 = b[pick], CASE WHEN done[pick] + 1 = b[pick] THEN slot + 2 ELSE start END,
+    list_transform(done, lambda k, i: CASE WHEN i = pick THEN k + 1 ELSE k END),
+    CASE WHEN done[pick] + 1 = b[pick] THEN list_transform(done, lambda k, i: CASE WHEN i = pick THEN k + 1 ELSE k END) ELSE begun END
+  FROM (
+    SELECT slot, start, done, begun, b, list_sort(list_filter(list_transform(done, lambda k, i:
+      CASE WHEN k < b[i] AND (CAST(k - begun[i] AS HUGEINT) * total) // w[i] <= slot + 1 - start
+        THEN {'due': (CAST(k - begun[i] + 1 AS HUGEINT) * total + w[i] - 1) // w[i], 'i': CAST(i AS BIGINT)} END), lambda x: x IS NOT NULL))[1].i AS pick
+    FROM (SELECT run.*, w, b, CAST(list_sum(list_transform(w, lambda x, i: CASE WHEN done[i] < b[i] THEN x ELSE 0 END)) AS HUGEINT) AS total
+      FROM run, lists WHERE slot + 1 < slots))),
+horizon AS (SELECT min(slot) AS first_out FROM run WHERE last),
 numbers AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), CAST(doc_id AS VARCHAR) NULLS FIRST) - 1 AS n FROM documents)
-SELECT doc_id, r.source, CAST(r.n // 16 AS BIGINT) AS mix_block, CAST(r.n // 16 // p.tickets * 1000 + slot AS BIGINT) AS mix_slot,
-  CAST(r.n % 16 AS INTEGER) AS mix_place, r.n // 16 // p.tickets * 1000 + slot <= horizon AS mix_exact
-FROM numbers r JOIN period p ON p.source = coalesce('=' || r.source, '') AND (r.n // 16) % p.tickets = p.block, ends
+SELECT doc_id, r.source, CAST(r.n // 16 AS BIGINT) AS mix_block, slot AS mix_slot, CAST(r.n % 16 AS INTEGER) AS mix_place, slot <= first_out AS mix_exact
+FROM numbers r JOIN named s ON s.source = coalesce('=' || r.source, '') JOIN run ON chosen = s.i AND block = r.n // 16, horizon
 """
 
 OP3_SQL = """
