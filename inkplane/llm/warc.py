@@ -1,9 +1,11 @@
 """Deterministic sharded WARC archives: writer and reader (operator 9).
 
 Writer. Rows get a shard from a histogram of their keys, so shards are ranges of
-keys of about ``shard_bytes``, the same whatever the partitions; a cell of the histogram
-that holds more is cut once more, into equal parts between its own first and last key. A task sorts its
-shards by key, writes one gzip member for each record and starts a new file once
+keys of about ``shard_bytes``, the same whatever the partitions. A cell of the histogram
+that holds more than a shard and more than a thousandth of all is cut anew, between its
+own first and last key, until it does not or has one key only; so keys far off, however
+many, leave the shards of the others as they are. What then holds several shards is cut
+evenly by key. A task sorts its shards by key, writes one gzip member for each record and starts a new file once
 ``roll_bytes`` compressed bytes are reached. Headers, ids and digests are made anew
 from the row. A file is written under a temporary name and renamed when it is
 whole; the manifest, written last, lists the files that count. A task that runs
@@ -23,7 +25,7 @@ import gzip
 import hashlib
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from inkplane.llm.common import crowded, cut, fresh_path
 
 SHARD_BYTES, ROLL_BYTES, CELLS = 4 << 20, 2 << 20, 1 << 14
+#: Shares of all bytes above which a cell is crowded (so that there are no more crowded ones than that), and the parts it is cut into.
+SHARES, PARTS = 1024, 64
 #: What a record costs besides its payload, when shards are filled.
 HEADER_BYTES = 512
 DATE = "1970-01-01T00:00:00Z"
@@ -136,6 +140,36 @@ def _write(batches: Iterator[pa.RecordBatch], root: str, limit: int) -> Iterator
     yield _entries(done)
 
 
+def _cells(facts: DataFrame, shard_bytes: int) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
+    """A function that gives rows of (key, sha) their cell, and the shards of every cell: (cell, low, high, first, parts).
+
+    The number of cells is bounded whatever the table holds: CELLS of equal width over
+    the range of keys, and PARTS for each of at most SHARES crowded ones in every round.
+    A round narrows a crowded cell to a PARTS-th, so 64-bit keys take nine at most.
+    """
+    ends = facts.agg(F.min("key").cast("double").alias("_low"), F.max("key").cast("double").alias("_high"), F.sum(F.col("n") + HEADER_BYTES).alias("all"))
+    ends = cut(ends)
+    rounds: list[DataFrame] = []
+
+    def celled(x: DataFrame) -> DataFrame:
+        place = F.floor((F.col("key") - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * CELLS)
+        none = -1 - F.pmod(F.crc32("sha"), F.lit(64))  # rows without key
+        x = x.crossJoin(F.broadcast(ends.drop("all"))).withColumn("cell", F.coalesce(place, none).cast("string")).drop("_low", "_high")
+        for crowd in rounds:
+            part = F.floor((F.col("key") - F.col("_low")).cast("double") / (F.col("_high") - F.col("_low") + 1) * PARTS)
+            x = x.join(F.broadcast(crowd), "cell", "left").withColumn("cell", F.coalesce(F.concat("cell", F.lit("."), part.cast("string")), "cell")).drop("_low", "_high")
+        return x
+
+    while True:
+        cells = cut(celled(facts).groupBy("cell").agg(F.sum(F.col("n") + HEADER_BYTES).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")))
+        crowd = cells.crossJoin(F.broadcast(ends.select("all"))).filter((F.col("n") > shard_bytes) & (F.col("n") * SHARES > F.col("all")) & (F.col("low") < F.col("high")))
+        if crowd.isEmpty():
+            break
+        rounds.append(crowd.select("cell", F.col("low").alias("_low"), F.col("high").alias("_high")))
+    before = F.sum("n").over(Window.orderBy(F.col("low").asc_nulls_first(), "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    return celled, cells.select("cell", "low", "high", F.floor(before / F.lit(shard_bytes)).alias("first"), F.ceil(F.col("n") / F.lit(shard_bytes)).alias("parts"))
+
+
 def write(df: DataFrame, root: str, key: str = "page_id", target: str = "url", payload: str = "html", min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the archive below the URI ``root`` and returns its manifest, which is also kept there."""
     files, path = fs.FileSystem.from_uri(root)
@@ -143,18 +177,8 @@ def write(df: DataFrame, root: str, key: str = "page_id", target: str = "url", p
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(target).cast("string").alias("target"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     facts = cut(rows.select("key", "sha", F.octet_length("payload").cast("long").alias("n")))
-    # shards: cells of equal width over the range of keys, a fixed number, filled up in order
-    ends = facts.agg(F.min("key").cast("double").alias("low"), F.max("key").cast("double").alias("high"))
-
-    def celled(x: DataFrame) -> DataFrame:
-        place = F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low") + 1) * CELLS)
-        none = -1 - F.pmod(F.crc32("sha"), F.lit(64))  # rows without key
-        return x.crossJoin(F.broadcast(ends)).withColumn("cell", F.coalesce(place, none).cast("int")).drop("low", "high")
-
-    cells = celled(facts).groupBy("cell").agg(F.sum(F.col("n") + HEADER_BYTES).alias("n"), F.min("key").cast("double").alias("low"), F.max("key").cast("double").alias("high"))
-    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    shards = cells.select("cell", "low", "high", F.floor(before / F.lit(shard_bytes)).alias("first"), F.ceil(F.col("n") / F.lit(shard_bytes)).alias("parts"))
-    within = F.coalesce(F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.col("parts")), F.lit(0))
+    celled, shards = _cells(facts, shard_bytes)
+    within = F.coalesce(F.floor((F.col("key") - F.col("low")).cast("double") / (F.col("high") - F.col("low") + 1) * F.col("parts")), F.lit(0))
     # repeated payloads: (key, sha) of their rows with the key that wins
     repeated = facts.filter(F.col("n") >= min_bytes).groupBy("sha").agg(F.count("*").alias("c"), F.max("key").alias("winner")).filter("c > 1")
     notes = facts.join(repeated.select("sha", "winner"), "sha").filter(F.col("key").isNotNull()).select("key", "sha", "winner").distinct()
