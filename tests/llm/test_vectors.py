@@ -40,6 +40,34 @@ def test_topk_equals_brute_force(spark, monkeypatch, spread):
     assert {q: sorted(v) for q, v in got.items()} == want
 
 
+def test_floors_prune_and_lose_nothing():
+    """Vectors of one length: the floors of a first block leave less than half of the other pairs, and all that reach them."""
+    rng = np.random.default_rng(6)
+    v = np.floor(256 * (m := rng.normal(size=(4000, 64))) / np.linalg.norm(m, axis=1, keepdims=True))
+    v = v[np.argsort(-(v * v).sum(axis=1))]
+    length = np.sqrt((v * v).sum(axis=1))
+    turned, left = np.ascontiguousarray(v.T), 0
+    for q in v[::50]:
+        score = v @ q
+        floor = np.sort(score[rng.choice(4000, 512, replace=False)])[-5]
+        at = topk.candidates(q, turned, length, float(floor))
+        assert set(np.flatnonzero(score >= floor)) <= set(at)
+        left += len(at)
+    assert left < 80 * 4000 / 2
+    print(f"pairs left: {left / 80 / 4000:.2f}")
+
+
+def test_topk_seeds_split_one_class(spark, monkeypatch):
+    """A first pass far smaller than the class, and one too small to give floors, change nothing."""
+    m, rows = made(seed=9)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = []
+    for seed in (512, 16, 1):
+        monkeypatch.setattr(topk, "SEED", seed)
+        found.append(sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0, 5).collect())))
+    assert found[0] == found[1] == found[2] and found[0]
+
+
 def test_nearest_equals_brute_force(spark, monkeypatch):
     m, rows = made(seed=2)
     monkeypatch.setattr("inkplane.llm.tiles.VECTOR_BLOCK", 128)
