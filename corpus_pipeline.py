@@ -2,7 +2,8 @@
 
 Every stage takes the documents that the one before kept and returns their columns;
 the last returns token counts and digests with places in the mixture, which order
-the rows of ``run``. ``run`` writes each stage as Parquet in
+the rows of ``run``; it reads them off the order in which the mixture stage left its
+files and rows. ``run`` writes each stage as Parquet in
 the shared folder and reads it again, so a lost executor never costs more than the
 stage at hand.
 
@@ -14,11 +15,12 @@ as do the others, and one of them stays.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkplane.llm import bpe, langid, lines, mixing, simhash
-from inkplane.llm.common import crowded, cut, fresh_path, table
+from inkplane.llm.common import crowded, cut, fresh_path, stored, table
 from inkplane.llm.registry import tokenizer_path
 
 
@@ -53,16 +55,37 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture: read file by file, row by row, they follow the target weights."""
+    """All documents in the order of the mixture: read file by file, row by row, they follow the target weights.
+
+    That order is the stage's result: the next one takes its places from it and schedules nothing.
+    """
     return mixing.in_order(mixing.mix(docs), crowded(spark)).select(docs.columns)
 
 
+def standing(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with ``_at``: file (partition, path) and row where each stands; None if they stand in no files."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        part = F.regexp_extract(at["file_name"], r"^part-(\d+)", 1).try_cast("long")
+        file = F.struct(part.alias("part"), at["file_path"].alias("path"))
+        return docs.withColumn("_at", F.struct(file.alias("file"), at["row_index"].alias("row")))
+    except AnalysisException:
+        return None
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document left, with its place in the mixture (mix_slot, mix_place)."""
-    rows = docs.select(F.struct("doc_id", "source").alias("doc_id"), "text")
-    # the mixture reads its rows twice: these are encoded once, and small
-    made = cut(bpe.tokens(rows, tokenizer_path())).withColumn("source", F.col("doc_id.source")).withColumn("doc_id", F.col("doc_id.doc_id"))
-    return mixing.mix(made).drop("source", "mix_block", "mix_exact")
+    """Token counts and digests of every document left, with the place in the mixture (mix_slot, mix_place) that it stands at.
+
+    Documents that stand in no files have no order: they are mixed and written first.
+    """
+    rows = standing(docs)
+    if rows is None:
+        rows = standing(stored(mix_sources(spark, docs, sf_dir), "mixture"))
+    rows = rows.select(F.struct("doc_id", "source", "_at").alias("doc_id"), "text")
+    # the places are counted in two passes: rows are encoded once, and small
+    made = cut(bpe.tokens(rows, tokenizer_path()))
+    made = made.select("*", F.col("doc_id._at.file").alias("_file"), F.col("doc_id._at.row").alias("_at"), F.col("doc_id.source").alias("source"))
+    return mixing.read_back(made.withColumn("doc_id", F.col("doc_id.doc_id")), "_file", "_at").drop("source")
 
 
 STAGES = [

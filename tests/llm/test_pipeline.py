@@ -95,6 +95,31 @@ def test_mixture_orders_the_result(spark, tmp_path):
     assert sorted((r.mix_slot, r.mix_place, r.doc_id) for r in placed) == mixture([(d, source[d]) for d in got])
 
 
+def test_tokens_stand_where_the_mixture_put_them(spark, tmp_path, monkeypatch):
+    """Whatever the mixture stage decides is the order of the result; a stage that mixes otherwise gives another one."""
+    rows = documents()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    weights = spark.createDataFrame([("s0", 1.0), ("s1", 5.0), ("s2", 3.0)], "source string, weight double")
+    seen = []
+
+    def weighted(spark, docs, sf_dir):
+        mixed = corpus_pipeline.mixing.mix(docs, weights, block_rows=16).persist()
+        seen.append([(r.mix_slot, r.mix_place, r.doc_id) for r in mixed.sort("mix_slot", "mix_place").collect()])
+        return corpus_pipeline.mixing.in_order(mixed, 3).select(docs.columns)
+
+    def turned(spark, docs, sf_dir):
+        return docs.repartitionByRange(3, docs["doc_id"].desc()).sortWithinPartitions(docs["doc_id"].desc())
+
+    for stage in (weighted, turned):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage if n == "mixture" else s) for n, s in corpus_pipeline.STAGES])
+        got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+        assert len(got) > 60 and got == ([d for _, _, d in seen[0]] if stage is weighted else sorted(got, reverse=True))
+    docs = spark.createDataFrame([r for r in rows if r[0] in got], SCHEMA)
+    weighted(spark, docs, "").write.parquet(f"{tmp_path}/mixed.parquet")
+    placed = corpus_pipeline.encode_tokens(spark, spark.read.parquet(f"{tmp_path}/mixed.parquet"), "").collect()
+    assert sorted((r.mix_slot, r.mix_place, r.doc_id) for r in placed) == seen[1]
+
+
 def test_stages_keep_columns_and_clean_documents(spark):
     docs = spark.createDataFrame([(*r, "more", 1) for r in documents()], SCHEMA + ", lang_pred string, k int")
     sizes = []
