@@ -52,10 +52,11 @@ BAND_BYTES, ENTRY = 5, 5 + 8 + BITS // 8
 FILTER = 1 << 25
 #: Lines of a block; rows gathered before blocks are compared.
 BLOCK, GATHER = 256, 8192
+#: Characters that are hashed at a time (twice as many by 32 bits), so that the work stays in a core's cache; buckets that bound a common part.
+STEP, BUCKETS = 1 << 15, 256
 #: White space of blank lines.
 BLANK = " \t\n\x0b\f\r"
 _RNG = np.random.default_rng(77)
-_FLIP = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
 _TIMES = _RNG.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * 2 + 1
 
 
@@ -81,40 +82,66 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
+def runs(size: np.ndarray, limit: int) -> Iterator[slice]:
+    """Consecutive runs of lines whose sizes add up to ``limit`` at most; one line at least."""
+    ends, start = np.cumsum(size), 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        yield slice(start, end)
+        start = end
+
+
+def _chars(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of all lines, where each line's begin). Short lines are filled up with line feeds, which no line has."""
+    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\n") for x in lines]
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(length) - length
+
+
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the shingles of all lines, where each line's begin). No line may be empty."""
-    length = np.array([len(x) for x in lines])
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    begin, times = np.cumsum(length) - length, np.uint64(0x9E3779B97F4A7C15)
-    starts = np.cumsum(np.maximum(length - SHINGLE + 1, 1)) - np.maximum(length - SHINGLE + 1, 1)
+    chars, begin = _chars(lines)
     n = max(len(chars) - SHINGLE + 1, 0)
-    code = chars[:n] * times
-    for i in range(1, SHINGLE):
-        code += chars[i : i + n]
-        if i < SHINGLE - 1:
-            code *= times
-    own = np.ones(len(chars), bool)  # places whose run lies in their line, and the first place of short lines
+    code, times = np.empty(n, np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, STEP):
+        part, wide = code[at : at + STEP], chars[at : at + STEP + SHINGLE - 1].astype(np.uint64)
+        np.multiply(wide[: len(part)], times, out=part)
+        for i in range(1, SHINGLE):
+            part += wide[i : i + len(part)]
+            if i < SHINGLE - 1:
+                part *= times
+        _mix(part)
+    own = np.ones(n, bool)  # runs that don't reach into the next line
     for i in range(1, SHINGLE):
-        own[np.maximum(begin + length - i, begin)] = False
-    own[begin] = True
-    found = np.concatenate([code[own[:n]], np.zeros(int(own[n:].sum()), np.uint64)])
-    for i in np.flatnonzero(length < SHINGLE):  # the whole line, told apart from longer runs by its length
-        value = int(length[i])
-        for c in lines[i]:
-            value = (value * 0x9E3779B97F4A7C15 + ord(c) + 1) % (1 << 64)
-        found[starts[i]] = value
-    return _mix(found), starts
+        own[begin[1:] - i] = False
+    return code[own], begin - np.arange(len(begin)) * (SHINGLE - 1)
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """(hash, line) matrix of least values."""
-    hashes, starts = shingles(lines)
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out, buffer = np.empty((ROWS * BANDS, len(lines)), np.uint32), np.empty_like(low)
-    for i in range(ROWS * BANDS):
-        np.bitwise_xor(low, _FLIP[i], out=buffer)
-        np.multiply(buffer, _TIMES[i], out=buffer)
-        out[i] = np.minimum.reduceat(buffer, starts)
+    """(hash, line) matrix of least values: products of 32-bit hashes of the shingles with odd numbers."""
+    length = np.maximum(np.fromiter(map(len, lines), np.int64, len(lines)), SHINGLE)
+    out, buffer = np.empty((ROWS * BANDS, len(lines)), np.uint32), np.empty(0, np.uint32)
+    for run in runs(length, 2 * STEP):
+        chars, begin = _chars(lines[run])
+        n = len(chars) - SHINGLE + 1
+        low, times = chars[:n] * np.uint32(0x9E3779B1), np.uint32(0x9E3779B1)
+        for i in range(1, SHINGLE):
+            low += chars[i : i + n]
+            if i < SHINGLE - 1:
+                low *= times
+        buffer = np.empty_like(low) if len(buffer) < n else buffer
+        spread = buffer[:n]
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            np.right_shift(low, np.uint32(shift), out=spread)
+            low ^= spread
+            low *= np.uint32(factor)
+        np.right_shift(low, np.uint32(16), out=spread)
+        low ^= spread
+        # every other piece is a line's own; those between reach into the next line
+        pieces = np.stack([begin, begin + length[run] - SHINGLE + 1], 1).ravel()[:-1]
+        for i in range(ROWS * BANDS):
+            np.multiply(low, _TIMES[i], out=spread)
+            out[i, run] = np.minimum.reduceat(spread, pieces)[::2]
     return out
 
 
@@ -160,13 +187,8 @@ def _entries(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
             if not len(k):
                 continue
             order = np.argsort(first)
-            k, lines = k[order], pa.RecordBatch.from_arrays([pa.array([lines[i] for i in first[order]])], ["line"])
-            values, marks = [], []
-            for at, m in text_slices(lines, "line", 1 << 18):
-                least = signatures(lines.column(0).slice(at, m).to_pylist())
-                values.append(band_values(least))
-                marks.append(one_bits(least))
-            value, mark = np.concatenate(values).ravel(), np.repeat(np.concatenate(marks), BANDS)
+            k, least = k[order], signatures([lines[i] for i in first[order]])
+            value, mark = band_values(least).ravel(), np.repeat(one_bits(least), BANDS)
             target = (value >> np.uint64(64 - bits)).astype(np.uint16)
             order = np.argsort(target, kind="stable")
             entries = np.empty((len(value), ENTRY), np.uint8)
@@ -207,7 +229,14 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(new), np.uint8).reshape(-1, ENTRY)
         found = (*(_column(rows, start, width) for start, width in ((0, BAND_BYTES), (BAND_BYTES, 8), (BAND_BYTES + 8, BITS // 8))), np.zeros(len(rows), np.uint64))
         band, k, mark, state = (np.concatenate(pair) for pair in zip(kept, found, strict=True))
-        order = np.lexsort((2 - state, k, band))
+        order = np.argsort(band)
+        same = band[order[1:]] == band[order[:-1]]
+        company = np.zeros(len(order), bool)
+        company[1:] |= same
+        company[:-1] |= same
+        lone, order = order[~company], order[company]  # most bands have one line, which only later parts can meet
+        lone = none if last else (band[lone], k[lone], mark[lone], np.maximum(state[lone], np.uint64(1)))
+        order = order[np.lexsort((2 - state[order], k[order], band[order]))]
         single = np.ones(len(order), bool)
         single[1:] = (band[order[1:]] != band[order[:-1]]) | (k[order[1:]] != k[order[:-1]])
         band, k, mark, state = (x[order[single]] for x in (band, k, mark, state))
@@ -222,7 +251,8 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = none
         else:
             stay = head | ~crowd
-            kept = tuple(x[stay] for x in (band, k, mark, np.where(crowd, np.uint64(2), np.uint64(1))))
+            found = (band, k, mark, np.where(crowd, np.uint64(2), np.uint64(1)))
+            kept = tuple(np.concatenate([x[stay], y]) for x, y in zip(found, lone, strict=True))
         new, waiting = [], 0
         whole = (np.uint64(target) << np.uint64(8 * BAND_BYTES) | band[go]).view(np.int64)
         k = k.view(np.int64)
@@ -252,10 +282,16 @@ def linked(sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple
     """
     n, label, out = len(sets), np.arange(len(sets)), []
     size = np.array([len(s) for s in sets])
+    # lines have no more in common than their buckets of hashes have
+    bucket = np.repeat(np.arange(n), size) * BUCKETS + (np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64)
+    held = np.bincount(bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    held = held.astype(np.uint16) if held.max() < 1 << 16 else held
     for i in range(n - 1):
         others = np.arange(i + 1, n)
         others = others[(label[others] != label[i]) & ((side[others] != side[i]) | (side[i] == 2))]
         others = others[np.minimum(size[others], size[i]) >= least * np.maximum(size[others], size[i]) - 1e-9]
+        most = np.minimum(held[others], held[i]).sum(axis=1, dtype=np.int64)
+        others = others[most >= least * (size[i] + size[others] - most) - 1e-9]
         if not len(others):
             continue
         both = np.concatenate([sets[j] for j in others])
@@ -304,22 +340,22 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 def similar(a: list[str], b: list[str], least: float) -> np.ndarray:
     """Whether the shingle sets of a[i] and b[i] have Jaccard similarity ``least``, for up to 65,536 pairs."""
 
-    def keyed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Different (pair, hash) of all lines, sorted, and their number by pair."""
-        hashes, starts = shingles(lines)
-        pair = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(hashes))))
-        keys = distinct(pair << np.uint64(48) | hashes >> np.uint64(16))
-        return keys, np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=len(lines))
-
-    (x, nx), (y, ny) = keyed(a), keyed(b)
-    both = np.sort(np.concatenate([x, y]))
-    common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(a))
-    return common >= least * (nx + ny - common) - 1e-9
+    hashes, starts = shingles(a + b)
+    side = np.arange(2 * len(a), dtype=np.uint64)
+    mark = np.where(side < len(a), side << np.uint64(48), (side - np.uint64(len(a))) << np.uint64(48) | np.uint64(1))  # pair, then side in the lowest bit
+    keys = hashes >> np.uint64(17)
+    keys <<= np.uint64(1)
+    keys |= np.repeat(mark, np.diff(np.append(starts, len(hashes))))
+    keys = distinct(keys)
+    pair = (keys >> np.uint64(48)).astype(np.int64)
+    keys >>= np.uint64(1)
+    common = np.bincount(pair[1:][keys[1:] == keys[:-1]], minlength=len(a))
+    return common >= least * (np.bincount(pair, minlength=len(a)) - common) - 1e-9
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, n in text_slices(batch, "x", 1 << 18):
+        for start, n in text_slices(batch, "x", 1 << 16):
             for at in range(start, start + n, 1 << 14):
                 part = batch.slice(at, min(1 << 14, start + n - at))
                 near = similar(part.column("x").to_pylist(), part.column("y").to_pylist(), least)
@@ -425,7 +461,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: float =
     keepers = cut(firsts.filter(F.col("root").isNotNull()).join(keep, "root").select("k", "keep").unionByName(alone))
     gone = occurrences.join(keepers, "k").filter(F.col("at") != F.col("keep"))
     drops = gone.groupBy("at.d", "at.h").agg(F.collect_set("at.n").alias("drop"))
-    rows = packed(docs, "_row", "d", "h").join(drops, ["d", "h"], "left").select("_row", "t", "drop")
+    rows = packed(docs, "_row", "d", "h", level=1).join(drops, ["d", "h"], "left").select("_row", "t", "drop")
     made = rows.mapInArrow(_drop, f"_row {docs.schema['_row'].dataType.simpleString()}, t string, n_lines int, n_dropped int")
     columns = [F.col("t").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names]
     return made.select(*columns, "n_lines", "n_dropped")

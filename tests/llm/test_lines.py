@@ -184,3 +184,37 @@ def test_lines_apart_from_the_first_of_a_crowded_band(spark, monkeypatch):
     rows = [(i, x, "x", 1, 1) for i, x in enumerate(chain)] + [(50, "something else altogether", "x", 1, 1)]
     out = {r.doc_id: r.n_dropped for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {i: int(0 < i < 12) for i in [*range(12), 50]}
+
+
+def test_blocks_search_no_strangers(monkeypatch):
+    """Lines whose buckets of hashes rule a link out aren't searched; all links are found all the same."""
+    rng = np.random.default_rng(16)
+    line = lambda: "".join(rng.choice(list("abcdefghij klm"), 300))
+    texts, searched = [line() for _ in range(60)], []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *args: searched.append(len(v)) or search(a, v, *args))
+
+    def found(texts):
+        searched.clear()
+        s = [lines.distinct(lines.shingles([x])[0]) for x in texts]
+        return lines.linked(s, np.full(len(s), 2), 0.8)
+
+    assert found(texts) == [] and not searched
+    texts += [x[:at] + "#" * 6 + x[at + 6 :] for x in texts[:20] for at in (50, 120)]
+    label = list(range(len(texts)))
+    for i, j in found(texts):
+        assert len(sets(texts[i]) & sets(texts[j])) >= 0.8 * len(sets(texts[i]) | sets(texts[j]))
+        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert label == [*range(60), *(i for i in range(20) for _ in range(2))] and searched
+
+
+def test_short_and_odd_lines_have_shingles_of_their_own():
+    texts = ["a", "ab", "abcd", "abcde", "abcdef", "a", "日本", "日本語の本棚", "\ud800x", "x" * 70_000]
+    hashes, starts = lines.shingles(texts)
+    found = [set(x.tolist()) for x in np.split(hashes, starts[1:])]
+    assert [len(x) for x in found] == [len(sets(x)) for x in texts]
+    same = [[bool(a & b) for b in found] for a in found]
+    assert same == [[bool(sets(a) & sets(b)) for b in texts] for a in texts]
+    least = lines.signatures(texts)
+    assert all((least == lines.signatures([x])).all(axis=0)[i] for i, x in enumerate(texts))
+    assert [list(range(x.start, x.stop)) for x in lines.runs(np.array([5, 9, 1, 1, 7]), 7)] == [[0], [1], [2, 3], [4]]
