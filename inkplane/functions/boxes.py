@@ -125,13 +125,18 @@ def expanded(df: DataFrame, side: float, margin: float) -> DataFrame:
     return _stepped(rows, {size: F.least(F.lit(float(side)) - F.col(at), F.col(size) + 2 * (F.col(size) * F.lit(float(margin)))) for at, size in SIDES})
 
 
-def clamped(df: DataFrame, width: float, height: float) -> DataFrame:
-    """``clamp``, and boxes without area go."""
+def within(df: DataFrame, width: float, height: float) -> DataFrame:
+    """``clamp``."""
     made = {}
     for (at, size), most in zip(SIDES, (width, height), strict=True):
         start = F.greatest(F.lit(0.0), F.least(F.lit(float(most) - 1), F.col(at)))
         made |= {at: start, size: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col(at) + F.col(size))) - start}
-    return _stepped(df, made).filter((F.col("w") > 0) & (F.col("h") > 0))
+    return _stepped(df, made)
+
+
+def clamped(df: DataFrame, width: float, height: float) -> DataFrame:
+    """``clamp``, and boxes without area go."""
+    return within(df, width, height).filter((F.col("w") > 0) & (F.col("h") > 0))
 
 
 def normalised(df: DataFrame, side: float) -> DataFrame:
@@ -145,12 +150,17 @@ def hulled(df: DataFrame, degrees: Column, width: float, height: float) -> DataF
     """``rotate_hull``."""
     others = [c for c in df.columns if c not in "xywh"]
     rows = df.select("*", F.cos(F.radians(degrees)).alias("_cos"), F.sin(F.radians(degrees)).alias("_sin"))
-    corner = [(F.col("x") + (F.col("w") if i else F.lit(0.0)) - F.lit(width / 2.0), F.col("y") + (F.col("h") if j else F.lit(0.0)) - F.lit(height / 2.0)) for i in (0, 1) for j in (0, 1)]
-    xs = [F.lit(width / 2.0) + a * F.col("_cos") + b * F.col("_sin") for a, b in corner]
-    ys = [F.lit(height / 2.0) - a * F.col("_sin") + b * F.col("_cos") for a, b in corner]
+    cos, sin = F.col("_cos"), F.col("_sin")
+    a, b = ([F.col(at) + size - F.lit(most / 2.0) for size in (F.lit(0.0), F.col(size))] for (at, size), most in zip(SIDES, (width, height), strict=True))
+    # rounded sums rise with their parts, so the least sum is that of the least parts, to the last bit
+    along = lambda pick, ends, by: pick(*[v * by for v in ends])
+    far = {F.least: F.greatest, F.greatest: F.least}
+    across = lambda pick: F.lit(width / 2.0) + along(pick, a, cos) + along(pick, b, sin)
+    down = lambda pick: F.lit(height / 2.0) - along(far[pick], a, sin) + along(pick, b, cos)
     inside = lambda v, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), v))
     whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
-    ends = rows.select(*others, *[F.when(whole, inside(pick(*v), most)).alias(n) for n, pick, v, most in (("_x0", F.least, xs, width), ("_x1", F.greatest, xs, width), ("_y0", F.least, ys, height), ("_y1", F.greatest, ys, height))])
+    ends = {"_x0": inside(across(F.least), width), "_x1": inside(across(F.greatest), width), "_y0": inside(down(F.least), height), "_y1": inside(down(F.greatest), height)}
+    ends = rows.select(*others, *[F.when(whole, v).alias(n) for n, v in ends.items()])
     return ends.select(*others, F.col("_x0").alias("x"), F.col("_y0").alias("y"), (F.col("_x1") - F.col("_x0")).alias("w"), (F.col("_y1") - F.col("_y0")).alias("h"))
 
 

@@ -88,10 +88,11 @@ class Population:
             raise ValueError("nothing to draw from")
         return cls(dense(df, by, name="_pick"), size)
 
-    def draw(self, df: DataFrame, seed: int, key: str) -> DataFrame:
-        """Every row of ``df`` with one of these, by an equi-join on the number drawn."""
-        picked = df.withColumn("_pick", F.floor(draws.uniform(seed, "pick", key) * F.lit(self.size)).cast("long"))
-        return picked.join(self.rows, "_pick").drop("_pick")
+    def draw(self, df: DataFrame, seed: int, key: str, *within: str) -> DataFrame:
+        """Every row of ``df`` with one of these, by an equi-join on the number drawn, and on the columns ``within`` where each of their values has all numbers."""
+        number = F.floor(draws.uniform(seed, "pick", key) * F.lit(self.size)).cast("long")
+        picked = df.withColumn("_pick", F.coalesce(number, F.lit(-1)))  # never null, so no filter draws once more
+        return picked.join(self.rows, ["_pick", *within]).drop("_pick")
 
 
 def draw_with_replacement(df: DataFrame, population: DataFrame, seed: int, key: str, by: str) -> DataFrame:

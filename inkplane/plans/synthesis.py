@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkplane.functions import boxes, draws
@@ -31,6 +31,10 @@ from inkplane.sources import pages as sources
 SIZES, CHAR_GAPS, COLUMN_GAPS, DARK, LIGHT = (24, 48), (2, 6), (4, 10), (0, 40), (215, 255)
 #: Attempts of a wave that are sent to the pages, not the pages to them: some 60 bytes each.
 SENT = 1 << 17
+#: Glyphs of all fonts together whose measures are sent to the cells, not the cells to them: some 150 bytes each.
+GLYPHS = 1 << 20
+#: Attempts of one part: some 160 cells each, sorted in memory.
+PART = 1 << 12
 
 BOXES = "array<struct<x: double, y: double, w: double, h: double>>"
 PAINTED = "attempt long, negative boolean, height int, width int, data binary, placed array<struct<block_no: int, x: int, y: int>>"
@@ -49,34 +53,50 @@ def attempts_of(rows: DataFrame, population: numbering.Population, s: Settings,
     return rows.select("attempt", "negative", "path", place("crop_x", "width").alias("crop_x"), place("crop_y", "height").alias("crop_y"), n_blocks.alias("n_blocks"))
 
 
+def dealt(attempts: DataFrame, n: int) -> DataFrame:
+    """``n`` attempts in parts of about ``PART``, so that what is made of an attempt, many times as large, lies together and needs no shuffle to meet."""
+    return attempts.repartition(max(attempts.sparkSession.sparkContext.defaultParallelism, -(-n // PART)), "attempt")
+
+
+def place(t: Column, s: Settings, seed: int) -> Column:
+    """The place (x, y) that try ``t`` gives to a block."""
+    at = lambda axis, size: draws.whole(_u(seed, axis, "attempt", "block_no", t), 0, F.lit(s.crop_size) - F.col(size))
+    return F.struct(at("x", "bw").alias("x"), at("y", "bh").alias("y"))
+
+
 def blocks_of(attempts: DataFrame, shapes: DataFrame, s: Settings, seed: int) -> DataFrame:
     """The blocks of attempts that fit into a crop, with the places to try and their inks."""
     fonts = sorted(r.font for r in shapes.select("font").distinct().collect())  # font files, few
     rows = attempts.filter("n_blocks > 0").select("attempt", F.explode(F.sequence(F.lit(1), F.col("n_blocks"))).alias("block_no"))
-    u = lambda purpose, *more: _u(seed, purpose, "attempt", "block_no", *more)
+    u = lambda purpose: _u(seed, purpose, "attempt", "block_no")
     rows = rows.select(
         "attempt", "block_no", F.element_at(F.array(*[F.lit(f) for f in fonts]), (F.floor(u("font") * len(fonts)) + 1).cast("int")).alias("font"), draws.whole(u("size"), *SIZES).alias("size"),
         draws.whole(u("columns"), s.columns_min, s.columns_max).alias("columns"), draws.whole(u("chars"), s.chars_min, s.chars_max).alias("chars"),
         draws.whole(u("char_gap"), *CHAR_GAPS).alias("char_gap"), draws.whole(u("column_gap"), *COLUMN_GAPS).alias("column_gap"),
         F.when(draws.happens(u("direction"), 0.5), layout.VERTICAL).otherwise(layout.HORIZONTAL).alias("direction"),
     )
-    rows = rows.join(glyphs.cell_sizes(shapes, F.sequence(F.lit(SIZES[0]), F.lit(SIZES[1]))), ["font", "size"])
+    rows = rows.join(F.broadcast(glyphs.cell_sizes(shapes, F.sequence(F.lit(SIZES[0]), F.lit(SIZES[1])))), ["font", "size"])
     rows = rows.withColumn("b", layout.block_size(*[F.col(c) for c in ("direction", "columns", "chars", "cell_w", "cell_h", "char_gap", "column_gap")]))
     rows = rows.select("*", "b.bw", "b.bh").drop("b").filter(layout.fits(F.col("bw"), F.col("bh"), s.crop_size))
-    at = lambda t, axis, size: draws.whole(u(axis, t), 0, F.lit(s.crop_size) - F.col(size))
-    tries = F.transform(F.sequence(F.lit(1), F.lit(s.position_tries)), lambda t: F.struct(at(t, "x", "bw").alias("x"), at(t, "y", "bh").alias("y")))
+    tries = F.transform(F.sequence(F.lit(1), F.lit(s.position_tries)), lambda t: place(t, s, seed))
     inks = [draws.whole(u("dark"), *DARK).alias("dark"), draws.whole(u("light"), *LIGHT).alias("light"), draws.happens(u("side"), 0.5).alias("prefers_dark")]
     return rows.select("*", tries.alias("tries"), *inks)
 
 
-def cells_of(blocks: DataFrame, shapes: DataFrame, characters: numbering.Population, seed: int) -> DataFrame:
-    """(attempt, block_no, column_no, char_no, font, codepoint, size, x, y, width, height) of every cell: its glyph's box from the block's corner."""
+def letters_of(shapes: DataFrame, characters: DataFrame) -> numbering.Population:
+    """Numbered characters (codepoint) with the measures of their glyph in every font. Up to ``GLYPHS`` glyphs go to the cells, more are joined with them."""
+    numbered = numbering.Population.of(characters, "codepoint")
+    known = glyphs.measured(shapes).select("font", "codepoint", "units", "ascent", "x0", "y0", "x1", "y1")
+    rows = known.join(numbered.rows, "codepoint")
+    return numbering.Population(F.broadcast(rows) if rows.count() <= GLYPHS else rows, numbered.size)
+
+
+def cells_of(blocks: DataFrame, letters: numbering.Population, seed: int, *kept: str) -> DataFrame:
+    """(attempt, block_no, column_no, char_no, font, codepoint, size, x, y, width, height) of every cell: its glyph's box from the block's corner; and the columns of the block that are ``kept``."""
     rows = layout.cells(blocks.drop("tries").withColumns({"start_x": F.lit(0), "start_y": F.lit(0)}))
     rows = rows.withColumn("key", F.concat_ws("-", "attempt", "block_no", "column_no", "char_no"))
-    rows = characters.draw(rows, seed, "key")
-    known = glyphs.measured(shapes).select("font", "codepoint", "units", "ascent", "x0", "y0", "x1", "y1")
-    rows = rows.join(known, ["font", "codepoint"]).withColumn("b", glyphs.box(F.col("size")))
-    return rows.select("attempt", "block_no", "column_no", "char_no", "font", "codepoint", "size", (F.col("cell_x") + F.col("b.left")).alias("x"), (F.col("cell_y") + F.col("b.top")).alias("y"), "b.width", "b.height")
+    rows = letters.draw(rows, seed, "key", "font").withColumn("b", glyphs.box(F.col("size")))
+    return rows.select("attempt", "block_no", "column_no", "char_no", "font", "codepoint", "size", (F.col("cell_x") + F.col("b.left")).alias("x"), (F.col("cell_y") + F.col("b.top")).alias("y"), "b.width", "b.height", *kept)
 
 
 def _crops(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
@@ -137,15 +157,32 @@ def painted(crops: DataFrame, blocks: DataFrame, cells: DataFrame, shapes: DataF
     return crops.join(by_page, "attempt", "left").select("attempt", "negative", "data", "blocks").mapInArrow(lambda it: _paint(it, s.crop_size, s.region_deviation_limit), PAINTED)
 
 
+def boxes_of(cells: DataFrame, s: Settings) -> DataFrame:
+    """(attempt, block_no, column_no, char_no, ok, x, y, w, h): boxes of cells whose block stands on (px, py), on pages turned by ``angle``: grown, clamped, turned with the page, in whole pixels.
+
+    Only those that are ``ok`` have an area after each step. They are left here: a filter would be pushed below the steps, and work them all out once more.
+    """
+    side, sides = s.crop_size, {"x": F.col("px") + F.col("x"), "y": F.col("py") + F.col("y"), "w": F.col("width"), "h": F.col("height")}
+    names, area = ("attempt", "block_no", "column_no", "char_no"), (F.col("w") > 0) & (F.col("h") > 0)
+    rows = cells.select(*names, "angle", *[c.cast("double").alias(n) for n, c in sides.items()])
+    rows = boxes.within(boxes.expanded(rows, side, s.box_margin), side, side)
+    rows = boxes.hulled(rows.withColumns({f"_{n}": F.col(n) for n in "xywh"} | {"ok": area}), F.col("angle"), side, side)
+    rows = rows.select(*names, "ok", *[F.when(F.col("angle").isNull(), F.col(f"_{n}")).otherwise(F.col(n)).alias(n) for n in "xywh"])
+    return rows.select(*names, (F.col("ok") & area).alias("ok"), *[F.col(n).cast("int").cast("double").alias(n) for n in "xywh"])
+
+
 def boxed(planned: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
-    """(attempt, boxes) of painted pages with their degradation's ``angle``: grown, clamped, turned with the page, in whole pixels."""
-    side = s.crop_size
-    rows = planned.select("attempt", "angle", F.explode("placed").alias("p")).select("attempt", "angle", "p.block_no", F.col("p.x").alias("px"), F.col("p.y").alias("py")).join(cells, ["attempt", "block_no"])
-    rows = rows.withColumn("box", boxes.box(F.col("px") + F.col("x"), F.col("py") + F.col("y"), F.col("width"), F.col("height")))
-    rows = rows.withColumn("box", boxes.clamp(boxes.expand(F.col("box"), side, s.box_margin), side, side)).filter(boxes.has_area(F.col("box")))
-    rows = rows.withColumn("box", F.when(F.col("angle").isNull(), F.col("box")).otherwise(boxes.rotate_hull(F.col("box"), F.col("angle"), side, side))).filter(boxes.has_area(F.col("box")))
-    listed = F.array_sort(F.collect_list(F.struct("block_no", "column_no", "char_no", boxes.truncate(F.col("box")).alias("box"))))
-    return rows.groupBy("attempt").agg(F.transform(listed, lambda x: x["box"]).cast(BOXES).alias("boxes"))
+    """(attempt, boxes) of painted pages with their degradation's ``angle``."""
+    placed = planned.select("attempt", "angle", F.explode("placed").alias("p")).select("attempt", "angle", "p.block_no", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("block_no", "column_no", "char_no", F.struct("x", "y", "w", "h").alias("box")))))
+    return boxes_of(placed.join(cells, ["attempt", "block_no"]), s).groupBy("attempt").agg(F.transform(listed, lambda x: x["box"]).cast(BOXES).alias("boxes"))
+
+
+def numbered_boxes(cells: DataFrame, s: Settings) -> DataFrame:
+    """(attempt, pos, x, y, w, h): the boxes of ``boxed`` as rows. What is dealt by attempt stays where it is."""
+    order = Window.partitionBy("attempt").orderBy("block_no", "column_no", "char_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = boxes_of(cells, s).withColumn("pos", F.sum(F.col("ok").cast("int")).over(order).cast("int") - 1)
+    return rows.filter("ok").select("attempt", "pos", "x", "y", "w", "h")
 
 
 def synthesise(
@@ -169,13 +206,13 @@ def synthesise(
     if amount > 0:
         large = source.sizes().filter((F.col("width") >= s.crop_size) & (F.col("height") >= s.crop_size))
         population = numbering.Population.of(large.select(F.xxhash64("path").alias("_key"), "path", "height", "width"), "_key")
-        letters = numbering.Population.of(characters.select("codepoint").distinct(), "codepoint")
+        letters = letters_of(shapes, characters.select("codepoint").distinct())
     while good < amount and done < amount * numbering.TRIES_PER_PAGE:
         wave = min(max(8, int(1.3 * (amount - good))), amount * numbering.TRIES_PER_PAGE - done)
         numbers = spark.range(done + 1, done + wave + 1).select(F.col("id").alias("attempt"))
         attempts = attempts_of(numbers, population, s, seed).checkpoint(eager=True)
         blocks = blocks_of(attempts, shapes, s, seed).checkpoint(eager=True)
-        cells = cells_of(blocks, shapes, letters, seed).checkpoint(eager=True)
+        cells = cells_of(blocks, letters, seed).checkpoint(eager=True)
         pages = painted(crops_of(attempts, source, wave, s.crop_size), blocks, cells, shapes, s)
         pages = pages.filter(F.col("negative") | (F.size("placed") > 0)).checkpoint(eager=True)
         plan = raster.degradation_plan(pages, "attempt", s, seed)
